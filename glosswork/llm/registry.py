@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from glosswork.llm import simhash
+from glosswork.llm import simhash, substring
 
 
 def queries() -> dict:
     return {
+        "op5_substring_dedup": substring.op5,
         "op10_simhash_near_dedup": simhash.op10,
     }
 
