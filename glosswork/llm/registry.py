@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from glosswork.llm import simhash, substring
+from glosswork.llm import bpe, simhash, substring
 
 
 def queries() -> dict:
     return {
         "op5_substring_dedup": substring.op5,
+        "op9_byte_bpe": bpe.op9,
         "op10_simhash_near_dedup": simhash.op10,
     }
 
