@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from glosswork.llm import bpe, simhash, substring
+from glosswork.llm import bpe, line_rules, sharding, simhash, substring
 
 
 def queries() -> dict:
     return {
+        "op3_line_rules": line_rules.op3,
         "op5_substring_dedup": substring.op5,
+        "op7_sharding": sharding.op7,
         "op9_byte_bpe": bpe.op9,
         "op10_simhash_near_dedup": simhash.op10,
     }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {
+        "op3_line_rules": line_rules.OP3_SQL,
+    }
