@@ -17,14 +17,28 @@ import pyarrow.compute as pc
 #: Text bytes that one numpy pass covers; a longer row makes a block of its own.
 BLOCK_BYTES = 2_000_000
 
-IS_SPACE = np.zeros(256, bool)
-IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Class of each byte: 0 parts words, and a word is a run of bytes of one other class.
+NOT_SPACE = np.ones(256, np.uint8)
+NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = 0
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 #: Odd multipliers of the two rolling hashes (bytes in a word, words in a window).
 BYTE_BASE = 0x9E3779B97F4A7C15
 WORD_BASE = 0xD1B54A32D192ED03
 
 
+def lower_latin(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with A-Z and the capitals from U+00C0 to U+00DE in lower case."""
+    out = _LOWER[data]
+    if len(out):
+        after = out[:-1] == 0xC3
+        small = out[1:]
+        small[after & (small >= 0x80) & (small <= 0x9E) & (small != 0x97)] += 0x20
+    return out
+
+
 class _Powers:
     """Powers of an odd base and of its inverse modulo 2**64, grown on demand."""
 
@@ -64,26 +78,23 @@ class Block:
     data: np.ndarray
     offsets: np.ndarray
 
-    def words(self) -> "Words":
-        return Words(self.data, self.offsets)
+    def words(self, classes: np.ndarray = NOT_SPACE) -> "Words":
+        return Words(self.data, self.offsets, classes)
 
 
 class Words:
     """Word spans of a block. ``first[r]:first[r + 1]`` are the words of row r."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, classes: np.ndarray = NOT_SPACE) -> None:
         self.data, self.offsets = data, offsets
-        inside = ~IS_SPACE[data]
-        before = np.zeros(len(data) + 1, bool)
-        before[1:] = inside
-        after = np.zeros(len(data) + 1, bool)
-        after[:-1] = inside
-        before[offsets] = False  # no word crosses a row
-        self.starts = np.flatnonzero(inside & ~before[:-1])
-        after[offsets] = False
-        self.ends = np.flatnonzero(inside & ~after[1:]) + 1
+        kind = classes[data]
+        edge = np.ones(len(data) + 1, bool)  # whether a run may begin here
+        np.not_equal(kind[1:], kind[:-1], out=edge[1:-1])
+        edge[offsets] = True  # no word crosses a row
+        self.inside = kind > 0
+        self.starts = np.flatnonzero(edge[:-1] & self.inside)
+        self.ends = np.flatnonzero(edge[1:] & self.inside) + 1
         self.first = np.searchsorted(self.starts, offsets)
-        self.inside = inside
 
     def __len__(self) -> int:
         return len(self.starts)
@@ -96,13 +107,14 @@ class Words:
         """The row of each word."""
         return np.repeat(np.arange(len(self.offsets) - 1), self.counts)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
+    def hashes(self, longest: int | None = None) -> np.ndarray:
+        """A 64-bit hash of each word's bytes, or of its first ``longest`` bytes."""
+        ends = self.ends if longest is None else np.minimum(self.ends, self.starts + longest)
         up, down = _BYTES.get(len(self.data) + 1)
         total = np.zeros(len(self.data) + 1, np.uint64)
         np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
-        h = (total[self.ends] - total[self.starts]) * down[self.starts]
-        h += (self.ends - self.starts).astype(np.uint64) * np.uint64(0x9E6C63D0876A9A47)
+        h = (total[ends] - total[self.starts]) * down[self.starts]
+        h += (ends - self.starts).astype(np.uint64) * np.uint64(0x9E6C63D0876A9A47)
         return mix(h)
 
     def joined(self) -> tuple[bytes, np.ndarray, np.ndarray]:
