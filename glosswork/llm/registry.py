@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from glosswork.llm import bpe, line_rules, sharding, simhash, substring
+from glosswork.llm import bpe, line_rules, quality, sharding, simhash, substring, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_toxicity": toxicity.op1,
+        "op2_quality": quality.op2,
         "op3_line_rules": line_rules.op3,
         "op5_substring_dedup": substring.op5,
         "op7_sharding": sharding.op7,
@@ -17,5 +19,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {
+        "op1_toxicity": toxicity.op1,
+        "op2_quality": quality.op2,
         "op3_line_rules": line_rules.OP3_SQL,
     }
