@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from glosswork.llm import bpe, line_rules, quality, sharding, simhash, substring, toxicity
+from glosswork.llm import bpe, chat, line_rules, quality, sharding, simhash, substring, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_line_rules": line_rules.op3,
         "op5_substring_dedup": substring.op5,
         "op7_sharding": sharding.op7,
+        "op8_chat_format": chat.op8,
         "op9_byte_bpe": bpe.op9,
         "op10_simhash_near_dedup": simhash.op10,
     }
@@ -22,4 +23,5 @@ def oracle_sql() -> dict:
         "op1_toxicity": toxicity.op1,
         "op2_quality": quality.op2,
         "op3_line_rules": line_rules.OP3_SQL,
+        "op8_chat_format": chat.OP8_SQL,
     }
