@@ -43,7 +43,7 @@ def prefix_hashes(turns: Column) -> Column:
 
     def step(hashes: Column, t: Column) -> Column:
         # the length of the role keeps role and text apart
-        link = F.concat(F.coalesce(F.element_at(hashes, -1), F.lit("")), F.char_length(t["role"]).cast("string"), F.lit(":"), t["role"], t["text"])
+        link = F.concat(F.coalesce(F.try_element_at(hashes, F.lit(-1)), F.lit("")), F.char_length(t["role"]).cast("string"), F.lit(":"), t["role"], t["text"])
         return F.concat(hashes, F.array(F.md5(link)))
 
     return F.aggregate(turns, F.array().cast("array<string>"), step)
