@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from glosswork.llm import bpe, chat, line_rules, quality, sharding, simhash, substring, toxicity
+from glosswork.llm import bpe, chat, decontaminate, line_rules, quality, sharding, simhash, substring, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_toxicity": toxicity.op1,
         "op2_quality": quality.op2,
         "op3_line_rules": line_rules.op3,
+        "op4_decontaminate": decontaminate.op4,
         "op5_substring_dedup": substring.op5,
         "op7_sharding": sharding.op7,
         "op8_chat_format": chat.op8,
