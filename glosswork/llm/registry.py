@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from glosswork.llm import bpe, chat, decontaminate, line_rules, quality, sharding, simhash, substring, toxicity
+import corpus_pipeline
+from glosswork.llm import bpe, chat, decontaminate, license_scan, line_rules, quality, sharding, simhash, substring, toxicity
 
 
 def queries() -> dict:
@@ -12,10 +13,12 @@ def queries() -> dict:
         "op3_line_rules": line_rules.op3,
         "op4_decontaminate": decontaminate.op4,
         "op5_substring_dedup": substring.op5,
+        "op6_license_scan": license_scan.op6,
         "op7_sharding": sharding.op7,
         "op8_chat_format": chat.op8,
         "op9_byte_bpe": bpe.op9,
         "op10_simhash_near_dedup": simhash.op10,
+        "pipeline": corpus_pipeline.run,
     }
 
 
