@@ -29,8 +29,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from glosswork.llm.shared import small_batches
+
 #: Distinct pieces in each of the two generations that a Python worker remembers.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 #: A longer piece is encoded anew each time.
 LONG_PIECE = 64
 
@@ -62,7 +64,7 @@ class Vocabulary:
         """Whether merges leave ``left right`` as these two tokens."""
         known = self.stand.get((left, right))
         if known is None:
-            if len(self.stand) > 500_000:
+            if len(self.stand) > 200_000:
                 self.stand.clear()
             known = self.stand[left, right] = self._can_stand(left, right)
         return known
@@ -209,7 +211,7 @@ def encode_documents(docs: DataFrame, name: str = "byte_bpe_multi_50k.tiktoken",
 
     kind = dict(docs.dtypes)["doc_id"]
     ids = "ids binary, " if with_ids else ""
-    return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, n_tokens long, {ids}ids_sha256 string, decoded_sha256 string")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, n_tokens long, {ids}ids_sha256 string, decoded_sha256 string")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glosswork.llm.shared import small_batches
 from glosswork.llm.wordkit import blocks, lower_latin
 
 Q = 8
@@ -245,7 +246,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     start_byte and end_byte (of the text that the matching segments span)."""
     kinds = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, n_segments long, edits long, start_byte long, end_byte long"
-    out = docs.sparkSession.createDataFrame([], schema)
+    out = small_batches(docs).sparkSession.createDataFrame([], schema)
     for items, index in benchmark_parts(benchmark):
 
         def found(batches: Iterator[pa.RecordBatch], items=items, index=index) -> Iterator[pa.RecordBatch]:
@@ -286,7 +287,7 @@ def _pairs(batch: pa.RecordBatch, block, items: pa.Array, matcher: Matcher) -> p
 
 def without_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that match no item."""
-    at = docs.columns.index("text")
+    at = small_batches(docs).columns.index("text")
     for _, index in benchmark_parts(benchmark):
 
         def clean(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from glosswork.llm.license_texts import NOTICES
+from glosswork.llm.shared import small_batches
 from glosswork.llm.wordkit import blocks, lower_latin, sliding_min, window_hashes, window_starts
 
 SHINGLE = 5
@@ -162,7 +163,7 @@ def scan_licenses(docs: DataFrame, notices: list[tuple[str, str]] = NOTICES) ->
                 )
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(scanned, f"doc_id {kind}, license string, containment double, start_byte long, end_byte long")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(scanned, f"doc_id {kind}, license string, containment double, start_byte long, end_byte long")
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glosswork.llm import labelled
+from glosswork.llm.shared import small_batches
 from glosswork.llm.wordkit import blocks
 
 BUCKETS, SIZE, PLACES, REACH = 1 << 14, 32, 2, 2
@@ -48,7 +49,7 @@ def _index_vectors() -> tuple[np.ndarray, np.ndarray]:
 
 def token_ids(col: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Blocks of rows: bucket of each token, and each row's first token."""
-    for block in blocks(col, 1_000_000):
+    for block in blocks(col, 250_000):
         w = block.words(SIGNS)
         yield (w.hashes() % np.uint64(BUCKETS)).astype(np.int64), w.first
 
@@ -103,7 +104,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """The table of word vectors, BUCKETS rows, from all documents."""
     schema = "part int, salt int, data binary"
-    tables = docs.select("text").mapInArrow(_partial, schema)
+    tables = small_batches(docs).select("text").mapInArrow(_partial, schema)
     spread = tables.repartition("part", "salt").mapInArrow(_summed, schema)
     rows = spread.repartition("part").mapInArrow(_summed, schema).collect()  # PARTS rows of fixed size
     raw = np.zeros((PARTS, BUCKETS // PARTS * (SIZE + 1)))

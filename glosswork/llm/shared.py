@@ -19,6 +19,19 @@ def shared_dir(spark: SparkSession) -> str:
     return given.rstrip("/")
 
 
+#: Rows of an Arrow batch. A batch of long texts is held by the JVM and by Python at once.
+BATCH_ROWS = 1_000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with Arrow batches in its session of at most BATCH_ROWS rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(key, "10000")) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df below the shared folder and read it back: lost executors cost no recomputation."""
     spark = df.sparkSession

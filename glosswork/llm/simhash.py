@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from glosswork.llm.shared import components, cut
+from glosswork.llm.shared import components, cut, small_batches
 from glosswork.llm.wordkit import blocks
 
 SEED = 42
@@ -101,7 +101,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def simhash_components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp (long) and component_id of every row of docs (doc_id, text)."""
-    prints = cut(docs.select("doc_id", "text").mapInArrow(_fingerprint_batches, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long"))
+    prints = cut(small_batches(docs).select("doc_id", "text").mapInArrow(_fingerprint_batches, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long"))
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc"))
     roots = components(links(distinct, radius))
     member = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(

@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glosswork.llm.shared import small_batches
 from glosswork.llm.wordkit import Words, blocks, sliding_min, window_hashes, window_starts
 
 WINDOW = 13
@@ -153,7 +154,7 @@ def strip_repeats(docs: DataFrame, k: int = WINDOW, digest: bool = False, n_bloc
 
     The kept text is the text itself if nothing goes; a removed word takes the white space after it along.
     """
-    n_blocks = n_blocks or block_count(docs)
+    n_blocks = n_blocks or block_count(small_batches(docs))
     buckets = max(32, n_blocks // 4)
     lengths = level_lengths(k)
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glosswork.llm import labelled
+from glosswork.llm.shared import small_batches
 from glosswork.llm.wordkit import blocks, lower_latin
 
 WORD_ROWS, PREFIX_ROWS, HALF = 1 << 17, 1 << 16, 8
@@ -41,7 +42,7 @@ LETTERS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 
 def word_ids(col: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Blocks of rows: bucket of each word, bucket of its first bytes, and each row's first word."""
-    for block in blocks(col, 1_000_000):
+    for block in blocks(col, 500_000):
         block.data = lower_latin(block.data)
         w = block.words(LETTERS)
         whole, start = w.hashes(), w.hashes(PREFIX_BYTES)
@@ -201,7 +202,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
             )
 
     kind = dict(docs.dtypes)["doc_id"]
-    out = docs.select("doc_id", "text", F.col("lang").cast("string")).mapInArrow(scored, f"doc_id {kind}, lang string, score double")
+    out = small_batches(docs).select("doc_id", "text", F.col("lang").cast("string")).mapInArrow(scored, f"doc_id {kind}, lang string, score double")
     threshold = F.lit(overall)
     for language, value in sorted(by_language.items()):
         threshold = F.when(F.col("lang") == language, F.lit(value)).otherwise(threshold)

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes that one numpy pass covers; a longer row makes a block of its own.
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 
 #: Class of each byte: 0 parts words, and a word is a run of bytes of one other class.
 NOT_SPACE = np.ones(256, np.uint8)
@@ -48,7 +48,7 @@ class _Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, 1 << 16)
+            size = max(n + n // 8, 1 << 16)
             for name, b in (("up", self.base), ("down", self.inverse)):
                 x = np.full(size, b, np.uint64)
                 x[0] = 1
