@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from glosswork.plans import corpus_queries, evaluation_queries, retrieval_queries, table_queries, text_queries
+
+MODULES = (text_queries, corpus_queries, retrieval_queries, evaluation_queries, table_queries)
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for module in MODULES for name, query in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for module in MODULES for name, sql in module.SQL.items()}
