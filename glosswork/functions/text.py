@@ -56,6 +56,11 @@ def unescape_nfc(text: pa.Array) -> pa.Array:
     return pa.array([None if t is None else unicodedata.normalize("NFC", unescape(t)) for t in text.to_pylist()], pa.string())
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, even where body uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"(?U)^{_BLANK}+|{_BLANK}+$", "")
 

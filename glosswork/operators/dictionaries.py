@@ -104,17 +104,18 @@ def company_hints(articles: DataFrame, companies: DataFrame, text: str = "text")
         F.transform(F.concat(F.array("company_name"), F.coalesce("aliases", F.array().cast("array<string>"))), lambda n: F.lower(T.ascii_fold(n))).alias("folded"),
     ]
     kind = "struct<ticker:string,name:string,sector:string,names:array<string>,folded:array<string>>"
-    step = articles.withColumn("_text", T.normalize_text(F.col(text)))
-    step = step.withColumn("_lower", F.lower("_text")).withColumn("_folded", F.lower(T.ascii_fold(F.col("_text"))))
+    plain = T.normalize_text(F.col(text))
+    forms = T.let(plain, lambda t: F.struct(t.alias("text"), F.lower(t).alias("lower"), F.lower(T.ascii_fold(t)).alias("folded")))
 
-    def found(e: Column) -> Column:
+    def found(t: Column, e: Column) -> Column:
         # the plain test first: most tickers are not in most texts
-        ticker = F.contains(F.col("_text"), e["ticker"]) & F.regexp_like(F.col("_text"), F.concat(F.lit(r"(?<![A-Z0-9])\Q"), e["ticker"], F.lit(r"\E(?![A-Z0-9])")))
-        named = F.exists(e["names"], lambda n: (n != "") & F.contains(F.col("_lower"), n)) | F.exists(e["folded"], lambda n: (n != "") & F.contains(F.col("_folded"), n))
+        ticker = F.contains(t["text"], e["ticker"]) & F.regexp_like(t["text"], F.concat(F.lit(r"(?<![A-Z0-9])\Q"), e["ticker"], F.lit(r"\E(?![A-Z0-9])")))
+        named = F.exists(e["names"], lambda n: (n != "") & F.contains(t["lower"], n)) | F.exists(e["folded"], lambda n: (n != "") & F.contains(t["folded"], n))
         return ticker | named
 
-    hits = [F.filter(_literal(rows, kind), found) for rows in _parts(companies, *entry)]
-    step = step.withColumn("_hits", reduce(F.concat, hits) if len(hits) > 1 else hits[0])
+    literals = [_literal(rows, kind) for rows in _parts(companies, *entry)]
+    every = lambda t: [F.filter(x, lambda e: found(t, e)) for x in literals]
+    step = articles.withColumn("_hits", T.let(forms, lambda t: reduce(F.concat, every(t)) if len(literals) > 1 else every(t)[0]))
 
     def column(field: str) -> Column:
         return F.array_sort(F.array_distinct(F.filter(F.transform("_hits", lambda e: e[field]), lambda v: v != "")))
@@ -135,9 +136,10 @@ def keyword_hints(articles: DataFrame, keywords: DataFrame, text: str = "text")
         F.lower(T.ascii_fold(F.col("keyword"))).alias("folded"),
     ]
     kind = "struct<order:int,event_type:string,keyword:string,event_subtype:string,polarity_hint:string,folded:string>"
-    step = articles.withColumn("_folded", F.lower(T.ascii_fold(T.normalize_text(F.col(text)))))
-    hits = [F.filter(_literal(rows, kind), lambda e: (e["folded"] != "") & F.contains(F.col("_folded"), e["folded"])) for rows in _parts(keywords, *entry)]
-    step = step.withColumn("_hits", F.array_sort(F.array_distinct(reduce(F.concat, hits) if len(hits) > 1 else hits[0])))
+    literals = [_literal(rows, kind) for rows in _parts(keywords, *entry)]
+    every = lambda t: [F.filter(x, lambda e: (e["folded"] != "") & F.contains(t, e["folded"])) for x in literals]
+    hits = T.let(F.lower(T.ascii_fold(T.normalize_text(F.col(text)))), lambda t: reduce(F.concat, every(t)) if len(literals) > 1 else every(t)[0])
+    step = articles.withColumn("_hits", F.array_sort(F.array_distinct(hits)))
 
     def column(field: str) -> Column:
         return F.array_sort(F.array_distinct(F.filter(F.transform("_hits", lambda e: e[field]), lambda v: v != "")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glosswork.functions import text as T
@@ -61,7 +61,7 @@ def build_queries(articles: DataFrame, mode: str = "legacy") -> DataFrame:
     found = F.filter(F.array(*views), lambda q: q["raw_text"] != "")
     body = F.array_join(F.slice(T.split_blank(F.col("_text")), 1, 80), " ")
     fallback = F.when(F.col("_text") != "", F.array(_query("body_fallback", body, 0.7, k, y, s))).otherwise(F.slice(F.array(views[0]), 1, 0))
-    rows = rows.withColumn("_queries", F.when(F.size(found) > 0, found).otherwise(fallback))
+    rows = rows.withColumn("_queries", T.let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(fallback)))
     if mode == "event_intent":
         rows = rows.withColumn("_queries", F.concat("_queries", _intents(rows)))
     each = rows.select("article_id", "tickers", "company_names", F.posexplode("_queries").alias("position", "_q")).select(
@@ -100,8 +100,8 @@ def _finished(each: DataFrame) -> DataFrame:
 def dedupe_queries(queries: DataFrame) -> DataFrame:
     """The first query of each normalised text per article; empty ones go."""
     rows = queries.withColumn("_key", F.lower(T.normalize_text(F.col("text")))).where("_key <> ''")
-    first = rows.groupBy("article_id", "_key").agg(F.min("position").alias("_first"))
-    return rows.join(first, ["article_id", "_key"]).where("position = _first").drop("_key", "_first")
+    order = Window.partitionBy("article_id", "_key").orderBy("position")
+    return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_key", "_n")
 
 
 def build_gold_queries(events: DataFrame) -> DataFrame:

@@ -16,7 +16,8 @@ LIST_HYBRID, LIST_MODEL = 0.35, 0.65
 def judgment_score(score: Column, label: Column) -> Column:
     """The numeric score within 0..1, else that of the label, else 0."""
     known = F.create_map(*[F.lit(x) for kv in LABEL_SCORES.items() for x in kv])
-    return F.coalesce(F.least(F.greatest(score.cast("double"), F.lit(0.0)), F.lit(1.0)), F.element_at(known, F.upper(F.coalesce(label, F.lit("IRRELEVANT")))), F.lit(0.0))
+    clamped = F.when(score.isNotNull(), F.least(F.greatest(score.cast("double"), F.lit(0.0)), F.lit(1.0)))
+    return F.coalesce(clamped, F.element_at(known, F.upper(F.coalesce(label, F.lit("IRRELEVANT")))), F.lit(0.0))
 
 
 def deterministic_judgments(candidates: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -43,7 +44,7 @@ def apply_judgments(candidates: DataFrame, judgments: DataFrame, hybrid_weight:
 
 def candidate_aliases(rank: Column, chunk_id: Column) -> Column:
     """The names that a judge may use for a candidate: 1, C1, C001 or its id."""
-    return F.array(rank.cast("string"), F.concat(F.lit("C"), rank), F.format_string("C%03d", rank), chunk_id)
+    return F.array(rank.cast("string"), F.concat(F.lit("C"), rank), F.format_string("C%03d", rank), chunk_id.cast("string"))
 
 
 def parse_listwise(raw: Column) -> Column:

@@ -37,7 +37,7 @@ p AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS dl,
 f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
 s AS (SELECT query_id, doc_id, sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avg_dl))) AS score
       FROM q JOIN p USING (term) JOIN f USING (term), n GROUP BY query_id, doc_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM s)
 SELECT {out} FROM r WHERE rank <= {k}
 """
 
@@ -54,7 +54,7 @@ def bm25_topk(spark, sf_dir):
     """The flagship: the 50 best documents for five terms."""
     terms = spark.createDataFrame([(0, t) for t in TERMS], "query_id int, term string")
     scores = index.bm25_scores(table(spark, sf_dir, "documents"), "doc_id", _tokens(F.col("text")), terms)
-    return index.top_k(scores, "doc_id", 50).select("doc_id", F.round("score", 6).alias("score"), "rank")
+    return index.top_k(scores.withColumn("score", F.round("score", 6)), "doc_id", 50).select("doc_id", "score", "rank")
 
 
 _ITEMS = f"SELECT item_id AS query_id, unnest({kept_tokens_sql()}) AS term FROM benchmark"
@@ -64,7 +64,7 @@ _ITEMS = f"SELECT item_id AS query_id, unnest({kept_tokens_sql()}) AS term FROM
 def _top01(spark, sf_dir):
     terms = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(_tokens(F.col("text"))).alias("term"))
     scores = index.bm25_scores(table(spark, sf_dir, "documents"), "doc_id", _tokens(F.col("text")), terms)
-    return index.top_k(scores, "doc_id", 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return index.top_k(scores.withColumn("score", F.round("score", 6)), "doc_id", 10).select("query_id", "doc_id", "score", "rank")
 
 
 @query(
@@ -182,11 +182,11 @@ def _ret06(spark, sf_dir):
     return s.select("case_id", "chunk_id", *[F.round(c, 6).alias(c) for c in ("bm25_score", "metadata_score", "rule_score")])
 
 
-@query("ret10_hybrid_score", _STAGE + "SELECT case_id, doc_id AS chunk_id, round(0.6 * bm25 + 0.25 * md + 0.1 * rl, 5) AS score FROM g")
+@query("ret10_hybrid_score", _STAGE + "SELECT case_id, doc_id AS chunk_id, round(0.6 * bm25 + 0.25 * md + 0.1 * rl, 6) AS score FROM g")
 def _ret10(spark, sf_dir):
     chunks = hinted(spark, sf_dir)
     s = retrieval.scored(retrieval.stage1(cases(spark), chunks, PLAIN), chunks, PLAIN)
-    return s.select("case_id", "chunk_id", F.round("score", 5).alias("score"))
+    return s.select("case_id", "chunk_id", "score")
 
 
 @query(
@@ -260,15 +260,15 @@ def _ret16(spark, sf_dir):
     f"""
 WITH {_RANKED}, h AS (SELECT *, CASE rank WHEN 3 THEN 0 WHEN 1 THEN 1 WHEN 5 THEN 2 END AS place FROM r WHERE rank <= 6),
 n AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY place NULLS LAST, rank) AS k, count(*) OVER (PARTITION BY case_id) AS c, max(score) OVER (PARTITION BY case_id) AS top FROM h)
-SELECT case_id, chunk_id, CAST(k AS INTEGER) AS rank, round(0.35 * score / top + 0.65 * (c - k + 1) / c, 5) AS score FROM n
-UNION ALL SELECT case_id, chunk_id, CAST(rank AS INTEGER), round(score, 5) FROM r WHERE rank > 6
+SELECT case_id, chunk_id, CAST(k AS INTEGER) AS rank, round(0.35 * score / top + 0.65 * (c - k + 1) / c, 6) AS score FROM n
+UNION ALL SELECT case_id, chunk_id, CAST(rank AS INTEGER), score FROM r WHERE rank > 6
 """,
 )
 def _ret15(spark, sf_dir):
     r = _ranked(spark, sf_dir)
     raw = F.lit('Sure: ```json {"ranked_ids": ["C003", "1", "C5", "nobody"]} ```')
     orders = r.select("case_id").distinct().select("case_id", rerank.parse_listwise(raw).alias("ids"))
-    return rerank.apply_listwise(r, orders, 6).select("case_id", "chunk_id", "rank", F.round("score", 5).alias("score"))
+    return rerank.apply_listwise(r, orders, 6).select("case_id", "chunk_id", "rank", "score")
 
 
 @query("ret13_deterministic_judgments")
