@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -100,6 +103,19 @@ def sequence_ratio(left: pa.Array, right: pa.Array) -> pa.Array:
     )
 
 
+@F.arrow_udf(DoubleType())
+def best_sentence_ratio(query: pa.Array, text: pa.Array) -> pa.Array:
+    """The best ratio of the query to a sentence of the text; null where the text is null."""
+    out = []
+    for q, t in zip(query.to_pylist(), text.to_pylist()):
+        if not q or t is None:
+            out.append(None)
+            continue
+        parts = [p.strip() for p in re.split(r"[\n\r]+|(?<=[.!?;:])\s+", t) if p.strip()] or [t]
+        out.append(max(SequenceMatcher(None, q, p).ratio() for p in parts))
+    return pa.array(out, pa.float64())
+
+
 def windows(sentence: Column, target: Column) -> Column:
     """The sentence, and its runs of max(2, target - 3) to target + 5 words."""
     words = T.split_blank(sentence)
@@ -114,32 +130,36 @@ def windows(sentence: Column, target: Column) -> Column:
     return F.when((n > 2) & (target > 0), F.concat(F.array(sentence), runs)).otherwise(F.array(sentence))
 
 
-def _best_window(query: str, text: str) -> tuple[float, str | None]:
-    """The window of the text with the best ratio to the folded query, the earliest of equals."""
-    import re
-    import unicodedata
+def _fold(s: str) -> str:
+    s = unicodedata.normalize("NFKD", s.lower().replace("đ", "d"))
+    return " ".join("".join(c for c in s if not unicodedata.combining(c)).split())
 
-    def fold(s: str) -> str:
-        s = unicodedata.normalize("NFKD", s.lower().replace("đ", "d"))
-        return " ".join("".join(c for c in s if not unicodedata.combining(c)).split())
 
-    wanted = len(query.split())
+def _best_window(query: str, text: str) -> tuple[float, str | None]:
+    """The window of the text with the best ratio to the folded query, the earliest of equals.
+
+    The letters that query and window share bound the ratio from above; only windows whose bound beats the
+    best so far are compared.
+    """
+    wanted, letters = len(query.split()), Counter(query).items()
     best, found = 0.0, None
     matcher = SequenceMatcher(None)
-    candidates = (part.strip() for part in re.split(r"[\n\r]+|(?<=[.!?;:])\s+", text))
-    for sentence in filter(None, candidates):
+    for sentence in filter(None, (part.strip() for part in re.split(r"[\n\r]+|(?<=[.!?;:])\s+", text))):
         words = sentence.split()
-        options = [sentence]
+        folded = [_fold(w) for w in words]
+        spans = [(0, len(words))]
         if wanted and len(words) > 2:
-            spans = range(max(2, wanted - 3), min(len(words), wanted + 5) + 1)
-            options += [" ".join(words[i : i + n]) for n in spans for i in range(len(words) - n + 1)]
-        for option in options:
-            # the folded query stays first: the junk rule looks at the second sequence only
-            matcher.set_seqs(query, fold(option))
-            if matcher.real_quick_ratio() > best and matcher.quick_ratio() > best:
-                ratio = matcher.ratio()
-                if ratio > best:
-                    best, found = ratio, option
+            sizes = range(max(2, wanted - 3), min(len(words), wanted + 5) + 1)
+            spans += [(i, i + n) for n in sizes for i in range(len(words) - n + 1)]
+        for k, (i, j) in enumerate(spans):
+            option = " ".join(filter(None, folded[i:j]))
+            shared = sum(min(n, option.count(c)) for c, n in letters)
+            if 2 * shared <= best * (len(query) + len(option)):
+                continue
+            matcher.set_seqs(query, option)  # the query stays first: the junk rule looks at the second sequence only
+            ratio = matcher.ratio()
+            if ratio > best:
+                best, found = ratio, " ".join(words[i:j]) if k else sentence
     return best, found
 
 

@@ -1,4 +1,332 @@
-"""Queries."""
+"""Queries of the table service, JSON handling, validation, verification, patterns and files, with their oracles."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+
+from pyspark.sql import functions as F
+
+from glosswork.functions import json as J
+from glosswork.functions import text as T
+from glosswork.operators import chunking, dictionaries, tables, validation, verification
+from glosswork.plans import fixtures
+from glosswork.session import table
+from glosswork.sources import files
 
 QUERIES: dict = {}
 SQL: dict = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(function):
+        QUERIES[name] = function
+        if sql:
+            SQL[name] = sql
+        return function
+
+    return add
+
+
+CUSTOMER = tables.Entity("c_custkey", ("c_custkey", "c_name", "c_mktsegment"), ("c_name", "c_mktsegment"), (("c_acctbal", True),))
+
+
+@query("top16_entity_page", "SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE lower(c_name) LIKE '%mach%' OR lower(c_mktsegment) LIKE '%mach%' ORDER BY c_acctbal DESC, c_custkey LIMIT 20 OFFSET 10")
+def _top16(spark, sf_dir):
+    return tables.list_records(table(spark, sf_dir, "customer"), CUSTOMER, "Mach", 20, 10)[0]
+
+
+@query("agg23_entity_count", "SELECT count(*) AS total FROM customer WHERE lower(c_name) LIKE '%mach%' OR lower(c_mktsegment) LIKE '%mach%'")
+def _agg23(spark, sf_dir):
+    return tables.list_records(table(spark, sf_dir, "customer"), CUSTOMER, "Mach")[1]
+
+
+@query("flt04_search", "SELECT p_partkey FROM part WHERE lower(p_name) LIKE '%r_d%' OR lower(p_brand) LIKE '%r_d%'")
+def _flt04(spark, sf_dir):
+    return tables.search(table(spark, sf_dir, "part"), ["p_name", "p_brand"], "R_d").select("p_partkey")
+
+
+@query("flt05_log_filter", "SELECT event_id, event_type FROM events WHERE event_type = 'error' AND user_id = 8")
+def _flt05(spark, sf_dir):
+    return table(spark, sf_dir, "events").where("event_type = 'error' AND user_id = 8").select("event_id", "event_type")
+
+
+@query("top17_record", "SELECT vec_id, label, '<64 values>' AS embedding FROM embeddings WHERE vec_id = 7")
+def _top17(spark, sf_dir):
+    return tables.get_record(table(spark, sf_dir, "embeddings"), tables.Entity("vec_id", (), (), (), ("embedding",)), 7).select("vec_id", "label", "embedding")
+
+
+@query("top15_slice", "SELECT doc_id FROM documents ORDER BY doc_id LIMIT 25 OFFSET 40")
+def _top15(spark, sf_dir):
+    return files.page(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], 25, 40)[0]
+
+
+@query("db01_upsert", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'new' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0")
+def _db01(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    new = o.where("o_orderkey % 3 = 0").withColumn("o_orderstatus", F.lit("new"))
+    return tables.upsert(o.where("o_orderkey % 2 = 0"), new, ["o_orderkey"])
+
+
+@query("db03_replace_by_key", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey % 2 = 1 UNION ALL SELECT l_orderkey, l_linenumber, 0 FROM lineitem WHERE l_orderkey % 2 = 0 AND l_linenumber = 1")
+def _db03(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    even = rows.where("l_orderkey % 2 = 0")
+    new = even.where("l_linenumber = 1").withColumn("l_quantity", F.lit(0.0).cast(dict(rows.dtypes)["l_quantity"]))
+    kept = tables.replace_by_key(rows, even.select("l_orderkey").distinct().withColumns({c: F.lit(None).cast(dict(rows.dtypes)[c]) for c in ("l_linenumber", "l_quantity")}), "l_orderkey")
+    return kept.where("l_linenumber IS NOT NULL").unionByName(new)
+
+
+@query("db04_semi_sync", "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000)")
+def _db04(spark, sf_dir):
+    docs = table(spark, sf_dir, "nation").withColumnRenamed("n_nationkey", "article_id")
+    chunks = table(spark, sf_dir, "supplier").where("s_acctbal > 9000").select(F.col("s_nationkey").alias("article_id"))
+    empty = chunks.withColumn("status", F.lit("success"))
+    return tables.semi_synced(docs, chunks, empty)[0].select(F.col("article_id").alias("n_nationkey"), "n_name")
+
+
+@query("db07_ordered_contexts", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, md5(text) AS digest FROM conversations")
+def _db07(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    return c.select("conv_id", F.posexplode("t").alias("pos", "x")).select("conv_id", "x.turn", F.col("pos").cast("long").alias("pos"), F.md5("x.text").alias("digest"))
+
+
+@query("db02_alias_rows", f"WITH {fixtures.COMPANY_SQL} SELECT ticker, a AS alias, lower(strip_accents(a)) AS alias_norm FROM (SELECT ticker, unnest(list_concat([company_name], aliases)) AS a FROM companies)")
+def _db02(spark, sf_dir):
+    return tables.alias_rows(fixtures.companies(spark)).select("ticker", "alias", "alias_norm")
+
+
+_VIEW = "v AS (SELECT n_nationkey, n_name, coalesce(list(s_name ORDER BY s_name) FILTER (WHERE s_name IS NOT NULL), []) AS aliases FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 5000 GROUP BY ALL)"
+
+
+def _nations(spark, sf_dir):
+    aliases = table(spark, sf_dir, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("n_nationkey"), F.col("s_name").alias("alias"))
+    return tables.search_view(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), aliases, "n_nationkey")
+
+
+@query("jn15_alias_view", f"WITH {_VIEW} SELECT n_nationkey, n_name, array_to_string(aliases, '|') AS aliases FROM v")
+def _jn15(spark, sf_dir):
+    return _nations(spark, sf_dir).withColumn("aliases", F.array_join("aliases", "|"))
+
+
+@query("jn16_alias_exists", f"WITH {_VIEW} SELECT n_nationkey FROM v WHERE len(list_filter(aliases, lambda a: lower(a) LIKE '%00001%')) > 0 OR lower(n_name) LIKE '%00001%'")
+def _jn16(spark, sf_dir):
+    return tables.search_aliases(_nations(spark, sf_dir), "00001", ["n_name"], "n_nationkey").select("n_nationkey")
+
+
+@query("jn20_latest_run", "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def _jn20(spark, sf_dir):
+    return tables.latest_per_key(table(spark, sf_dir, "events"), "user_id", [F.col("ts"), F.col("event_id")]).select("user_id", "event_id")
+
+
+@query("fk_orphans", "SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def _fk(spark, sf_dir):
+    return tables.orphans(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer").where("c_acctbal > 0"), "o_custkey", "c_custkey").select("o_orderkey")
+
+
+@query("prj05_company_defaults", f"WITH {fixtures.COMPANY_SQL} SELECT ticker, 'UNKNOWN' AS exchange, 'ACTIVE' AS status FROM companies")
+def _prj05(spark, sf_dir):
+    return tables.company_payload(fixtures.companies(spark)).select("ticker", "exchange", "status")
+
+
+@query("set01_set04_set_operations", "SELECT 'union' AS op, count(*) AS n FROM (SELECT n_nationkey FROM nation UNION SELECT s_nationkey FROM supplier) UNION ALL SELECT 'union_all', (SELECT count(*) FROM nation) + (SELECT count(*) FROM supplier) UNION ALL SELECT 'difference', count(*) FROM (SELECT n_nationkey FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000)")
+def _sets(spark, sf_dir):
+    n, s = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k")), table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"), "s_acctbal")
+    count = lambda df, op: df.agg(F.count("*").alias("n")).select(F.lit(op).alias("op"), "n")
+    return count(n.union(s.select("k")).distinct(), "union").union(count(n.unionByName(s.select("k")), "union_all")).union(count(n.subtract(s.where("s_acctbal > 9000").select("k")), "difference"))
+
+
+@query("jsn05_props", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def _jsn05(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint").getField("k").alias("k"))
+
+
+_RAW = "CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN concat('```json\n', props, '\n```') WHEN 2 THEN concat('here: ', props, ' end') ELSE 'nothing' END"
+
+
+@query("jsn01_jsn02_parse_repair", f"SELECT event_id, event_id % 4 < 2 AS whole, event_id % 4 < 3 AS repaired, CASE WHEN event_id % 4 < 3 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events")
+def _jsn01(spark, sf_dir):
+    raw = F.expr(_RAW)
+    return table(spark, sf_dir, "events").select("event_id", J.parse_whole(raw).isNotNull().alias("whole"), J.repair_object(raw).isNotNull().alias("repaired"), J.field(J.repair_object(raw), "k", "bigint").alias("k"))
+
+
+@query("jsn03_extract_array", "SELECT event_id, event_id % 10 AS last FROM events")
+def _jsn03(spark, sf_dir):
+    raw = F.concat(F.lit("order [1, "), F.col("event_id") % 10, F.lit("] done"))
+    return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(J.extract_json(raw), "$[1]", "bigint").alias("last"))
+
+
+@query("jsn07_flat_values", "SELECT n_nationkey, 'a ' || n_nationkey || ' b' AS flat FROM nation")
+def _jsn07(spark, sf_dir):
+    raw = F.concat(F.lit('{"x": ["a", '), "n_nationkey", F.lit('], "y": {"z": "b", "n": null, "t": true}}'))
+    return table(spark, sf_dir, "nation").select("n_nationkey", J.flat_text(raw).alias("flat"))
+
+
+TAXONOMY = validation.Taxonomy(
+    {"CONTRACT": ("SIGNED", "AWARDED"), "DIVIDEND": ("CASH",), "LEGAL_RISK": ("FINE", "LAWSUIT"), "EXPANSION": ("PLANT",), "OTHER": ("MISC",)},
+    {k: ("amount", "partner", "project", "place") for k in ("CONTRACT", "DIVIDEND", "LEGAL_RISK", "EXPANSION", "OTHER")},
+)
+
+
+def _labels(spark, sf_dir):
+    """Label documents in JSON, with faults by doc_id."""
+    d = fixtures.articles(spark, sf_dir).withColumn("title", F.lit(None).cast("string")).withColumn("tickers_hint", F.array(F.lit("THE")))
+    n = F.col("doc_id")
+    event = F.struct(
+        F.concat(F.lit("e"), n).alias("event_id"), F.when(n % 4 == 0, "THE").otherwise("QQQQ").alias("ticker"), F.lit("Thtion").alias("company_name"), F.when(n % 5 == 0, "BOGUS").otherwise(" contract ").alias("event_type"),
+        F.when(n % 6 == 0, "CASH").otherwise("SIGNED").alias("event_subtype"), F.lit("s").alias("event_summary"), F.when(n % 7 == 0, " ").otherwise("r").alias("event_reason"), F.create_map(F.lit("amount"), n.cast("string"), F.lit("Odd Key"), F.lit("x")).alias("event_arguments"),
+        F.when(n % 8 == 0, "GREAT").otherwise("POSITIVE").alias("impact_sentiment"), F.substring("text", 1, 30).alias("evidence_span"), F.lit("u").alias("source_url"), F.lit("2024").alias("published_at"), (n % 3 * 0.6).alias("confidence"),
+    )
+    info = F.struct(F.lit("m").alias("model_name"), F.lit("p").alias("prompt_version"), F.lit("r").alias("run_id"))
+    document = F.struct("article_id", F.when(n % 9 == 0, "NO_EVENT").otherwise("has_event").alias("document_label"), F.lit("why").alias("label_reason"), F.array(event).alias("events"), F.array().cast("array<string>").alias("warnings"), info.alias("model_info"))
+    return d, d.select("article_id", F.to_json(document).alias("raw_output"), F.parse_json(F.to_json(document)).alias("label"))
+
+
+_FIRST = "contains(t, trim(regexp_replace(regexp_replace(substr(text, 1, 30), '[ \\t]+', ' ', 'g'), ' *\\n *', chr(10), 'g'), ' ' || chr(10)))"
+
+
+@query(
+    "val01_val02_issue_counts",
+    "WITH i AS (SELECT unnest(list_filter([CASE WHEN doc_id % 9 = 0 THEN 'no_event_has_events' END, CASE WHEN doc_id % 5 = 0 THEN 'invalid_event_type' END, CASE WHEN doc_id % 6 = 0 OR doc_id % 5 = 0 THEN 'invalid_event_subtype_for_type' END, CASE WHEN doc_id % 7 = 0 THEN 'missing_required_string' END, "
+    "CASE WHEN doc_id % 8 = 0 THEN 'invalid_impact_sentiment' END, CASE WHEN doc_id % 3 = 2 THEN 'invalid_confidence' END, CASE WHEN doc_id % 4 <> 0 THEN 'ticker_not_grounded' END, CASE WHEN doc_id % 5 <> 0 THEN 'non_taxonomy_argument_field' END, CASE WHEN doc_id % 5 <> 0 THEN 'argument_key_not_snake_case' END], lambda x: x IS NOT NULL)) AS code FROM documents) "
+    "SELECT code, count(*) AS n FROM i GROUP BY code",
+)
+def _val01(spark, sf_dir):
+    articles, labels = _labels(spark, sf_dir)
+    return validation.validate(labels.select("article_id", "label"), articles, TAXONOMY).groupBy("code").agg(F.count("*").alias("n"))
+
+
+@query("lab03_teacher_routes", "SELECT CASE WHEN doc_id % 10 = 0 THEN 'FAIL' WHEN doc_id % 9 = 0 OR doc_id % 5 = 0 OR doc_id % 6 = 0 OR doc_id % 7 = 0 OR doc_id % 8 = 0 OR doc_id % 3 = 2 OR doc_id % 4 <> 0 THEN 'AUTO_ACCEPTED_WITH_ISSUES' ELSE 'PASS' END AS validation_status, CASE WHEN doc_id % 10 = 0 THEN 'rejected' ELSE 'gold' END AS route, count(*) AS n FROM documents GROUP BY 1, 2")
+def _lab03(spark, sf_dir):
+    articles, labels = _labels(spark, sf_dir)
+    outputs = labels.select("article_id", F.when(F.substring("article_id", -1, 1) == "0", "no json").otherwise(F.concat(F.lit("```json\n"), "raw_output", F.lit("\n```"))).alias("raw_output"))
+    return validation.teacher_records(outputs, articles, TAXONOMY).groupBy("validation_status", "route").agg(F.count("*").alias("n"))
+
+
+@query("agg03_labeling_counts")
+def _agg03(spark, sf_dir):
+    articles, labels = _labels(spark, sf_dir)
+    return validation.labeling_counts(validation.teacher_records(labels.select("article_id", "raw_output"), articles, TAXONOMY))
+
+
+@query("ext05_repair", "SELECT CASE event_id % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'none' WHEN 2 THEN 'extracted' ELSE 'fallback' END AS repaired, count(*) AS n FROM events GROUP BY 1")
+def _ext05(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("article_id"), F.expr(_RAW).alias("raw_output"))
+    return validation.repaired(rows).groupBy("repaired").agg(F.count("*").alias("n"))
+
+
+def _hinted(spark, sf_dir):
+    return dictionaries.attach_hints(fixtures.articles(spark, sf_dir), fixtures.companies(spark), fixtures.keywords(spark)).withColumn("title", F.lit(None).cast("string"))
+
+
+@query("ext03_rule_extract")
+def _ext03(spark, sf_dir):
+    e = verification.rule_extract(_hinted(spark, sf_dir), TAXONOMY)
+    return e.select("article_id", "event_id", "ticker", "company_name", "event_type", "event_subtype", "impact_sentiment", F.md5("evidence_span").alias("evidence"), "confidence")
+
+
+def _drafts(spark, sf_dir):
+    articles = _hinted(spark, sf_dir)
+    e = verification.rule_extract(articles, TAXONOMY)
+    n = F.substring("article_id", 2, 20).cast("bigint")
+    span = F.when(n % 4 == 0, F.concat(F.substring("evidence_span", 1, 80), F.lit(" zz"))).when(n % 4 == 1, F.lit("quite another sentence that no text has")).otherwise(F.substring("evidence_span", 1, 80))
+    return articles, e.withColumn("evidence_span", span).withColumn("event_arguments", F.create_map(F.lit("partner"), F.substring("evidence_span", 1, 12), F.lit("place"), F.lit("Atlantis 9999")))
+
+
+@query("ver01_verified_events")
+def _ver01(spark, sf_dir):
+    articles, drafts = _drafts(spark, sf_dir)
+    out = verification.verify(drafts, articles, TAXONOMY)["events"]
+    return out.select("article_id", "event_id", "event_type", "confidence", F.to_json("event_arguments").alias("event_arguments"), F.array_join("warnings", "|").alias("warnings"))
+
+
+@query("agg16_verification_metrics")
+def _agg16(spark, sf_dir):
+    articles, drafts = _drafts(spark, sf_dir)
+    return verification.verify(drafts, articles, TAXONOMY)["metrics"]
+
+
+def _patterns(spark, sf_dir):
+    e = table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("d"), "doc_id").alias("article_id"), F.concat(F.lit("e"), "doc_id").alias("event_id"), F.lit("CONTRACT").alias("event_type"), F.lit("SIGNED").alias("event_subtype"), F.lit("T").alias("ticker"), F.lit("C").alias("company_name"),
+        F.lit("POSITIVE").alias("impact_sentiment"), F.lit("s").alias("event_summary"), F.when(F.col("doc_id") % 3 == 0, "no such text").otherwise(F.substring_index("text", "\n", 1)).alias("evidence_span"), F.create_map(F.lit("a"), F.lit("b")).alias("event_arguments"),
+    )
+    return verification.patterns(e, fixtures.articles(spark, sf_dir))
+
+
+@query("pat01_patterns", "SELECT 'pattern_' || substr(sha1('d' || doc_id || ':e' || doc_id || ':event'), 1, 16) AS pattern_id, 'd' || doc_id AS article_id, 0 AS n_errors FROM documents")
+def _pat01(spark, sf_dir):
+    return _patterns(spark, sf_dir).select("pattern_id", "article_id", F.size("validation_errors").alias("n_errors"))
+
+
+@query("agg22_pattern_counts", "SELECT count(*) AS n, count(*) AS n_event, 0::BIGINT AS n_rejected FROM documents")
+def _agg22(spark, sf_dir):
+    return verification.pattern_counts(_patterns(spark, sf_dir))
+
+
+@query("jn08_attach_patterns")
+def _jn08(spark, sf_dir):
+    chunks = chunking.build_chunks(fixtures.articles(spark, sf_dir))
+    return verification.attach_patterns(_patterns(spark, sf_dir), chunks)
+
+
+@query("lab01_prompts")
+def _lab01(spark, sf_dir):
+    return verification.prompt_rows(fixtures.articles(spark, sf_dir), "Label the article.").select("article_id", F.char_length("prompt").alias("n"))
+
+
+def _scratch(spark) -> str:
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()}/glosswork-files-{os.getpid()}"
+
+
+@query("src01_jsonl_round_trip", "SELECT doc_id, source, md5(text) AS digest FROM documents")
+def _src01(spark, sf_dir):
+    path = f"{_scratch(spark)}/documents.jsonl"
+    files.write_jsonl(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), path)
+    return files.read_jsonl(spark, path, "doc_id bigint, source string, text string").select("doc_id", "source", F.md5("text").alias("digest"))
+
+
+@query("src02_numbered_lines", "SELECT count(*) AS n, max(r) AS last, count(*) FILTER (WHERE r % 3 = 0) AS bad FROM (SELECT row_number() OVER (ORDER BY doc_id) AS r FROM documents)")
+def _src02(spark, sf_dir):
+    path = f"{_scratch(spark)}/lines.txt"
+    d = table(spark, sf_dir, "documents").repartition(4).select("doc_id")
+    d.select(F.when(F.col("doc_id") % 3 == 0, "{broken").when(F.col("doc_id") % 3 == 1, "7").otherwise('{"a": 1}').alias("value")).write.mode("overwrite").text(path)
+    rows = files.read_jsonl_numbered(spark, path)
+    return rows.agg(F.count_distinct("line_number").alias("n"), F.max("line_number").alias("last"), F.count("error").alias("bad"))
+
+
+SQL["src02_numbered_lines"] = "SELECT count(*) AS n, count(*) AS last, count(*) FILTER (WHERE doc_id % 3 = 0) AS bad FROM documents"
+
+
+@query("src03_csv_round_trip", "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name FROM nation")
+def _src03(spark, sf_dir):
+    path = f"{_scratch(spark)}/nation.csv"
+    files.write_csv(table(spark, sf_dir, "nation"), path, ["n_nationkey", "n_name"])
+    return files.read_csv(spark, path)
+
+
+@query("src09_manifest_upsert", "SELECT 'p' || (page_id % 50) AS html_path, max(page_id) AS newest FROM pages GROUP BY 1")
+def _src09(spark, sf_dir):
+    m = table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), F.col("page_id") % 50).alias("html_path"), "page_id")
+    return files.latest(m, ["html_path"], [F.col("page_id")]).select("html_path", F.col("page_id").alias("newest"))
+
+
+@query("src15_src16_gold_and_predictions")
+def _src15(spark, sf_dir):
+    path = f"{_scratch(spark)}/gold.jsonl"
+    d = table(spark, sf_dir, "labels").select(F.struct(F.concat(F.lit("d"), F.col("doc_id") % 20).alias("article_id"), F.lit("c1").alias("config_name"), F.struct(F.lit("NO_EVENT").alias("document_label"), F.col("doc_id").cast("string").alias("label_reason")).alias("label")).alias("r"))
+    d.select(F.to_json("r").alias("value")).write.mode("overwrite").text(path)
+    gold = files.read_gold(spark, path)
+    predictions = files.read_predictions(spark, path, None).groupBy("article_id", "config_name").agg(F.count("*").alias("n"))
+    return gold.select("article_id", J.field(F.col("label"), "document_label").alias("document_label")).join(predictions, "article_id")
+
+
+@query("stm01_log_tail", "SELECT event_type AS event, count(*) AS n FROM events GROUP BY 1")
+def _stm01(spark, sf_dir):
+    from glosswork.streaming import log_tail
+
+    base = f"{_scratch(spark)}/log{abs(hash(sf_dir))}-{len(os.listdir(tempfile.gettempdir()))}-{int(__import__('time').time() * 1000)}"
+    e = table(spark, sf_dir, "events").select(F.to_json(F.struct(F.col("event_type").alias("event"), F.col("event_id").cast("string").alias("run_id"))).alias("value"))
+    e.write.text(f"{base}/in")
+    log_tail.run_available(log_tail.tail(spark, f"{base}/in"), f"{base}/out", f"{base}/state")
+    return spark.read.parquet(f"{base}/out").groupBy("event").agg(F.count("*").alias("n"))
