@@ -51,7 +51,7 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of an edge list; root is the least node that it reaches.
+    """(node, root) for every node of an edge list that is not itself a root; root is the least node that it reaches.
 
     Alternates large-star and small-star steps until the edges stand still. Each
     step groups by node with partial aggregation and joins back, so a hub with very
