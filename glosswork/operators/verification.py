@@ -46,11 +46,16 @@ def _supported(match: Column) -> Column:
     return match["support"].isin(*SUPPORTED)
 
 
+def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows over all cores: comparing windows costs far more than moving the rows."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "article_id", *keys)
+
+
 def evidence_support(events: DataFrame, articles: DataFrame, contexts: DataFrame | None = None, threshold: float = EVIDENCE) -> DataFrame:
     """events with ``evidence``: the article's match if it supports the span, else the first supporting context in order,
     else the best of all. Contexts are compared only where the article gives no support."""
     text = articles.select("article_id", grounding_text(F.col("title"), F.col("text")).alias("_text"))
-    rows = events.join(text, "article_id", "left").withColumn("evidence", S.find_text_match(T.normalize_text(F.col("evidence_span")), F.coalesce("_text", F.lit("")), threshold))
+    rows = _dealt(events.join(text, "article_id", "left"), "event_index").withColumn("evidence", S.find_text_match(T.normalize_text(F.col("evidence_span")), F.coalesce("_text", F.lit("")), threshold))
     rows = rows.withColumn("evidence_source", F.when(_supported(F.col("evidence")), "article")).drop("_text")
     if contexts is None:
         return rows
@@ -74,6 +79,7 @@ def argument_support(events: DataFrame, articles: DataFrame, threshold: float =
     text = articles.select("article_id", grounding_text(F.col("title"), F.col("text")).alias("_text"))
     each = events.select("article_id", "event_index", "evidence_span", F.explode("event_arguments").alias("key", "value"))
     each = each.withColumn("value", J.flat_text("value")).where(T.has_value(F.col("value"))).join(text, "article_id", "left")
+    each = _dealt(each, "event_index", "key")
     whole = F.concat_ws("\n", "evidence_span", F.coalesce("_text", F.lit("")))
     return each.select("article_id", "event_index", "key", "value", S.find_text_match(F.col("value"), whole, threshold).alias("match"))
 
