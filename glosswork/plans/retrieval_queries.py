@@ -260,12 +260,12 @@ def _ret16(spark, sf_dir):
     f"""
 WITH {_RANKED}, h AS (SELECT *, CASE rank WHEN 3 THEN 0 WHEN 1 THEN 1 WHEN 5 THEN 2 END AS place FROM r WHERE rank <= 6),
 n AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY place NULLS LAST, rank) AS k, count(*) OVER (PARTITION BY case_id) AS c, max(score) OVER (PARTITION BY case_id) AS top FROM h)
-SELECT case_id, chunk_id, CAST(k AS INTEGER) AS rank, round(0.35 * score / top + 0.65 * (c - k + 1) / c, 6) AS score FROM n
-UNION ALL SELECT case_id, chunk_id, CAST(rank AS INTEGER), score FROM r WHERE rank > 6
+SELECT case_id, 'k' || chunk_id AS chunk_id, CAST(k AS INTEGER) AS rank, round(0.35 * score / top + 0.65 * (c - k + 1) / c, 6) AS score FROM n
+UNION ALL SELECT case_id, 'k' || chunk_id, CAST(rank AS INTEGER), score FROM r WHERE rank > 6
 """,
 )
 def _ret15(spark, sf_dir):
-    r = _ranked(spark, sf_dir)
+    r = _ranked(spark, sf_dir).withColumn("chunk_id", F.concat(F.lit("k"), "chunk_id"))
     raw = F.lit('Sure: ```json {"ranked_ids": ["C003", "1", "C5", "nobody"]} ```')
     orders = r.select("case_id").distinct().select("case_id", rerank.parse_listwise(raw).alias("ids"))
     return rerank.apply_listwise(r, orders, 6).select("case_id", "chunk_id", "rank", "score")

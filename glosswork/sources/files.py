@@ -58,15 +58,20 @@ def read_csv(spark: SparkSession, path: str, optional: bool = True) -> DataFrame
     return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
 
 
+def utf8(content: Column) -> Column:
+    """Bytes as UTF-8 text, with a replacement sign for what is no UTF-8."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
 def read_html_dir(spark: SparkSession, path: str) -> DataFrame:
     """path and html of each snapshot. Order by path where the first of several counts."""
     pages = spark.read.format("binaryFile").option("pathGlobFilter", "*.html").load(path)
-    return pages.select("path", F.decode("content", F.lit("utf-8")).alias("html"))
+    return pages.select("path", utf8(F.col("content")).alias("html"))
 
 
 def decode_response(content: Column, charset: Column) -> Column:
     """Bytes as text by the charset of the response; latin-1 or none counts as UTF-8."""
-    return F.when(F.lower(charset).isin("utf-16", "utf-16le", "utf-16be", "us-ascii"), F.decode(content, F.lit("utf-16"))).otherwise(F.decode(content, F.lit("utf-8")))
+    return F.when(F.lower(charset).isin("utf-16", "utf-16le", "utf-16be"), F.decode(content, "utf-16")).otherwise(utf8(content))
 
 
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -139,7 +144,7 @@ def list_reports(spark: SparkSession, path: str) -> DataFrame:
 def report_snapshots(spark: SparkSession, path: str, most: int = 2_000_000) -> DataFrame:
     """path, text of the first ``most`` bytes, whether it was cut, and the value if it is JSON."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    text = F.decode(F.substring("content", 1, most), F.lit("utf-8"))
+    text = utf8(F.substring("content", 1, most))
     json = F.when(F.col("path").endswith(".json") & (F.col("length") <= most), F.try_parse_json(text))
     return files.select("path", F.col("length").alias("size"), text.alias("text"), (F.col("length") > most).alias("truncated"), json.alias("value"))
 
