@@ -25,6 +25,7 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -32,7 +33,9 @@ from pyspark.sql import DataFrame
 from glosswork.llm.shared import small_batches
 
 #: Distinct pieces in each of the two generations that a Python worker remembers.
-REMEMBERED = 150_000
+REMEMBERED = 250_000
+#: Distinct pairs of neighbours that it remembers, and the bits of an id in their keys.
+PAIRS, PAIR = 600_000, 24
 #: A longer piece is encoded anew each time.
 LONG_PIECE = 64
 
@@ -45,10 +48,14 @@ class Vocabulary:
         self.longest = max(map(len, ranks))
         self.bytes_of = {r: b for b, r in ranks.items()}
         self.halves = {r: self._split(b, r) for b, r in ranks.items()}
-        self.merged = {pair: r for r, pair in self.halves.items() if pair}
-        self.stand: dict[tuple[int, int], bool] = {}
-        # tokens that no sequence of merges makes: they only ever encode a whole piece
-        self.reachable = {b: r for b, r in ranks.items() if len(b) == 1 or self.halves[r]}
+        self.merged = {a << PAIR | b: r for r, (a, b) in ((r, p) for r, p in self.halves.items() if p)}
+        self.stand: dict[int, bool] = {}  # by left << PAIR | right
+        # Finds the tokens that end at each byte. Those that no merges make only ever encode a whole piece.
+        self.automaton = ahocorasick.Automaton()
+        for b, r in ranks.items():
+            if len(b) == 1 or self.halves[r]:
+                self.automaton.add_word(b.decode("latin-1"), (r, len(b)))
+        self.automaton.make_automaton()
 
     def _split(self, token: bytes, rank: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; None for single bytes and tokens that no merge makes."""
@@ -61,29 +68,30 @@ class Vocabulary:
         return tuple(self.ranks[p] for p in parts) if len(parts) == 2 else None
 
     def can_stand(self, left: int, right: int) -> bool:
-        """Whether merges leave ``left right`` as these two tokens."""
-        known = self.stand.get((left, right))
-        if known is None:
-            if len(self.stand) > 200_000:
-                self.stand.clear()
-            known = self.stand[left, right] = self._can_stand(left, right)
-        return known
-
-    def _can_stand(self, left: int, right: int) -> bool:
-        # Both tokens are unmerged in falling order of rank, as long as a merge across
-        # the boundary could have come before the merge that is undone.
-        bound = 1 << 62
+        """Whether merges leave ``left right`` as these two tokens.
+
+        Both are unmerged in falling order of rank. If a pair met at the boundary has a merge of lower rank than the
+        merge undone last, that merge would have come first and crossed the boundary. On equal ranks the leftmost merge
+        comes first, so the right one is undone first.
+        """
+        merged, halves = self.merged.get, self.halves
+        bound, a, b = 1 << 62, left, right
         while True:
-            if self.merged.get((left, right), bound) < bound:
-                return False
-            a, b = self.halves[left], self.halves[right]
-            if not a and not b:
-                return True
-            # On equal ranks the leftmost merge comes first, so the right one is undone first.
-            if a and (not b or left > right):
-                bound, left = left, a[1]
+            if merged(a << PAIR | b, bound) < bound:
+                stands = False
+                break
+            x, y = halves[a], halves[b]
+            if x and (not y or a > b):
+                bound, a = a, x[1]
+            elif y:
+                bound, b = b + 1, y[0]
             else:
-                bound, right = right + 1, b[0]
+                stands = True
+                break
+        if len(self.stand) >= PAIRS:
+            self.stand.clear()
+        self.stand[left << PAIR | right] = stands
+        return stands
 
 
 class Piece:
@@ -97,24 +105,24 @@ class Piece:
 
     def append(self, more: bytes) -> None:
         """Adds bytes at the end; what is known of the prefixes stays valid."""
-        v, data = self.vocabulary, self.data + more
-        rank, known, longest, last = v.reachable.get, v.stand.get, v.longest, self.last
-        for end in range(len(self.data) + 1, len(data) + 1):
-            for start in range(end - longest if end > longest else 0, end):
-                token = rank(data[start:end])
-                if token is None:
+        v, known = self.vocabulary, len(self.data)
+        data, last, stood = self.data + more, self.last, v.stand.get
+        base = max(0, known - v.longest)
+        # every token that ends at a byte is met at that byte; one of them can stand there
+        for end, (token, size) in v.automaton.iter(data[base:].decode("latin-1")):
+            end += base
+            if end != len(last):
+                if end > len(last):
+                    break
+                continue
+            if size <= end:
+                left = last[end - size]
+                stands = stood(left << PAIR | token)
+                if not (v.can_stand(left, token) if stands is None else stands):
                     continue
-                if start:
-                    pair = (last[start - 1], token)
-                    stands = known(pair)
-                    if stands is None:
-                        stands = v.can_stand(*pair)
-                    if not stands:
-                        continue
-                last.append(token)
-                break
-            else:
-                raise ValueError(f"no token of the vocabulary can end at byte {end}")
+            last.append(token)
+        if len(last) < len(data):
+            raise ValueError(f"no token of the vocabulary can end at byte {len(last) + 1}")
         self.data = data
 
     def edit(self, start: int, stop: int, new: bytes) -> None:
