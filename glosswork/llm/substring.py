@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glosswork.llm.shared import small_batches
-from glosswork.llm.wordkit import Words, blocks, sliding_min, window_hashes, window_starts
+from glosswork.llm.wordkit import Words, blocks, mix, sliding_min, window_hashes, window_starts
 
 WINDOW = 13
 BLOCK, BUCKET, LEVEL, DATA = "_block", "_bucket", "_level", "_data"
@@ -102,6 +102,11 @@ def _spans(docs: pa.Table, valid: np.ndarray, lengths: tuple[int, ...]):
         yield piece, w, found
 
 
+def _representatives(hashes: np.ndarray, w: int) -> np.ndarray:
+    """The least of each w hashes, mixed again: least values crowd at the low end, and buckets are ranges of values."""
+    return mix(sliding_min(hashes, w).copy())
+
+
 def _pass(docs: pa.Table, known: list[np.ndarray], lengths: list[int], level: int, valid: np.ndarray):
     """Keys and rows of this level: representatives of the next length's windows, or at the last level
     the windows themselves, as far as the levels before left them standing. known: one table per such level."""
@@ -114,11 +119,11 @@ def _pass(docs: pa.Table, known: list[np.ndarray], lengths: list[int], level: in
             continue
         for j in range(level):
             short, longer = lengths[j], lengths[j + 1]
-            alive = _member(sliding_min(found[short][0], longer - short + 1), known[j])
+            alive = _member(_representatives(found[short][0], longer - short + 1), known[j])
             run = np.concatenate([[0], np.cumsum(alive)])
             keep = run[at + top - longer + 1] - run[at] == top - longer + 1
             at, row = at[keep], row[keep]
-        key = hashes[at] if last else sliding_min(found[lengths[level]][0], top - lengths[level] + 1)[at]
+        key = hashes[at] if last else _representatives(found[lengths[level]][0], top - lengths[level] + 1)[at]
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
         keys.append(key[new])
@@ -155,7 +160,7 @@ def strip_repeats(docs: DataFrame, k: int = WINDOW, digest: bool = False, n_bloc
     The kept text is the text itself if nothing goes; a removed word takes the white space after it along.
     """
     n_blocks = n_blocks or block_count(small_batches(docs))
-    buckets = max(32, n_blocks // 4)
+    buckets = max(64, n_blocks // 4)
     lengths = level_lengths(k)
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     place = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
