@@ -291,3 +291,39 @@ def nullable_upper(value: Column) -> Column:
     return F.nullif(F.upper(strip(value)), F.lit(""))
 
 
+
+
+# Fixed value: tokens that an external normaliser must leave alone (upper-case codes).
+PRESERVED = r"(?<!\w)(?:[A-ZĐ]{2,}(?:[_/-][A-ZĐ0-9]+)*|[A-ZĐ]+&[A-ZĐ]+)(?!\w)"
+
+
+def external_normalizer(function):
+    """A column function that runs ``function(text) -> text`` over Arrow, for ``preprocess``.
+
+    Codes are put away behind placeholders before the call and put back after it; a failing call gives null,
+    and ``preprocess`` then keeps its own text.
+    """
+    import re
+
+    code = re.compile(PRESERVED)
+
+    def one(text: str) -> str | None:
+        kept: list[str] = []
+
+        def put_away(match: re.Match) -> str:
+            kept.append(match.group(0))
+            return f"zzkept{len(kept) - 1}zz"
+
+        try:
+            out = str(function(code.sub(put_away, text)))
+        except Exception:  # the caller falls back to the text as it was
+            return None
+        for i, original in enumerate(kept):
+            out = out.replace(f"zzkept{i}zz", original)
+        return out
+
+    @F.arrow_udf(StringType())
+    def run(text: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else one(t) for t in text.to_pylist()], pa.string())
+
+    return run

@@ -92,11 +92,12 @@ def verify(events: DataFrame, articles: DataFrame, taxonomy: Taxonomy, contexts:
     bad_subtype = F.col("event_subtype").isNotNull() & ~F.array_contains(taxonomy.allowed_subtypes(F.col("event_type")), F.col("event_subtype"))
     typed = typed.withColumn("_repaired", F.coalesce(bad_subtype, F.lit(False)).cast("int")).withColumn("event_subtype", F.when(~bad_subtype, F.col("event_subtype")))
     known = taxonomy.known(F.col("event_type"))
-    checked = evidence_support(typed.where(known), articles, contexts)
+    # fuzzy matching is the dear part, and four results read it: kept once, spilling to disk
+    checked = evidence_support(typed.where(known), articles, contexts).persist()
     kept = checked.where(_supported(F.col("evidence")))
     fuzzy = F.col("evidence.match_type") == "fuzzy"
     kept = kept.withColumn("evidence_span", F.when(fuzzy, F.col("evidence.matched_text")).otherwise(F.col("evidence_span"))).withColumn("_repaired", F.col("_repaired") + F.coalesce(fuzzy.cast("int"), F.lit(0)))
-    arguments = argument_support(kept, articles)
+    arguments = argument_support(kept, articles).persist()
     lost = arguments.where(~_supported(F.col("match"))).groupBy(*key).agg(F.collect_set("key").alias("_lost"))
     out = kept.join(lost, key, "left").withColumn("_lost", F.coalesce("_lost", F.array().cast("array<string>")))
     filled = F.map_filter(F.transform_values("event_arguments", lambda k, v: F.when(F.array_contains("_lost", k), F.lit(None).cast("string")).otherwise(v)), lambda k, v: T.has_value(v))

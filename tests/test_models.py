@@ -373,3 +373,27 @@ def test_log_tail_goes_on(spark, tmp_path):
         (folder / f"{i}.log").write_text(f'{{"event": "e{i}", "run_id": "r"}}\n')
         log_tail.run_available(log_tail.tail(spark, str(folder)), str(tmp_path / "out"), str(tmp_path / "state"))
     assert sorted(r["event"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["e0", "e1"]
+
+
+def test_article_tree_picks_the_longest_container():
+    page = '<html><head><meta name="author" content=" A "><title>t</title></head><body><article><p>short</p></article><div class="x detail-content"><p>a <b>long</b> paragraph<br>of text</p><ul><li>item</li></ul><script>no()</script></div><time datetime="2024-01-01">x</time></body></html>'
+    got = H.article_tree(page)
+    assert got["body_text"] == "a long paragraph of text\nitem" and got["author"] == "A" and got["published_at"] == "2024-01-01"
+    assert H.article_tree("<p>unclosed <div>x")["body_text"] and H.article_tree("")["warnings"] == ["missing_title", "missing_published_at", "empty_body"]
+
+
+def test_external_normalizer_keeps_codes(spark):
+    def shout(text):
+        if "fail" in text:
+            raise ValueError("no")
+        return text.lower().replace("xin", "XIN")
+
+    run = T.external_normalizer(shout)
+    assert column(spark, ["Xin FPT_A Chào", "fail HNX"], lambda c: T.preprocess(c, run)) == ["XIN FPT_A chào", "fail HNX"]
+
+
+def test_nodes_run_on_after_errors():
+    from glosswork.operators import extraction
+
+    state, trace = extraction.run_nodes({"a": 1}, {"one": lambda s: {"b": s["a"] + 1}, "two": lambda s: 1 / 0, "three": lambda s: {"c": s["b"]}})
+    assert state == {"a": 1, "b": 2, "c": 2} and [t["status"] for t in trace] == ["ok", "error", "ok"]
