@@ -25,5 +25,12 @@ def local_session(cpus: int | None = None, name: str = "glosswork") -> SparkSess
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver's parquet tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the driver's parquet tables.
+
+    Texts that come in fewer splits than there are cores (one small file) are dealt over the cores; large inputs are not moved.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in ("documents", "pages") and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
+    return df
