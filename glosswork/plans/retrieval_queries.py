@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from glosswork.functions import text as T
+from glosswork.llm.shared import cut
 from glosswork.operators import dictionaries, index, querying, ranking_metrics, rerank, retrieval
 from glosswork.plans import fixtures
 from glosswork.plans.corpus_queries import _KEY
@@ -113,7 +114,14 @@ def hinted(spark, sf_dir):
     )
 
 
-#: Cases for the hybrid queries: query, case, position, text, weight, tickers, companies, keywords, types.
+def searches(spark, sf_dir, mode: str = "legacy"):
+    """The queries of every document whose id is divisible by 50."""
+    d = fixtures.articles(spark, sf_dir).where("doc_id % 50 = 0")
+    rows = cut(dictionaries.attach_hints(d, fixtures.companies(spark), fixtures.keywords(spark)))
+    return cut(querying.build_queries(rows, mode))
+
+
+#: Cases of the queries whose SQL names them: query, case, position, text, weight, tickers, companies, keywords, types.
 CASES = [
     ("a1", "a", 0, "tionnt with thation", 1.0, ["THE"], ["Thtion"], ["tionnt", "idiot"], ["CONTRACT"]),
     ("a2", "a", 1, "idiot clown erthe", 0.65, [], [], ["idiot"], ["LEGAL_RISK"]),
@@ -205,26 +213,26 @@ def _ret11(spark, sf_dir):
 
 
 def _vectors(spark, chunks, queries):
-    v = index.hash_embeddings(chunks, "chunk_id", T.tokens(F.col("text"), False, False), 64)
+    v = cut(index.hash_embeddings(chunks, "chunk_id", T.tokens(F.col("text"), False, False), 64))
     return v, index.hash_embeddings(queries, "query_id", T.tokens(F.col("text"), False, False), 64)
 
 
 @query("ret04_retrieve_hybrid")
 def _ret04(spark, sf_dir):
-    chunks, q = hinted(spark, sf_dir), cases(spark)
+    chunks, q = cut(hinted(spark, sf_dir)), searches(spark, sf_dir)
     return retrieval.retrieve(q, chunks, "rule_aware_rerank", *_vectors(spark, chunks, q)).select("case_id", "chunk_id", "rank", "score")
 
 
 @query("top10_coverage_mmr")
 def _top10(spark, sf_dir):
-    chunks, q = hinted(spark, sf_dir), cases(spark)
+    chunks, q = cut(hinted(spark, sf_dir)), searches(spark, sf_dir, "event_intent")
     out = retrieval.retrieve(q, chunks, "multi_event_aware_hybrid", *_vectors(spark, chunks, q))
     return out.select("case_id", "chunk_id", "rank", "selection_score")
 
 
 @query("ret14_judged_rerank")
 def _ret14(spark, sf_dir):
-    chunks, q = hinted(spark, sf_dir), cases(spark)
+    chunks, q = cut(hinted(spark, sf_dir)), searches(spark, sf_dir)
     return retrieval.retrieve(q, chunks, "llm_reasoning_rerank", *_vectors(spark, chunks, q)).select("case_id", "chunk_id", "rank", "score")
 
 
@@ -273,14 +281,14 @@ def _ret15(spark, sf_dir):
 
 @query("ret13_deterministic_judgments")
 def _ret13(spark, sf_dir):
-    chunks, q = hinted(spark, sf_dir), cases(spark)
-    c = retrieval.stage1(q, chunks, PLAIN)
+    chunks, q = cut(hinted(spark, sf_dir)), searches(spark, sf_dir)
+    c = retrieval.first_candidates(q, chunks, PLAIN, PLAIN.top_k_stage1)  # a judge is given no more of a case
     return rerank.deterministic_judgments(c, q, chunks)
 
 
 @query("ret17_prompts")
 def _ret17(spark, sf_dir):
-    chunks, q = hinted(spark, sf_dir), cases(spark)
+    chunks, q = cut(hinted(spark, sf_dir)), searches(spark, sf_dir)
     return rerank.prompt(retrieval.retrieve(q, chunks, PLAIN), q).select("case_id", F.char_length("prompt").alias("n"))
 
 
@@ -380,6 +388,6 @@ def _ret25(spark, sf_dir):
 
 @query("ret21_context_diversity")
 def _ret21(spark, sf_dir):
-    chunks, q = hinted(spark, sf_dir), cases(spark)
+    chunks, q = cut(hinted(spark, sf_dir)), searches(spark, sf_dir)
     top = retrieval.retrieve(q, chunks, PLAIN)
     return ranking_metrics.diversity(top, 5)

@@ -206,6 +206,39 @@ def test_candidate_dedupe_is_sequential(spark):
     assert got == {1: 1, 2: 2, 4: 3}  # h3 counts as taken only once it is accepted
 
 
+def test_first_candidates_are_those_of_all_pairs(spark):
+    r = __import__("random").Random(4)
+    pick = lambda xs: [x for x in xs if r.random() < 0.3]
+    words = [f"w{i}" for i in range(30)]
+    rows = [
+        (i, f"a{i % 40}", r.choice(["paragraph", "document"]), " ".join(r.choices(words, k=r.choice([5, 9, 12]))), r.choice(["hnx", "x"]), f"h{r.randrange(60)}", pick("AB"), pick(["ca", "cb"]), pick(["k1", "k2"]), pick(["Y", "Z"]))
+        for i in range(200)
+    ]
+    chunks = spark.createDataFrame(rows, "chunk_id long, article_id string, chunk_level string, text string, source string, chunk_hash string, tickers_hint array<string>, company_names_hint array<string>, event_keywords array<string>, event_type_hints array<string>")
+    cases = [
+        (f"q{i}", f"c{i // 2}", i % 2, r.choice(["w1 w2", "w3 w4 w5", "none"]), 0.5 + i % 2 / 2, pick("AB"), pick(["CA"]), pick(["k1", "k2"]), pick("YZ"), f"view{i % 2}", r.choice(["Y", None]))
+        for i in range(24)
+    ]
+    queries = spark.createDataFrame(cases, "query_id string, article_id string, position int, text string, weight double, tickers array<string>, company_names array<string>, event_keywords array<string>, event_type_hints array<string>, query_type string, intent_event_type string")
+    for n, limit in ((5, 3), (8, 1), (20, 2)):
+        config = retrieval.Config("x", bm25_weight=0.3, metadata_weight=0.4, recency_weight=0.5, rule_weight=0.3, use_rule_rerank=True, top_k_stage1=6, per_article_limit=limit)
+        want = retrieval.dedupe_candidates(retrieval.scored(retrieval.stage1(queries, chunks, config), chunks, config), limit).where(F.col("rank") <= n)
+        got = retrieval.first_candidates(queries, chunks, config, n)
+        assert sorted(got.columns) == sorted(want.columns)
+        columns = ["case_id", "chunk_id", "rank", "score", "matched_query_types", "matched_intent_event_types"]
+        as_set = lambda df: {tuple(map(str, x)) for x in df.select(columns).collect()}
+        assert as_set(got) == as_set(want) and got.count() == want.count()
+
+
+def test_hybrid_searches_take_every_fiftieth_document(spark):
+    from glosswork.plans import retrieval_queries
+
+    sf = "/root/testdata/sf0.001"
+    wanted = {f"d{r[0]}" for r in spark.read.parquet(f"{sf}/documents.parquet").where("doc_id % 50 = 0 AND trim(text) <> ''").select("doc_id").collect()}
+    for name in ("ret04_retrieve_hybrid", "ret17_prompts"):
+        assert {r["case_id"] for r in retrieval_queries.QUERIES[name](spark, sf).collect()} == wanted
+
+
 def test_coverage_keeps_the_minority_type():
     rows = [("c", f"m{i}", i + 1, 1 - i / 100, ["MA"], ["same", "words", str(i)], 4, 2) for i in range(8)] + [("c", "d", 9, 0.5, ["DIVIDEND"], ["other"], 4, 2)]
     frame = pd.DataFrame(rows, columns=["case_id", "chunk_id", "rank", "score", "_types", "_tokens", "_k", "_n"])
