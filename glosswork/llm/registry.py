@@ -24,8 +24,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {
-        "op1_toxicity": toxicity.op1,
-        "op2_quality": quality.op2,
         "op3_line_rules": line_rules.OP3_SQL,
         "op8_chat_format": chat.OP8_SQL,
     }

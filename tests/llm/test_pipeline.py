@@ -71,6 +71,12 @@ def test_registered_queries():
     assert set(registry.oracle_sql()) <= names
 
 
+def test_oracles_are_sql():
+    from glosswork.llm import registry as own
+
+    assert all(isinstance(sql, str) for sql in own.oracle_sql().values())
+
+
 def test_components_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (None, 3), (5, 5)], "a long, b long")
     roots = {r["node"]: r["root"] for r in shared.components(edges).collect()}
