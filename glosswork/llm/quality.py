@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,7 +79,8 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _packed(table: np.ndarray) -> pa.RecordBatch:
-    salt = np.random.default_rng().integers(0, 1 << 30)  # only spreads rows over tasks
+    task = TaskContext.get()
+    salt = task.partitionId() if task else 0  # spreads rows over tasks; a repeated task sends them to the same ones
     rows = [x.astype(np.float64).tobytes() for x in np.split(table, PARTS)]
     return pa.RecordBatch.from_pydict(
         {"part": pa.array(range(PARTS), pa.int32()), "salt": pa.array([int(salt)] * PARTS, pa.int32()), "data": pa.array(rows, pa.binary())}

@@ -91,6 +91,13 @@ def test_word_vectors_cover_all_documents(spark):
     assert np.allclose(quality.word_vectors(df), quality.finished_vectors(total, counts))
 
 
+def test_repeated_tasks_send_rows_to_the_same_partitions(spark):
+    docs = spark.createDataFrame([(f"a b c {i}",) for i in range(40)], "text string").repartition(3)
+    tables = docs.mapInArrow(quality._partial, "part int, salt int, data binary").select("part", "salt", F.spark_partition_id().alias("p"))
+    first, again = ({tuple(r) for r in tables.collect()} for _ in range(2))
+    assert first == again and all(salt == p for _, salt, p in first)
+
+
 def test_best_threshold_and_temperature():
     scores, labels = np.array([0.1, 0.2, 0.3, 0.35, 0.4, 0.6, 0.7, 0.8, 0.9, 0.95]), np.array([0, 0, 0, 0, 0, 1, 1, 1, 1, 1])
     assert labelled.best_threshold(scores, labels, 0.5) == 0.5 and labelled.best_threshold(scores[:4], labels[:4], 0.7) == 0.7
