@@ -87,11 +87,16 @@ def ball(fp: Column, radius: int, bits: int = 64) -> Column:
 
 
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a, b) links between distinct fingerprints: each ball's members to its least one."""
+    """(a, b) links between distinct fingerprints: each ball's members to its least one.
+
+    Members of a ball of an odd radius may be one bit too far apart. There, all are tied to the least of those within
+    radius // 2 of the centre, which none is too far from; two that are close have a centre to which one of them is as near.
+    """
     from pyspark.sql import Window
 
     spread = distinct.select("fp", F.explode(ball(F.col("fp"), (radius + 1) // 2)).alias("variant"))
-    least = F.min("fp").over(Window.partitionBy("variant"))
+    inner = F.bit_count(F.col("fp").bitwiseXOR(F.col("variant"))) <= radius // 2
+    least = F.min(F.when(inner, F.col("fp")) if radius % 2 else F.col("fp")).over(Window.partitionBy("variant"))
     return (
         spread.select(F.col("fp").alias("b"), least.alias("a"))
         .where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))

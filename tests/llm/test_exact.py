@@ -1,6 +1,7 @@
 """Operators against brute force on small tables with awkward rows."""
 
 import hashlib
+import random
 import re
 import zlib
 from array import array
@@ -98,6 +99,23 @@ def test_links_lose_no_pair(spark):
                 assert roots.get(a, a) == roots.get(b, b)
 
 
+def test_odd_radii_lose_no_pair(spark):
+    r = random.Random(8)
+    for radius, prints in ((1, [0b1100000, 0b1100001, 0b1000000, 0b0100001]), (3, [sum(1 << b for b in r.sample(range(9), 4)) for _ in range(60)])):
+        prints = sorted(set(prints))
+        got = {tuple(x) for x in simhash.links(spark.createDataFrame([(p,) for p in prints], "fp long"), radius).select("a", "b").collect()}
+        assert all((a ^ b).bit_count() <= radius for a, b in got)
+
+        def groups(pairs):
+            of = {p: p for p in prints}
+            for _ in prints:
+                for a, b in pairs:
+                    of[a] = of[b] = min(of[a], of[b])
+            return of
+
+        assert groups(got) == groups([(a, b) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= radius])
+
+
 def test_keep_first_keeps_one_of_each_group(spark):
     kept = simhash.keep_first(make(spark))
     assert kept.columns == make(spark).columns
