@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from glosswork.functions import text as T
-from glosswork.llm.shared import cut
+from glosswork.lineage import cut
 from glosswork.operators import dictionaries, index, querying, ranking_metrics, rerank, retrieval
 from glosswork.plans import fixtures
 from glosswork.plans.corpus_queries import _KEY
