@@ -1,30 +1,24 @@
-"""Session-side helpers: lineage cuts in the shared folder, sizes, connected components."""
+"""Helpers that several operators share: Arrow batch size, connected components."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glosswork.lineage import cut, new_path, remove, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a local one only where that is unset."""
-    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not given:
-        given = tempfile.mkdtemp(prefix="glosswork-")
-        spark.sparkContext.setCheckpointDir(given)
-    return given.rstrip("/")
-
+__all__ = ["BATCH_ROWS", "components", "cut", "new_path", "remove", "shared_dir", "small_batches"]
 
 #: Rows of an Arrow batch. A batch of long texts is held by the JVM and by Python at once.
 BATCH_ROWS = 1_000
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """df, with Arrow batches in its session of at most BATCH_ROWS rows."""
+    """df, after lowering its session's spark.sql.execution.arrow.maxRecordsPerBatch to BATCH_ROWS where it is larger.
+
+    Spark reads that setting when a plan runs, which is after the operator returned its lazy result, so it stays
+    lowered for the session: the operators need it.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     conf = df.sparkSession.conf
     if not 0 < int(conf.get(key, "10000")) <= BATCH_ROWS:
@@ -32,33 +26,25 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df below the shared folder and read it back: lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/glosswork/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session may be gone; the folder is then the cluster's to clear
-        pass
-
-
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(node, root) for every node of an edge list that is not itself a root; root is the least node that it reaches.
 
     Alternates large-star and small-star steps until the edges stand still. Each
     step groups by node with partial aggregation and joins back, so a hub with very
-    many neighbours is split by the adaptive skew join. Nulls in either column are
-    ignored. Raises if the edges still change after ``rounds`` rounds.
+    many neighbours is split by the adaptive skew join. Each round's table is deleted
+    once the next one is written. Nulls in either column are ignored. Raises if the
+    edges still change after ``rounds`` rounds.
     """
-    now = cut(
+    spark = edges.sparkSession
+
+    def written(df: DataFrame, *spent: str) -> tuple[DataFrame, str]:
+        path = new_path(spark, "edges")
+        out = cut(df, path)
+        for old in spent:
+            remove(spark, old)
+        return out, path
+
+    now, path = written(
         edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
         .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
         .distinct()
@@ -73,7 +59,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        now = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        now, path = written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), path)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
