@@ -76,7 +76,7 @@ def fingerprints_of(col: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         fp = fingerprints_of(batch.column(1)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fp)], names=["doc_id", "text_hash", "fp"])
 
 
 def ball(fp: Column, radius: int, bits: int = 64) -> Column:
@@ -105,8 +105,9 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def simhash_components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp (long) and component_id of every row of docs (doc_id, text)."""
-    prints = cut(small_batches(docs).select("doc_id", "text").mapInArrow(_fingerprint_batches, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long"))
+    """doc_id, text_hash (xxhash64), fp (long) and component_id of every row of docs (doc_id, text)."""
+    slim = small_batches(docs).select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    prints = cut(slim.mapInArrow(_fingerprint_batches, f"doc_id {dict(docs.dtypes)['doc_id']}, text_hash long, fp long"))
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc"))
     roots = components(links(distinct, radius))
     member = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
@@ -114,7 +115,7 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     )
     label = member.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     by_print = member.join(label, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(by_print, "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
 def hex_print(fp: Column) -> Column:
@@ -130,7 +131,9 @@ def op10(spark, sf_dir: str) -> DataFrame:
 def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """docs without the rows whose component has a smaller doc_id.
 
-    Rows with a null doc_id stay: nothing tells which of them came first.
+    A row goes by its doc_id and text, so another text under the same doc_id stays unless its own component has a
+    smaller doc_id. Rows with a null doc_id stay: nothing tells which of them came first.
     """
-    drop = simhash_components(docs, radius).where("doc_id > component_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti")
+    found = simhash_components(docs, radius).where("doc_id > component_id")
+    drop = found.select(F.col("doc_id").alias("_later_doc"), F.col("text_hash").alias("_later_text")).distinct()
+    return docs.join(drop, (docs["doc_id"] == drop["_later_doc"]) & (F.xxhash64(docs["text"]) == drop["_later_text"]), "left_anti")
