@@ -67,25 +67,28 @@ class Model:
         self.scale, self.shift, self.constant = 1.0, 0.0, None
 
     def _embed(self, words: np.ndarray, prefixes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Embeddings of all rows, each row followed by zeros so that no filter spans two; row starts and ends."""
+        """Embeddings of all rows, each row followed by zeros; where each row starts, and the place of each word."""
         pad = max(WIDTHS) - 1
         n = np.diff(first)
         start = first[:-1] + (pad + 1) * np.arange(len(n))  # at least one place per row, with no word in it if need be
-        x = np.zeros((len(words) + (pad + 1) * len(n), 2 * HALF), np.float32)
+        x = np.zeros((len(words) + (pad + 1) * len(n), 2 * HALF), self.words.dtype)
         at = np.arange(len(words)) + np.repeat(start - first[:-1], n)
         x[at, :HALF] = self.words[words]
         x[at, HALF:] = self.prefixes[prefixes]
         return x, start, at
 
-    def _conv(self, x: np.ndarray, k: int) -> np.ndarray:
+    def _conv(self, x: np.ndarray, k: int, start: np.ndarray) -> np.ndarray:
+        """The filters of width k at each place; where they would reach into the next row they never are the maximum."""
         z = x[: len(x) - k + 1] @ self.net[f"w{k}"][0]
         for j in range(1, k):
             z += x[j : len(x) - k + 1 + j] @ self.net[f"w{k}"][j]
+        for j in range(1, k):
+            z[start[1:] - j] = -np.inf
         return z
 
     def logits(self, words: np.ndarray, prefixes: np.ndarray, first: np.ndarray) -> np.ndarray:
         x, start, _ = self._embed(words, prefixes, first)
-        top = [np.maximum.reduceat(self._conv(x, k), start, axis=0) + self.net[f"b{k}"] for k in WIDTHS]
+        top = [np.maximum.reduceat(self._conv(x, k, start), start, axis=0) + self.net[f"b{k}"] for k in WIDTHS]
         h = np.maximum(np.concatenate(top, axis=1), 0)
         return (h @ self.net["out"] + self.net["bias"][0]).astype(np.float64)
 
@@ -119,7 +122,8 @@ class Model:
                 rows = order[lo : lo + BATCH]
                 self._train(texts, labels, weight, rows, adam, squares)
 
-    def _train(self, texts, labels, weight, rows, adam, squares) -> None:
+    def gradients(self, texts, labels, weight, rows) -> tuple[dict[str, np.ndarray], dict[str, tuple[np.ndarray, np.ndarray]]]:
+        """Of the weighted log loss of some texts: by the network's weights, and for each table its rows with theirs."""
         words = np.concatenate([texts[i][0] for i in rows])
         prefixes = np.concatenate([texts[i][1] for i in rows])
         first = np.concatenate([[0], np.cumsum([len(texts[i][0]) for i in rows])])
@@ -127,13 +131,13 @@ class Model:
         end = np.append(start[1:], len(x))
         tops, places = [], []
         for k in WIDTHS:
-            z = self._conv(x, k)
+            z = self._conv(x, k, start)
             place = np.stack([a + z[a : min(b, len(z))].argmax(axis=0) for a, b in zip(start, end)])
             places.append(place)
             tops.append(np.take_along_axis(z, place, axis=0) + self.net[f"b{k}"])
         h = np.maximum(np.concatenate(tops, axis=1), 0)
         p = labelled.sigmoid(h @ self.net["out"] + self.net["bias"][0])
-        d = ((p - labels[rows]) * weight[rows] / len(rows)).astype(np.float32)
+        d = ((p - labels[rows]) * weight[rows] / len(rows)).astype(self.words.dtype)
         grads = {"out": h.T @ d + 1e-4 * self.net["out"], "bias": d.sum(keepdims=True)}
         dh = d[:, None] * self.net["out"] * (h > 0)
         dx_at, dx = [], []
@@ -144,16 +148,23 @@ class Model:
             for j in range(k):
                 dx_at.append((places[i] + j).ravel())
                 dx.append((g[:, :, None] * self.net[f"w{k}"][j].T).reshape(-1, x.shape[1]))
-        adam.step(grads)
         word_at = np.full(len(x), -1)
         word_at[at] = np.arange(len(words))
         hit = word_at[np.concatenate(dx_at)]
         grad = np.concatenate(dx)[hit >= 0]
         hit = hit[hit >= 0]
+        tables = {}
         for name, ids, part in (("words", words, grad[:, :HALF]), ("prefixes", prefixes, grad[:, HALF:])):
             rows_hit, back = np.unique(ids[hit], return_inverse=True)
-            total = np.zeros((len(rows_hit), HALF), np.float32)
+            total = np.zeros((len(rows_hit), HALF), part.dtype)
             np.add.at(total, back, part)
+            tables[name] = rows_hit, total
+        return grads, tables
+
+    def _train(self, texts, labels, weight, rows, adam, squares) -> None:
+        grads, tables = self.gradients(texts, labels, weight, rows)
+        adam.step(grads)
+        for name, (rows_hit, total) in tables.items():
             squares[name][rows_hit] += (total**2).mean(axis=1)
             getattr(self, name)[rows_hit] -= 0.02 * total / np.sqrt(squares[name][rows_hit])[:, None]
 
