@@ -7,8 +7,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Most labelled documents that a classifier is fitted on, of either label.
-MOST_ONES, MOST_ZEROS = 5_000, 8_000
+from glosswork.lineage import cut, new_path, remove
+
+#: Most labelled documents that a classifier is fitted on, of either label, and most bytes of their texts per label.
+MOST_ONES, MOST_ZEROS, MOST_BYTES = 5_000, 8_000, 16_000_000
 
 
 def fold(doc_id: Column) -> Column:
@@ -16,13 +18,15 @@ def fold(doc_id: Column) -> Column:
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5).cast("int")
 
 
-def sample(docs: DataFrame, labels: DataFrame, column: str, ones: int = MOST_ONES, zeros: int = MOST_ZEROS) -> tuple[pa.Table, float]:
-    """Up to ``ones`` + ``zeros`` labelled documents (text, lang, label, fold) outside fold 0, and log odds that
-    correct for taking the labels at different rates.
+def sample(
+    docs: DataFrame, labels: DataFrame, column: str, ones: int = MOST_ONES, zeros: int = MOST_ZEROS, most_bytes: int = MOST_BYTES
+) -> tuple[pa.Table, float]:
+    """Up to ``ones`` + ``zeros`` labelled documents (text, lang, label, fold) outside fold 0, whose texts have up to
+    ``most_bytes`` bytes per label, and log odds that correct for taking the labels at different rates.
 
-    The rows are those with the least hashes of doc_id, so the sample does not depend on partitioning. A document with
-    several labels counts with the largest; null labels are left out. Only the chosen doc_ids, at most as many as the
-    bound, are broadcast.
+    The documents are those with the least hashes of doc_id, so the sample does not depend on partitioning. Of several
+    rows with one doc_id the one with the least hash of its text counts. A document with several labels counts with the
+    largest; null labels are left out. What the driver takes is bounded by the three numbers, whatever the tables hold.
     """
     given = (
         labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull())
@@ -34,9 +38,28 @@ def sample(docs: DataFrame, labels: DataFrame, column: str, ones: int = MOST_ONE
     counts = {r["label"]: r["count"] for r in given.groupBy("label").count().collect()}
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = given.where("label = 1").orderBy(*order).limit(ones).union(given.where("label = 0").orderBy(*order).limit(zeros))
-    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").toArrow().combine_chunks()
-    rate = [min(1.0, most / max(1, counts.get(label, 0))) for label, most in ((0, zeros), (1, ones))]
-    return rows, float(np.log(rate[0] / rate[1]))
+    met = docs.select("doc_id", "text", F.col("lang").cast("string")).join(F.broadcast(chosen), "doc_id")  # at most ones + zeros rows
+    first = F.min_by(F.struct("text", "lang"), F.struct(F.xxhash64("text", "lang"), "text", "lang")).alias("_row")
+    path = new_path(docs.sparkSession, "sample")
+    rows = cut(met.groupBy("doc_id", "label", "fold").agg(first).select("doc_id", "label", "fold", "_row.*"), path)
+    total, taken, last = {0: 0, 1: 0}, {0: 0, 1: 0}, {}
+    for r in rows.select("label", F.xxhash64("doc_id").alias("h"), "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).orderBy("h", "doc_id").collect():
+        if total[r["label"]] is None:
+            continue
+        if total[r["label"]] + r["n"] > most_bytes and taken[r["label"]]:
+            total[r["label"]] = None  # the rest of this label is beyond the bound
+            continue
+        total[r["label"]] += r["n"]
+        taken[r["label"]] += 1
+        last[r["label"]] = r["h"]
+    inside = F.lit(False)
+    for label, h in last.items():
+        inside = inside | ((F.col("label") == label) & (F.xxhash64("doc_id") <= h))
+    kept = rows.where(inside).select("text", "lang", "label", "fold", F.xxhash64("doc_id").alias("h"))
+    table = kept.toArrow().combine_chunks().sort_by("h").drop_columns(["h"]).combine_chunks()  # one order, one model
+    remove(docs.sparkSession, path)
+    rate = [max(1, taken[label]) / max(1, counts.get(label, 0), taken[label]) for label in (0, 1)]
+    return table, float(np.log(rate[0] / rate[1]))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -183,19 +183,21 @@ class Network:
             order = r.permutation(len(x))
             for lo in range(0, len(order), BATCH):
                 rows = order[lo : lo + BATCH]
-                a = (x[rows] - self.centre) / self.width
-                h = np.maximum(a @ self.net["w1"] + self.net["b1"], 0)
-                p = labelled.sigmoid(h @ self.net["w2"] + self.net["b2"][0])
-                d = ((p - y[rows]) / len(rows)).astype(np.float32)
-                dh = d[:, None] * self.net["w2"] * (h > 0)
-                adam.step(
-                    {
-                        "w1": a.T @ dh + 1e-3 * self.net["w1"],
-                        "b1": dh.sum(axis=0),
-                        "w2": h.T @ d + 1e-3 * self.net["w2"],
-                        "b2": d.sum(keepdims=True),
-                    }
-                )
+                adam.step(self.gradients(x[rows], y[rows]))
+
+    def gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean log loss with its penalty on the weights."""
+        a = (x - self.centre) / self.width
+        h = np.maximum(a @ self.net["w1"] + self.net["b1"], 0)
+        p = labelled.sigmoid(h @ self.net["w2"] + self.net["b2"][0])
+        d = ((p - y) / len(y)).astype(self.net["w2"].dtype)
+        dh = d[:, None] * self.net["w2"] * (h > 0)
+        return {
+            "w1": a.T @ dh + 1e-3 * self.net["w1"],
+            "b1": dh.sum(axis=0),
+            "w2": h.T @ d + 1e-3 * self.net["w2"],
+            "b2": d.sum(keepdims=True),
+        }
 
 
 def train(docs: DataFrame, labels: DataFrame, column: str = "quality") -> tuple[np.ndarray, Network]:
