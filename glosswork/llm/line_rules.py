@@ -2,14 +2,15 @@
 
 DataFrame functions only. Lines are split at ``\\n``; a line is normalised by lower case and
 single spaces between words, and hashed. For every host (``source``) the distinct documents
-of each line are counted. A line in more than ``least_docs`` documents and more than
-``share`` of the host's documents is above the limit; the words of such lines are removed,
-and a document left with less than ``keep_share`` of its words is rejected as depleted.
+of each line are counted. The limit of a host is ``share`` of its documents, but not under
+``least_docs`` nor over ``most_docs``, so that on a hot host too a line in more than
+``most_docs`` documents goes. The words of lines above it are removed, and a document left
+with less than ``keep_share`` of its words is rejected as depleted.
 
 Rows: a null text has no words, lines or symbols and fails the base rules. A null source is
-a host of its own. Each row counts as one document,
-repeated rows too. Extra columns are ignored. An empty
-table gives an empty result. Long texts are taken whole.
+a host of its own. Rows that share a doc_id count as one document of their host; a row with a
+null doc_id counts by itself. Extra columns are ignored. An empty table gives an empty result.
+Long texts are taken whole.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ SYMBOL = r"[#*$%&|<>]"
 REPEAT_WINDOW = 8
 LEAST_WORDS = 20
 MOST_REPEATED = 30  # percent of the words
-LEAST_DOCS = 20
+LEAST_DOCS, MOST_DOCS = 20, 200
 SHARE = 0.002
 KEEP_SHARE = 0.5
 
@@ -82,6 +83,7 @@ def base_rules(docs: DataFrame) -> DataFrame:
 def line_rules(
     docs: DataFrame,
     least_docs: int = LEAST_DOCS,
+    most_docs: int = MOST_DOCS,
     share: float = SHARE,
     keep_share: float = KEEP_SHARE,
     with_text: bool = False,
@@ -94,10 +96,12 @@ def line_rules(
     slim = docs.select("doc_id", "text", host.alias("_host"))
     base = base_rules(slim).withColumn("_row", F.monotonically_increasing_id())
     base = cut(base if with_text else base.drop("text"))  # from here on row numbers stand still
-    each = base.select("_host", F.explode(F.array_distinct(F.transform("_lines", lambda x: x["h"]))).alias("h"))
-    hosts = base.groupBy("_host").agg(F.count("*").alias("docs"))
-    often = each.groupBy("_host", "h").agg(F.count("*").alias("n")).where(F.col("n") > least_docs)
-    common = cut(often.join(hosts, "_host").where(F.col("n") > F.col("docs") * share).select("_host", "h"))
+    document = F.struct("doc_id", F.when(F.col("doc_id").isNull(), F.col("_row")).alias("row"))
+    each = base.select("_host", document.alias("_doc"), F.explode(F.array_distinct(F.transform("_lines", lambda x: x["h"]))).alias("h"))
+    hosts = base.groupBy("_host").agg(F.count_distinct(document).alias("docs"))
+    often = each.groupBy("_host", "h").agg(F.count_distinct("_doc").alias("n")).where(F.col("n") > least_docs)
+    limit = F.least(F.lit(most_docs), F.greatest(F.lit(least_docs), F.col("docs") * share))
+    common = cut(often.join(hosts, "_host").where(F.col("n") > limit).select("_host", "h"))
     lines = base.select("_row", "_host", F.explode("_lines").alias("_line")).select("_row", "_host", "_line.h", "_line.w")
     removed = lines.join(common, ["_host", "h"]).groupBy("_row").agg(F.sum("w").alias("_gone"), F.collect_set("h").alias("_common"))
     out = base.join(removed if with_text else removed.drop("_common"), "_row", "left")
@@ -119,9 +123,10 @@ def op3(spark, sf_dir: str) -> DataFrame:
 
 OP3_SQL = rf"""
 WITH d AS (
-  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, source FROM documents
+  SELECT *, coalesce('d' || doc_id, 'r' || r) AS doc
+  FROM (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, source FROM documents)
 ), w AS (
-  SELECT *, regexp_extract_all(t, '[^ 	-]+') AS words FROM d
+  SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words FROM d
 ), p AS (
   SELECT r, words, unnest(range(1, len(words) - {REPEAT_WINDOW - 2})) AS i FROM w WHERE len(words) > {REPEAT_WINDOW}
 ), g AS (
@@ -130,22 +135,22 @@ WITH d AS (
   SELECT r, count(DISTINCT i + k) AS n_repeat_words
   FROM g, (SELECT unnest(range(0, {REPEAT_WINDOW})) AS k) WHERE n > 1 GROUP BY r
 ), l AS (
-  SELECT r, source, line, lower(trim(regexp_replace(line, '[ 	-]+', ' ', 'g'))) AS norm,
-         len(regexp_extract_all(line, '[^ 	-]+')) AS nw
-  FROM (SELECT r, source, unnest(string_split(t, chr(10))) AS line FROM d)
-  WHERE regexp_matches(line, '[^ 	-]')
+  SELECT r, doc, source, line, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS norm,
+         len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS nw
+  FROM (SELECT r, doc, source, unnest(string_split(t, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ), dup AS (
   SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY r
 ), h AS (
-  SELECT source, count(*) AS docs FROM d GROUP BY source
+  SELECT source, count(DISTINCT doc) AS docs FROM d GROUP BY source
 ), often AS (
   SELECT l.source, norm FROM l JOIN h ON l.source IS NOT DISTINCT FROM h.source
-  GROUP BY l.source, norm, docs HAVING count(DISTINCT r) > {LEAST_DOCS} AND count(DISTINCT r) > docs * {SHARE}
+  GROUP BY l.source, norm, docs HAVING count(DISTINCT doc) > least({MOST_DOCS}, greatest({LEAST_DOCS}, docs * {SHARE}))
 ), gone AS (
   SELECT r, sum(nw) AS n FROM l JOIN often o ON l.source IS NOT DISTINCT FROM o.source AND l.norm = o.norm GROUP BY r
 ), b AS (
   SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words,
-         CAST(length(regexp_replace(t, '[ 	-]+', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
          CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
          CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
