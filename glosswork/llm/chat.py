@@ -9,9 +9,10 @@ What is left is rendered with role markers.
 DataFrame functions only. The turns of one conversation must fit into one row.
 
 Rows: turns are ordered by turn, then role and text; exactly repeated rows of a
-conversation count once. A null role or text counts as empty; a null turn comes last; rows
-with a null conv_id make up one conversation, which is the last choice among equal ones.
-Extra columns are ignored. An empty table gives an empty result.
+conversation count once. A null role or text counts as empty; a null turn comes last. A row
+with a null conv_id belongs to no conversation known: it is a conversation of one turn by
+itself (so such rows are never gathered), and the last choice among equal ones. Extra
+columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -52,7 +53,9 @@ def prefix_hashes(turns: Column) -> Column:
 def maximal_conversations(turns: DataFrame) -> DataFrame:
     """conv_id, turns (array of structs) and n_copies of the conversations that no other one continues."""
     row = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    whole = turns.groupBy("conv_id").agg(F.array_sort(F.collect_set(row)).alias("turns"))
+    known, lone = F.col("conv_id").isNotNull(), F.col("conv_id").isNull()
+    whole = turns.where(known).groupBy("conv_id").agg(F.array_sort(F.collect_set(row)).alias("turns"))
+    whole = whole.unionByName(turns.where(lone).select("conv_id", F.array(row).alias("turns")))
     whole = cut(whole.withColumn("hashes", prefix_hashes(F.col("turns"))).withColumn("_row", F.monotonically_increasing_id()))
     last = whole.select("_row", "conv_id", F.element_at("hashes", -1).alias("h"))
     first = F.min(F.struct(F.col("conv_id").isNull(), "conv_id", "_row"))
@@ -79,7 +82,11 @@ WITH t AS (
   SELECT conv_id, count(*) AS n_turns,
          string_agg('<|im_start|>' || replace(role, '<|im_', '<| im_') || chr(10) || replace(text, '<|im_', '<| im_')
                     || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS chat
-  FROM t GROUP BY conv_id
+  FROM t WHERE conv_id IS NOT NULL GROUP BY conv_id
+  UNION ALL
+  SELECT NULL, 1, '<|im_start|>' || replace(coalesce(role, ''), '<|im_', '<| im_') || chr(10) || replace(coalesce(text, ''), '<|im_', '<| im_')
+                  || '<|im_end|>' || chr(10)
+  FROM conversations WHERE conv_id IS NULL
 ), d AS (
   SELECT min(conv_id) AS conv_id, any_value(n_turns) AS n_turns, count(*) AS n_copies, chat FROM c GROUP BY chat
 )
