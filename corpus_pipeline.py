@@ -12,9 +12,9 @@ folder and reads them back before the next one.
 4. decontaminate: documents that hold a benchmark passage go.
 5. encode: byte-level BPE ids of each text, with digests of the ids and of the decoded bytes.
 
-Nulls, ties, empty tables and long texts are handled as the operators' modules say. Rows that
-share a doc_id are kept or dropped together by stage 2. Columns beyond those of documents
-pass through stages 1 to 4.
+Nulls, ties, empty tables and long texts are handled as the operators' modules say. Of rows that
+share a doc_id, stage 2 judges each text by itself. Columns beyond those of documents, whatever
+their names, pass through stages 1 to 4.
 """
 
 from __future__ import annotations
@@ -37,11 +37,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def strip_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = substring.strip_repeats(docs, PASSAGE_WORDS).where("n_words = 0 OR n_removed < n_words")
+    out = substring.stripped(docs, PASSAGE_WORDS).where("n_words = 0 OR n_removed < n_words")
+    kept = F.col("kept")
     if "n_chars" in docs.columns:
-        kind = dict(docs.dtypes)["n_chars"]
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        given, kind = kept.getField("n_chars"), dict(docs.dtypes)["n_chars"]
+        kept = kept.withField("n_chars", F.when(F.col("n_removed") > 0, F.char_length(kept.getField("text")).cast(kind)).otherwise(given))
+    return out.select(kept.alias("kept")).select(*[F.col("kept").getField(c).alias(c) for c in docs.columns])
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
