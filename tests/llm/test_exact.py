@@ -13,6 +13,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from glosswork.llm import bpe, chat, decontaminate, license_scan, line_rules, sharding, simhash, substring, wordkit
 from tests.llm.helpers import BASE, WORD, documents, empty, make
@@ -62,8 +63,6 @@ def fingerprint(text):
 
 def test_simhash_components(spark):
     rows = documents()
-    from pyspark.sql import functions as F
-
     got = simhash.simhash_components(make(spark)).select("doc_id", simhash.hex_print(F.col("fp")).alias("f"), "component_id").collect()
     prints = [fingerprint(r[1]) for r in rows]
     group = list(range(len(rows)))
@@ -122,6 +121,9 @@ def test_keep_first_keeps_one_of_each_group(spark):
     ids = Counter(r["doc_id"] for r in kept.collect())
     assert 1 in ids and 7 not in ids and ids[None] == 1 and 2 in ids
     assert simhash.keep_first(empty(spark)).count() == 0
+    # another text of a doc_id that goes stays
+    df = spark.createDataFrame([(1, "one two three four"), (5, "one two three four"), (5, "quite another text of this number")], "doc_id bigint, text string")
+    assert sorted(tuple(r) for r in simhash.keep_first(df).collect()) == [(1, "one two three four"), (5, "quite another text of this number")]
 
 
 # op5
@@ -148,10 +150,39 @@ def without_repeats(rows, k):
 
 @pytest.mark.parametrize("k", [13, 5, 26])
 def test_substring_digest(spark, k):
-    got = substring.strip_repeats(make(spark).select("doc_id", "text"), k, digest=True).collect()
+    got = substring.stripped(make(spark).select("doc_id", "text"), k, digest=True).select("kept.doc_id", "n_words", "n_removed", "kept_sha256").collect()
     assert Counter(tuple(r) for r in got) == Counter(without_repeats(documents(), k))
 
 
+def test_substring_clashing_columns_and_text_ids(spark):
+    rows = [(f"d{r[0]:03d}" if r[0] is not None else None, r[1], 99, -1, "x", "y", "z") for r in documents()]
+    names = "doc_id string, text string, n_words bigint, n_removed bigint, _block string, _rest string, `a.b` string"
+    df = spark.createDataFrame(rows, names)
+    out = substring.stripped(df, 13)
+    want = {r[0]: r[1:3] for r in without_repeats(rows, 13)}
+    got = out.select("kept.*", F.col("n_words").alias("words"), F.col("n_removed").alias("removed")).collect()
+    assert got[0].__fields__[:7] == df.columns and len(got) == len(rows)
+    assert all(tuple(r)[2:7] == (99, -1, "x", "y", "z") and want[r["doc_id"]] == (r["words"], r["removed"]) for r in got)
+    assert substring.strip_repeats(df, 13).columns == ["doc_id", "text", "_block", "_rest", "a.b", "n_words", "n_removed"]
+
+
+def test_equal_first_hashes_do_not_remove(spark, monkeypatch):
+    """With a first hash that is the same for all windows only the second tells them apart."""
+    real = substring.window_hashes
+    monkeypatch.setattr(substring, "window_hashes", lambda h, k: np.full(max(0, len(h) - k + 1), 7, np.uint64))
+    monkeypatch.setattr(substring, "second_hashes", lambda h, k: real(h, k))
+    texts, ids = [" ".join(f"w{i}" for i in range(20)), " ".join(f"v{i}" for i in range(20)), " ".join(f"w{i}" for i in range(20))], [1, 2, 3]
+    inside = pa.table({"_id": ids, "_text": texts, "_rest": ids})
+    none = np.zeros(0, np.uint64)
+    assert substring._cut(inside, none, none, 13, True).column("n_removed").to_pylist() == [0, 0, 20]
+
+
+def test_blocks_grow_with_the_text():
+    assert substring.block_count(0) == 64 and substring.block_count(1 << 30) < 600
+    size = [n / substring.block_count(int(n)) for n in (1e9, 1e11, 1e14)]
+    assert size[0] < size[1] < size[2] <= substring.BLOCK_MOST
+
+
 def test_substring_text_keeps_columns(spark):
     out = substring.strip_repeats(make(spark), 13)
     assert out.columns == make(spark).columns + ["n_words", "n_removed"]
@@ -238,6 +269,34 @@ def test_sharding_laws(spark):
     assert sharding.assign_shards(empty(spark)).count() == 0
 
 
+@given(st.lists(st.integers(0, 9), max_size=30), st.integers(1, 5))
+@settings(max_examples=80, deadline=None)
+def test_longest_first_equals_a_scan_for_the_least_load(sizes, shards):
+    loads, want = [0] * shards, {}
+    for key, size in sorted([((i,), s) for i, s in enumerate(sizes)], key=lambda x: (-x[1], x[0])):
+        best = min(range(shards), key=lambda k: (loads[k], k))
+        want[key] = best
+        loads[best] += size
+    assert sharding.longest_first([((i,), s) for i, s in enumerate(sizes)], shards) == want
+
+
+def test_sharding_equals_longest_first_of_groups(spark):
+    """With a unit for every group the shards are those of a plain schedule over the groups."""
+    r = random.Random(3)
+    rows = [(i, "x" * r.choice([5, 50, 500, 5000]) + str(r.randrange(12)), None, None, None, 0.0, "", 0) for i in range(90)] + documents()
+    got = sharding.assign_shards(make(spark, rows), 3, units=1 << 20).collect()
+    bytes_of = defaultdict(int)
+    for x in rows:
+        bytes_of[x[1]] += len((x[1] or "").encode()) + 1
+    loads = [0, 0, 0]
+    for text, size in sorted(bytes_of.items(), key=lambda kv: (-kv[1], hashlib.sha256(kv[0].encode()).hexdigest() if kv[0] is not None else "")):
+        loads[loads.index(min(loads))] += size
+    found = [0, 0, 0]
+    for x in got:
+        found[x["shard"]] += x["size"]
+    assert found == loads
+
+
 @given(st.lists(st.integers(1, 100), max_size=30))
 @settings(max_examples=60, deadline=None)
 def test_longest_first_bound(sizes):
@@ -276,6 +335,22 @@ def test_line_rules_common_lines(spark):
     assert got[100]["n_common_words"] == 40 and not got[100]["kept"] and got[200]["kept"]
 
 
+def test_line_rules_count_documents_not_rows(spark):
+    own = lambda i: " ".join(f"t{i}x{j}" for j in range(30))
+    rows = [(7, f"{own(7)}\nits own line again", "h")] * 25 + [(i, f"{own(i)}\ncommon line of many", "h") for i in range(100, 130)]
+    rows += [(None, f"{own(0)}\nline of rows without id", "h")] * 25
+    got = line_rules.line_rules(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), least_docs=20, share=0.1).collect()
+    assert {r["doc_id"]: r["n_common_words"] for r in got} == {7: 0, None: 35, **{i: 4 for i in range(100, 130)}}
+
+
+def test_line_rules_most_docs_holds_on_a_hot_host(spark):
+    own = lambda i: " ".join(f"t{i}x{j}" for j in range(30))
+    rows = [(i, own(i) + ("\nread more here now" if i < 45 else ""), "hot") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    count = lambda **k: sum(r["n_common_words"] > 0 for r in line_rules.line_rules(df, least_docs=10, share=0.5, **k).collect())
+    assert count() == 0 and count(most_docs=40) == 45
+
+
 # op8
 
 
@@ -290,6 +365,10 @@ def test_chat_keeps_maximal_conversations(spark):
     assert set(got) == {2, 3, 6, 7} and got[3]["n_copies"] == 2 and got[2]["n_turns"] == 4
     assert got[2]["chat"].startswith("<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nyo")
     assert got[7]["chat"].count("<|im_end|>") == 2
+    lone = spark.createDataFrame([(None, 0, "user", "a"), (None, 1, "user", "b"), (None, 0, "user", "b")], "conv_id bigint, turn bigint, role string, text string")
+    assert sorted((r["n_turns"], r["n_copies"], r["chat"]) for r in chat.format_chats(lone).collect()) == [
+        (1, 1, "<|im_start|>user\na<|im_end|>\n"), (1, 2, "<|im_start|>user\nb<|im_end|>\n")
+    ]
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
