@@ -10,8 +10,14 @@ lie within e of each other. So shared q-grams are counted in diagonal bands of 2
 overlap by half; bands that reach the bound are aligned in a band of diagonals, and the rest
 cannot match.
 
-Each document is worked on alone, in one scan. The q-gram index of the benchmark goes to every
-task in parts of at most PART_BYTES of text; a larger benchmark takes several scans.
+Some q-grams stand in very many segments. Of a segment with COMMON ones among its grams the
+commonest are left out of the index, and each lowers by one the number that a match must share,
+down to KEEP: a match still shares that many of the rest. So no document meets all segments
+over a stock phrase, and none is lost.
+
+Each document is worked on alone. The benchmark goes to every task in parts of at most
+PART_BYTES of text, and a Python worker builds a part's q-gram index once; a larger benchmark
+takes one scan per part.
 
 Rows: a null or empty document matches nothing; null items and items with fewer than q bytes
 after normalisation match nothing. Repeated documents each give their rows, repeated items too.
@@ -24,21 +30,26 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glosswork.llm.shared import small_batches
+from glosswork.llm.shared import cut, small_batches
 from glosswork.llm.wordkit import blocks, lower_latin
 
 Q = 8
 RATE = 0.09
 SEGMENT = 100
-PART_BYTES = 8_000_000
-BITS = 22
+PART_BYTES = 2_000_000
+COMMON, KEEP = 64, 6
+#: Slots of the bitmap before the index: about 16 for each q-gram, within these powers of two.
+LEAST_BITS, MOST_BITS = 18, 26
 ROW_GAP = 1 << 12
+#: Meetings of a text's q-grams with segments that are counted at once; one text with more is counted by itself.
+MEETINGS = 2_000_000
 _SIGN = np.ones(256, bool)
 _SIGN[[*range(48, 58), *range(97, 123), *range(128, 256)]] = False
 
@@ -66,8 +77,8 @@ def codes(data: np.ndarray) -> np.ndarray:
     return x
 
 
-def _slot(code: np.ndarray) -> np.ndarray:
-    return (code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)
+def _slot(code: np.ndarray, bits: int) -> np.ndarray:
+    return (code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
 
 
 @dataclass
@@ -83,10 +94,14 @@ class Index:
     segment_of: np.ndarray
     at: np.ndarray
 
+    @property
+    def bits(self) -> int:
+        return int(np.clip(math.ceil(math.log2(16 * max(1, len(self.code)))), LEAST_BITS, MOST_BITS))
+
     @property
     def bitmap(self) -> np.ndarray:
-        out = np.zeros(1 << BITS, bool)
-        out[_slot(self.code)] = True
+        out = np.zeros(1 << self.bits, bool)
+        out[_slot(self.code, self.bits)] = True
         return out
 
 
@@ -107,13 +122,30 @@ def build_index(texts: pa.Array, rate: float = RATE, segment: int = SEGMENT) ->
         return None
     m = np.array([len(x) for x in segments])
     edits = np.minimum((rate * m).astype(int), (m - Q) // Q)  # beyond that the lemma asks for no q-gram
+    least = m - Q + 1 - Q * edits
     grams = [codes(x) for x in segments]
     code = np.concatenate(grams)
-    of = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-    at = np.concatenate([np.arange(len(g)) for g in grams])
+    of = np.repeat(np.arange(len(grams), dtype=np.int32), [len(g) for g in grams])
+    at = np.concatenate([np.arange(len(g), dtype=np.int16) for g in grams])
+    keep = _indexed(code, of, least)
+    least = least - np.bincount(of[~keep], minlength=len(m))
+    code, of, at = code[keep], of[keep], at[keep]
     order = np.argsort(code, kind="stable")
     distinct, first = np.unique(code[order], return_index=True)
-    return Index(np.array(item), segments, edits, m - Q + 1 - Q * edits, distinct, np.append(first, len(code)), of[order], at[order])
+    return Index(np.array(item), segments, edits, least, distinct, np.append(first, len(code)), of[order], at[order])
+
+
+def _indexed(code: np.ndarray, of: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Which q-grams of the segments go into the index: all but the commonest, as far as a segment's bound allows."""
+    _, inverse, count = np.unique(code, return_inverse=True, return_counts=True)
+    often = count[inverse]
+    common = np.flatnonzero(often > COMMON)
+    common = common[np.lexsort((-often[common], of[common]))]
+    segment = of[common]
+    rank = np.arange(len(common)) - np.searchsorted(segment, segment)
+    keep = np.ones(len(code), bool)
+    keep[common[rank < least[segment] - KEEP]] = False
+    return keep
 
 
 def banded_distance(pattern: np.ndarray, text: np.ndarray, anchor: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -142,7 +174,7 @@ class Matcher:
     """Finds matches of an index's segments in blocks of texts."""
 
     def __init__(self, index: Index) -> None:
-        self.index, self.bitmap = index, index.bitmap
+        self.index, self.bitmap, self.bits = index, index.bitmap, index.bits
         m = np.array([len(x) for x in index.segments])
         self.m, self.top = m, int(m.max())
         self.span, self.need = int((m + index.edits).max()), int(index.least.min())
@@ -154,7 +186,7 @@ class Matcher:
 
     def _hits(self, code: np.ndarray) -> np.ndarray:
         """Places whose q-gram is in the index, where enough of them stand close together."""
-        maybe = self.bitmap[_slot(code)]
+        maybe = self.bitmap[_slot(code, self.bits)]
         run = np.zeros(len(code) + self.span + 1, np.int32)
         np.cumsum(maybe, out=run[1 : len(code) + 1])
         run[len(code) + 1 :] = run[len(code)]
@@ -182,8 +214,30 @@ class Matcher:
         inside = at + Q <= rows_at[row + 1]
         at, where, row = at[inside], where[inside], row[inside]
         n = ix.first[where + 1] - ix.first[where]
+        # whole rows at a time, so that few meetings of q-grams and segments are held at once
+        total = np.concatenate([[0], np.cumsum(n)])
+        edges, begin = [0], np.searchsorted(row, np.arange(len(rows_at)))
+        while edges[-1] < len(row):
+            full = int(np.searchsorted(total, total[edges[-1]] + MEETINGS, side="right")) - 1
+            ahead = begin[(begin > edges[-1])]
+            inside = ahead[ahead <= full]
+            edges.append(int(inside[-1]) if len(inside) else int(ahead[0]))
+        found = [self._bands(at[a:b], where[a:b], row[a:b], n[a:b]) for a, b in zip(edges, edges[1:])]
+        if not found:
+            return none
+        segment, row, low = np.concatenate(found, axis=1)
+        if not len(segment):
+            return none
+        low = low - ROW_GAP - row * ROW_GAP
+        out = [self._verify(flat, rows_at, segment[i : i + 2048], row[i : i + 2048], low[i : i + 2048]) for i in range(0, len(segment), 2048)]
+        row, segment, edits, start, end = (np.concatenate(x) for x in zip(*out))
+        return row, ix.item[segment], edits, place[start] - offsets[row], place[end - 1] + 1 - offsets[row]
+
+    def _bands(self, at: np.ndarray, where: np.ndarray, row: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Segment, row and lowest diagonal of the bands that reach a segment's bound, from the places whose q-grams are in the index."""
+        ix = self.index
         occ = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(ix.first[where], n)
-        segment = ix.segment_of[occ]
+        segment = ix.segment_of[occ].astype(np.int64)
         # rows far apart, so that no band holds two of them
         diagonal = np.repeat(at + row * ROW_GAP, n) - ix.at[occ] + ROW_GAP
         row = np.repeat(row, n)
@@ -198,13 +252,7 @@ class Matcher:
             pick = order[first]
             good = pick[count >= ix.least[segment[pick]]]
             found.append(np.stack([segment[good], row[good], band[good] * 2 * half[good] - shift * half[good]]))
-        segment, row, low = np.concatenate(found, axis=1)
-        if not len(segment):
-            return none
-        low = low - ROW_GAP - row * ROW_GAP
-        out = [self._verify(flat, rows_at, segment[i : i + 2048], row[i : i + 2048], low[i : i + 2048]) for i in range(0, len(segment), 2048)]
-        row, segment, edits, start, end = (np.concatenate(x) for x in zip(*out))
-        return row, ix.item[segment], edits, place[start] - offsets[row], place[end - 1] + 1 - offsets[row]
+        return np.concatenate(found, axis=1)
 
     def _verify(self, flat, rows_at, segment, row, low) -> tuple[np.ndarray, ...]:
         ix, most = self.index, int(self.index.edits.max())
@@ -229,16 +277,31 @@ class Matcher:
         return row, segment, edits.astype(np.int64), start, stop
 
 
-def benchmark_parts(benchmark: DataFrame, part_bytes: int = PART_BYTES) -> Iterator[tuple[pa.Array, Index]]:
-    """item_id column and index of each bounded part of the benchmark."""
+def benchmark_parts(benchmark: DataFrame, part_bytes: int = PART_BYTES) -> Iterator[pa.Table]:
+    """item_id and text of each part of the benchmark, of about ``part_bytes`` of text; items with too little text are left out."""
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, math.ceil(size / part_bytes))
+    rows = benchmark.where(F.octet_length("text") >= Q).select("item_id", "text")
+    if parts > 1:
+        rows = cut(rows.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)).cast("int")).repartition("part"))
     for p in range(parts):
-        own = benchmark if parts == 1 else benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p)
-        rows = own.select("item_id", "text").toArrow().combine_chunks()
-        index = build_index(rows.column("text").combine_chunks() if rows.num_rows else pa.array([], pa.string()))
-        if index is not None:
-            yield rows.column("item_id").combine_chunks(), index
+        yield (rows if parts == 1 else rows.where(F.col("part") == p).drop("part")).toArrow().combine_chunks()
+
+
+@lru_cache(maxsize=1)
+def _matcher(texts: bytes) -> Matcher | None:
+    """The matcher of a part's texts (an Arrow stream); a Python worker keeps the last one."""
+    column = pa.ipc.open_stream(texts).read_all().column("text").combine_chunks()
+    index = build_index(column) if len(column) else None
+    return None if index is None else Matcher(index)
+
+
+def _stream(part: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    texts = part.select(["text"])
+    with pa.ipc.new_stream(sink, texts.schema) as writer:
+        writer.write_table(texts)
+    return sink.getvalue().to_pybytes()
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -247,12 +310,13 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     kinds = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, n_segments long, edits long, start_byte long, end_byte long"
     out = small_batches(docs).sparkSession.createDataFrame([], schema)
-    for items, index in benchmark_parts(benchmark):
+    for part in benchmark_parts(benchmark):
+        items, texts = part.column("item_id").combine_chunks(), _stream(part)
 
-        def found(batches: Iterator[pa.RecordBatch], items=items, index=index) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(index)
+        def found(batches: Iterator[pa.RecordBatch], items=items, texts=texts) -> Iterator[pa.RecordBatch]:
+            matcher = _matcher(texts)
             for batch in batches:
-                for block in blocks(batch.column(1)):
+                for block in blocks(batch.column(1)) if matcher else ():
                     yield _pairs(batch, block, items, matcher)
 
         out = out.union(docs.select("doc_id", "text").mapInArrow(found, schema))
@@ -288,13 +352,13 @@ def _pairs(batch: pa.RecordBatch, block, items: pa.Array, matcher: Matcher) -> p
 def without_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that match no item."""
     at = small_batches(docs).columns.index("text")
-    for _, index in benchmark_parts(benchmark):
+    for part in benchmark_parts(benchmark):
 
-        def clean(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(index)
+        def clean(batches: Iterator[pa.RecordBatch], texts=_stream(part)) -> Iterator[pa.RecordBatch]:
+            matcher = _matcher(texts)
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                for block in blocks(batch.column(at)):
+                for block in blocks(batch.column(at)) if matcher else ():
                     keep[block.lo + matcher.find(block.data, block.offsets)[0]] = False
                 yield batch.filter(pa.array(keep))
 
