@@ -10,7 +10,9 @@ similarity with it of at least J = 0.8 * 0.4 / 1.08 = 0.29.
 Each of BANDS bands is the minimum of one hash over the window. A band alone meets the
 notice's with probability J, so some band does with probability 1 - (1 - J)^BANDS, over
 0.999 (over 0.98 for a notice of one shingle). Windows met are verified by counting the
-notice's shingles in them; a match holds at least CONTAINMENT of them.
+notice's shingles in them; a match holds at least CONTAINMENT of them. Of matches whose
+bytes overlap by more than half of the shorter one, only that with the most matched shingles
+less missing ones is reported: versions of a licence share most of their words.
 
 Rows: a null or empty text matches nothing, nor does one with fewer than five words.
 Repeated rows each give their matches, extra columns are ignored, an empty table gives none.
@@ -33,6 +35,7 @@ SHINGLE = 5
 BANDS = 20
 CONTAINMENT = 0.8
 REACH = 5
+OVERLAP = 0.5
 TABLE_BITS = 16
 WORDS = np.zeros(256, np.uint8)
 WORDS[[*range(48, 58), *range(97, 123), *range(128, 256)]] = 1
@@ -126,22 +129,30 @@ class Scanner:
         return found
 
     def scan(self, data: np.ndarray, offsets: np.ndarray, candidates=None) -> list[tuple[int, int, float, int, int]]:
-        """(row, notice, containment, first byte, last + 1 byte) of the best window of each row and license."""
+        """(row, notice, containment, first byte, last + 1 byte) of the best match of each row and license."""
         w, h, at, row = shingles(data, offsets)
         first = np.searchsorted(row, np.arange(len(offsets)))
-        best: dict[tuple[int, str], tuple[int, int, float, int, int]] = {}
+        found: dict[int, list[tuple[int, int, float, int, int, int]]] = {}
         for notice, start, end in sorted((candidates or self.candidates)(h, first)):
             hit = np.flatnonzero(np.isin(h[start:end], self.sets[notice]))
-            share = len(np.unique(h[start:end][hit])) / len(self.sets[notice])
-            if share < CONTAINMENT:
+            matched, size = len(np.unique(h[start:end][hit])), len(self.sets[notice])
+            if matched < CONTAINMENT * size:
                 continue
             r = int(row[start])
             lo = int(w.starts[at[start + hit[0]]] - offsets[r])
             hi = int(w.ends[at[start + hit[-1]] + SHINGLE - 1] - offsets[r])
-            key = (r, self.names[notice])
-            if key not in best or (share, len(self.sets[notice]), -lo) > (best[key][2], len(self.sets[best[key][1]]), -best[key][3]):
-                best[key] = (r, notice, share, lo, hi)
-        return [best[k] for k in sorted(best)]
+            found.setdefault(r, []).append((2 * matched - size, -lo, notice, matched / size, lo, hi))
+        out = []
+        for r in sorted(found):
+            taken: list[tuple[int, int, int, float]] = []  # of matches that overlap, the one with most shingles less those that lack
+            for _, _, notice, share, lo, hi in sorted(found[r], key=lambda x: (-x[0], -x[1], x[2])):
+                if all(min(hi, d) - max(lo, c) <= OVERLAP * min(hi - lo, d - c) for c, d, _, _ in taken):
+                    taken.append((lo, hi, notice, share))
+            best: dict[str, tuple[int, int, float, int, int]] = {}
+            for lo, hi, notice, share in taken:  # better ones first
+                best.setdefault(self.names[notice], (r, notice, share, lo, hi))
+            out += [best[name] for name in sorted(best)]
+        return out
 
 
 def scan_licenses(docs: DataFrame, notices: list[tuple[str, str]] = NOTICES) -> DataFrame:
