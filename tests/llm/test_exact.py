@@ -405,6 +405,40 @@ def test_decontamination_finds_every_match_within_the_budget(spark):
     assert hits > 20
 
 
+def test_common_grams_are_left_out_without_loss(monkeypatch):
+    """Items full of stock phrases: the index leaves their grams out, and finds what an index of all grams finds."""
+    monkeypatch.setattr(decontaminate, "COMMON", 3)
+    r = random.Random(21)
+    stock = ["which of the following statements is true", "according to the passage above the author", "select the best answer"]
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(3, 8)))
+    items = [" ".join([r.choice(stock)] + [word() for _ in range(9)] + [r.choice(stock)]) for _ in range(60)]
+    few = decontaminate.build_index(pa.array(items))
+    monkeypatch.setattr(decontaminate, "COMMON", 1 << 30)
+    all_ = decontaminate.build_index(pa.array(items))
+    assert len(few.segment_of) < 0.9 * len(all_.segment_of) and few.least.min() >= min(decontaminate.KEEP, all_.least.min())
+    texts = []
+    for item in items:
+        letters = list(item)
+        for _ in range(r.randrange(0, 9)):
+            letters[r.randrange(len(letters))] = r.choice("qrstuv ")
+        texts.append(" ".join(word() for _ in range(30)) + " " + "".join(letters) + " " + " ".join(r.choice(stock) for _ in range(9)))
+    data, offsets = wordkit.text_buffers(pa.array(texts))
+    found = [{(a, b) for a, b in zip(*(x.tolist() for x in decontaminate.Matcher(i).find(data, offsets)[:2]))} for i in (few, all_)]
+    assert found[0] == found[1] and len(found[0]) > 30
+    monkeypatch.setattr(decontaminate, "MEETINGS", 50)
+    assert {(a, b) for a, b in zip(*(x.tolist() for x in decontaminate.Matcher(all_).find(data, offsets)[:2]))} == found[1]
+
+
+def test_benchmark_in_parts(spark, monkeypatch):
+    passages = [" ".join(random.Random(i).choices("alpha beta gamma delta epsilon zeta eta theta iota kappa".split(), k=30)) for i in range(12)]
+    bench = spark.createDataFrame([(i, p) for i, p in enumerate(passages)] + [(99, None)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(i, f"intro {i} " + passages[i] + " end") for i in range(0, 12, 2)] + [(50, "clean text")], "doc_id bigint, text string")
+    whole = sorted(tuple(x) for x in decontaminate.matches(docs, bench).collect())
+    monkeypatch.setattr(decontaminate.benchmark_parts, "__defaults__", (500,))
+    assert sorted(tuple(x) for x in decontaminate.matches(docs, bench).collect()) == whole and {(i, i) for i in range(0, 12, 2)} <= {x[:2] for x in whole}
+    assert [x["doc_id"] for x in decontaminate.without_matches(docs, bench).collect()] == [50]
+
+
 def test_decontamination_tables(spark):
     passage = " ".join(BASE)
     bench = spark.createDataFrame([(1, passage + "!", "x"), (2, None, None), (None, passage, "y"), (3, "tiny", "z")], "item_id bigint, text string, doc_id string")
@@ -437,3 +471,53 @@ def test_license_scan(spark):
     row = next(r for r in got if r["doc_id"] == 1 and r["start_byte"] > 0)
     assert rows[0][1].encode()[row["start_byte"] : row["end_byte"]] == b"Released under the MIT License"
     assert license_scan.scan_licenses(df.limit(0)).count() == 0
+
+
+def every_window(scanner):
+    """Brute force in place of the bands: every window of every notice's size, at every shingle."""
+
+    def candidates(h, first):
+        found = set()
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+            for notice, own in enumerate(scanner.sets):
+                size = license_scan.REACH * license_scan.step_of(len(own))
+                inside = np.isin(h[a:b], own)
+                run = np.concatenate([[0], np.cumsum(inside)])
+                for s in np.flatnonzero(inside).tolist():
+                    end = min(s + size, b - a)
+                    if run[end] - run[s] >= license_scan.CONTAINMENT * len(own):
+                        found.add((notice, a + s, a + end))
+        return found
+
+    return candidates
+
+
+def noisy_notices(r, n):
+    """Notices in running text, whole or with some words changed."""
+    common = [w for _, t in license_scan.NOTICES for w in t.split()]
+    for _ in range(n):
+        name, text = r.choice(license_scan.NOTICES)
+        words = text.split()
+        for _ in range(r.choice([0, 0, 1, 2]) if len(words) > 30 else 0):
+            words[r.randrange(len(words))] = "changed"
+        fill = [r.choice(common) if r.random() < 0.3 else f"w{r.randrange(5000)}" for _ in range(r.randrange(5, 300))]
+        cut = r.randrange(len(fill))
+        yield " ".join(fill[:cut] + words + fill[cut:])
+
+
+def test_license_scan_against_every_window():
+    r = random.Random(12)
+    scanner = license_scan.Scanner(license_scan.NOTICES)
+    data, offsets = wordkit.text_buffers(pa.array(list(noisy_notices(r, 1500))))
+    want = {(x[0], scanner.names[x[1]]) for x in scanner.scan(data, offsets, every_window(scanner))}
+    got = {(x[0], scanner.names[x[1]]) for x in scanner.scan(data, offsets)}
+    assert len(want) > 1400 and len(got & want) >= 0.99 * len(want) and len(got - want) <= 0.01 * len(want)
+
+
+def test_whole_notices_are_found_as_themselves():
+    scanner = license_scan.Scanner(license_scan.NOTICES)
+    texts = [f"before it {t} after it" for _, t in license_scan.NOTICES]
+    data, offsets = wordkit.text_buffers(pa.array(texts))
+    found = scanner.scan(data, offsets, every_window(scanner))
+    for i, (name, _) in enumerate(license_scan.NOTICES):
+        assert [scanner.names[x[1]] for x in found if x[0] == i] == [name], (name, texts[i])
