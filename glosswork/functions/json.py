@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
+# A whole text in one fence, an object or array in a fence, and the span from the first to the last bracket.
+WHOLE_FENCE = r"(?is)^```(?:json)?\s*(.*?)\s*```$"
+OBJECT_FENCE, OBJECT_SPAN = r"(?is)```(?:json)?\s*(\{.*?\})\s*```", r"(?s)(\{.*\})"
+VALUE_FENCE, VALUE_SPAN = r"(?is)```(?:json)?\s*(\{.*?\}|\[.*?\])\s*```", r"(?s)(\{.*\}|\[.*\])"
+
+
 def is_object(value: Column) -> Column:
     return F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
 
@@ -17,23 +23,23 @@ def is_object(value: Column) -> Column:
 def parse_whole(raw: Column) -> Column:
     """The object that the text is, possibly as one fenced block; null else."""
     text = F.trim(raw)
-    inner = F.regexp_extract(text, r"(?is)^```(?:json)?\s*(.*?)\s*```$", 1)
+    inner = F.regexp_extract(text, WHOLE_FENCE, 1)
     value = F.try_parse_json(F.when(inner != "", inner).otherwise(text))
     return F.when(is_object(value), value)
 
 
 def repair_object(raw: Column) -> Column:
     """The object in the text: as it is, in a fenced block, or from the first to the last brace; null if none parses."""
-    fenced = F.regexp_extract(raw, r"(?is)```(?:json)?\s*(\{.*?\})\s*```", 1)
-    braces = F.regexp_extract(raw, r"(?s)(\{.*\})", 1)
+    fenced = F.regexp_extract(raw, OBJECT_FENCE, 1)
+    braces = F.regexp_extract(raw, OBJECT_SPAN, 1)
     values = [F.try_parse_json(F.trim(raw)), F.try_parse_json(fenced), F.try_parse_json(braces)]
     return F.coalesce(*[F.when(is_object(v), v) for v in values])
 
 
 def extract_json(raw: Column) -> Column:
     """The object or array in the text."""
-    fenced = F.regexp_extract(raw, r"(?is)```(?:json)?\s*(\{.*?\}|\[.*?\])\s*```", 1)
-    span = F.regexp_extract(raw, r"(?s)(\{.*\}|\[.*\])", 1)
+    fenced = F.regexp_extract(raw, VALUE_FENCE, 1)
+    span = F.regexp_extract(raw, VALUE_SPAN, 1)
     values = [F.try_parse_json(F.trim(raw)), F.try_parse_json(fenced), F.try_parse_json(span)]
     fits = lambda v: F.schema_of_variant(v).rlike("^(OBJECT|ARRAY)")
     return F.coalesce(*[F.when(fits(v), v) for v in values])

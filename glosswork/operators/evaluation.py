@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from glosswork.functions import similarity as S
 from glosswork.functions import text as T
+from glosswork.lineage import cut
 
 THRESHOLD = 0.25
 # Weights of an event match, error codes.
@@ -42,20 +43,24 @@ def pair_scores(gold: DataFrame, predicted: DataFrame) -> DataFrame:
 
 
 def greedy(pairs: Column) -> Column:
-    """From structs (order, gold_index, pred_index) in order: those whose two sides are both still free."""
-    kind = "array<struct<order:double,gold_index:int,pred_index:int>>"
+    """From structs with gold_index and pred_index, in order: those whose two sides are both still free."""
     free = lambda s, p: ~F.exists(s, lambda q: (q["gold_index"] == p["gold_index"]) | (q["pred_index"] == p["pred_index"]))
-    return F.aggregate(pairs, F.array().cast(kind), lambda s, p: F.when(free(s, p), F.concat(s, F.array(p))).otherwise(s))
+    return F.aggregate(pairs, F.slice(pairs, 1, 0), lambda s, p: F.when(free(s, p), F.concat(s, F.array(p))).otherwise(s))
 
 
 def match_events(pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One-to-one matches per configuration and article: best score first, ties by gold, then predicted index."""
-    slim = pairs.where(F.col("score") >= threshold).select(
-        "config_name", "article_id", F.struct((-F.col("score")).alias("order"), F.col("gold_index").cast("int").alias("gold_index"), F.col("pred_index").cast("int").alias("pred_index")).alias("_p")
-    )
-    chosen = slim.groupBy("config_name", "article_id").agg(greedy(F.array_sort(F.collect_list("_p"))).alias("_m"))
-    chosen = chosen.select("config_name", "article_id", F.explode("_m").alias("_m")).select("config_name", "article_id", "_m.gold_index", "_m.pred_index")
-    return pairs.join(chosen, ["config_name", "article_id", "gold_index", "pred_index"])
+    """One-to-one matches per configuration and article: best score first, ties by gold, then predicted index.
+
+    The pairs themselves go through the choice, so no score is computed a second time for a join back.
+    """
+    at = {c: F.col(c).cast("int") for c in ("gold_index", "pred_index")}
+    rest = [c for c in pairs.columns if c not in ("config_name", "article_id", "gold_index", "pred_index")]
+    # maps have no order: the struct is sorted by its first three fields, which are distinct within an article
+    row = F.struct((-F.col("score")).alias("order"), *[c.alias(n) for n, c in at.items()], F.struct(*rest).alias("rest"))
+    less = lambda a, b: F.when(F.struct(a["order"], a["gold_index"], a["pred_index"]) < F.struct(b["order"], b["gold_index"], b["pred_index"]), -1).otherwise(1)
+    listed = pairs.where(F.col("score") >= threshold).groupBy("config_name", "article_id").agg(F.array_sort(F.collect_list(row), less).alias("_p"))
+    chosen = listed.select("config_name", "article_id", F.explode(greedy(F.col("_p"))).alias("_m"))
+    return chosen.select("config_name", "article_id", "_m.gold_index", "_m.pred_index", "_m.rest.*")
 
 
 def sides(gold: DataFrame, predicted: DataFrame, matches: DataFrame, configs: DataFrame) -> DataFrame:
@@ -214,8 +219,8 @@ def hallucination(predictions: DataFrame) -> DataFrame:
 
 def evaluate(gold_events: DataFrame, gold_documents: DataFrame, pred_events: DataFrame, predictions: DataFrame) -> dict[str, DataFrame]:
     """All results, for every configuration in one pass: metrics, matches, per_event_type, errors, documents."""
-    configs = F.broadcast(predictions.select("config_name").distinct())
-    matches = match_events(pair_scores(gold_events, pred_events))
+    configs = predictions.select("config_name").distinct()
+    matches = cut(match_events(pair_scores(gold_events, pred_events)))  # five results read them
     rows = sides(gold_events, pred_events, matches, configs)
     documents = aligned_documents(gold_documents, predictions, configs)
     types, impacts = class_counts(rows, "event_type"), class_counts(rows, "impact_sentiment")

@@ -10,9 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glosswork.functions import text as T
+from glosswork.lineage import cut
 
 K1, B = 1.5, 0.75
-PART_QUERIES = 4096
+#: Bytes of query vectors that one scan takes to every task; most words that a plan holds as literals.
+PART_BYTES, MOST_LITERALS = 16_000_000, 4_000
 HASH_MODEL = "local_hash_embedding_v1"
 
 
@@ -32,17 +34,24 @@ def document_frequencies(docs: DataFrame, tokens: Column) -> DataFrame:
     return docs.select(F.explode(F.array_distinct(tokens)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
+def only_wanted(tokens: Column, wanted: DataFrame, most: int = MOST_LITERALS) -> Column:
+    """tokens without those that are not in ``wanted`` (one column of words), as a test in the scan; all tokens where
+    there are more than ``most`` words: the join that follows then drops the others."""
+    words = [r[0] for r in wanted.limit(most + 1).collect()]
+    return tokens if len(words) > most else F.filter(tokens, lambda t: t.isin(words))
+
+
 def bm25_scores(docs: DataFrame, key: str, tokens: Column, queries: DataFrame) -> DataFrame:
     """(query_id, key, score) of every match. queries: (query_id, term), a repeated term counts again.
 
-    Tokens that no query has are dropped before anything is exploded; terms of the queries are joined,
-    broadcast by Spark when they are few. One pass reads the texts.
+    The texts are read and tokenised once: each row's length and those of its tokens that a query has are written
+    down, and statistics and scores come from there.
     """
-    wanted = queries.groupBy("term").agg(F.collect_list("query_id").alias("_queries"))
+    wanted = cut(queries.groupBy("term").agg(F.collect_list("query_id").alias("_queries")))
     rows = docs.select(key, tokens.alias("_tokens"))
-    rows = rows.select(key, F.size("_tokens").alias("dl"), F.explode_outer("_tokens").alias("term"))
-    hits = rows.join(wanted.select("term"), "term").groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
-    stats = docs.select(F.size(tokens).alias("dl")).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
+    rows = cut(rows.select(key, F.size("_tokens").alias("dl"), only_wanted(F.col("_tokens"), wanted.select("term")).alias("_tokens")))
+    hits = rows.select(key, "dl", F.explode("_tokens").alias("term")).join(wanted.select("term"), "term").groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
+    stats = rows.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     weighted = df.join(wanted, "term").crossJoin(F.broadcast(stats))  # one row of statistics
     idf = F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -57,25 +66,29 @@ def top_k(scores: DataFrame, key: str, k: int, score: str = "score", by: str = "
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _bucket(digest: Column, dimension: int) -> Column:
+    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % dimension).cast("int")
+
+
+def _sign(digest: Column) -> Column:
+    return F.when(F.conv(F.substring(digest, 9, 2), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
+
+
 def hash_embedding(tokens: Column, dimension: int = 128) -> Column:
     """Signed token counts in hash buckets, unit length, rounded to 8 places; zeros without tokens.
 
-    One pass over the tokens: each adds to its bucket in a map of bucket sums.
+    For short texts: each bucket filters the signed buckets of all tokens, which takes tokens times ``dimension``
+    comparisons. ``hash_embeddings`` is linear.
     """
-    digest = lambda t: F.sha2(t, 256)
-    pairs = F.transform(
-        tokens,
-        lambda t: F.struct(
-            (F.conv(F.substring(digest(t), 1, 8), 16, 10).cast("long") % dimension).cast("int").alias("b"),
-            F.when(F.conv(F.substring(digest(t), 9, 2), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0).alias("s"),
-        ),
-    )
-    ordered = F.array_sort(pairs)
-    runs = F.transform(
-        F.sequence(F.lit(0), F.lit(dimension - 1)),
-        lambda b: F.aggregate(F.filter(ordered, lambda p: p["b"] == b), F.lit(0.0), lambda s, p: s + p["s"]),
-    )
-    return _unit(runs)
+    pairs = F.transform(tokens, lambda t: F.struct(_bucket(F.sha2(t, 256), dimension).alias("b"), _sign(F.sha2(t, 256)).alias("s")))
+
+    def sums(of: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.lit(dimension - 1)),
+            lambda b: F.aggregate(F.filter(of, lambda p: p["b"] == b), F.lit(0.0), lambda s, p: s + p["s"]),
+        )
+
+    return _unit(T.let(pairs, sums))
 
 
 def _unit(v: Column) -> Column:
@@ -87,9 +100,7 @@ def hash_embeddings(docs: DataFrame, key: str, tokens: Column, dimension: int =
     """(key, vector) by exploding tokens: the form for long texts; linear in the tokens."""
     each = docs.select(key, F.explode_outer(tokens).alias("t"))
     digest = F.sha2("t", 256)
-    bucket = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % dimension).cast("int")
-    sign = F.when(F.conv(F.substring(digest, 9, 2), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
-    sums = each.groupBy(key, bucket.alias("b")).agg(F.sum(F.when(F.col("t").isNotNull(), sign)).alias("s"))
+    sums = each.groupBy(key, _bucket(digest, dimension).alias("b")).agg(F.sum(F.when(F.col("t").isNotNull(), _sign(digest))).alias("s"))
     found = F.map_from_entries(F.collect_list(F.when(F.col("b").isNotNull(), F.struct("b", "s"))))
     rows = sums.groupBy(key).agg(found.alias("m"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda b: F.coalesce(F.element_at("m", b), F.lit(0.0)))
@@ -122,42 +133,50 @@ def updated_cache(cache: DataFrame, records: DataFrame) -> DataFrame:
 def dense_top_k(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int, query_key: str = "query_id") -> DataFrame:
     """Exact cosine top-k: (query_key, key, cosine, rank), ties by key.
 
-    Queries go to every task in parts of PART_QUERIES; each scan task multiplies its vectors with the
-    part and hands on its own best k per query, so the shuffle does not grow with the vectors in a task.
+    Each scan task multiplies its vectors with the queries and hands on its own best k per query, so the shuffle does
+    not grow with the vectors in a task. A scan takes PART_BYTES of query vectors to every task; with more queries the
+    vectors are scanned once per part, and each part's best are written down before the next is collected.
     """
     kinds = dict(queries.dtypes)[query_key], dict(vectors.dtypes)[key]
     schema = f"{query_key} {kinds[0]}, {key} {kinds[1]}, cosine double"
-    rows = queries.select(query_key, "vector").collect()
-    parts = []
-    for lo in range(0, len(rows), PART_QUERIES):
-        ids = [r[0] for r in rows[lo : lo + PART_QUERIES]]
-        q = np.array([r[1] for r in rows[lo : lo + PART_QUERIES]], np.float64)
-        q = q / np.where((n := np.linalg.norm(q, axis=1, keepdims=True)) > 0, n, 1)
-        parts.append(vectors.select(key, vector).mapInArrow(_best(ids, q, k, query_key, key), schema))
-    if not parts:
-        return vectors.sparkSession.createDataFrame([], schema + ", rank int")
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.union(p)
-    return top_k(both, key, k, "cosine", query_key)
-
-
-def _best(ids: list, q: np.ndarray, k: int, query_key: str, key: str):
+    rows = queries.select(query_key, F.col("vector").cast("array<double>").alias("vector")).where("vector IS NOT NULL")
+    size = rows.agg(F.sum(F.size("vector").cast("long") * 8)).first()[0] or 0
+    parts = max(1, -(-int(size) // PART_BYTES))
+    if parts > 1:
+        rows = cut(rows.withColumn("_part", F.pmod(F.xxhash64(query_key), F.lit(parts)).cast("int")).repartition("_part"))
+    best = None
+    for p in range(parts):
+        part = (rows if parts == 1 else rows.where(F.col("_part") == p)).select(query_key, "vector").toArrow().combine_chunks()
+        found = vectors.select(key, F.col(vector).cast("array<double>")).mapInArrow(_best(part, k, query_key, key), schema)
+        found = found if parts == 1 else cut(top_k(found, key, k, "cosine", query_key).drop("rank"))
+        best = found if best is None else best.union(found)
+    return top_k(best, key, k, "cosine", query_key)
+
+
+def _matrix(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the lists that have the commonest length, at unit length; and their places."""
+    size = np.where(np.asarray(lists.is_valid()), np.diff(np.asarray(lists.offsets)), 0)
+    width = int(np.bincount(size).argmax()) if len(size) else 0
+    ok = np.flatnonzero(size == width)
+    x = np.asarray(lists.take(pa.array(ok)).flatten(), np.float64).reshape(len(ok), width)
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(n > 0, n, 1), ok
+
+
+def _best(queries: pa.Table, k: int, query_key: str, key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, of = _matrix(queries.column("vector").combine_chunks())
+        ids = queries.column(query_key).combine_chunks().take(pa.array(of))
         for batch in batches:
-            keys, lists = batch.column(0), batch.column(1)
-            size = np.diff(np.asarray(lists.offsets))
-            ok = np.flatnonzero((size == q.shape[1]) & np.asarray(lists.is_valid()))
-            if not len(ok):
+            x, ok = _matrix(batch.column(1))
+            if not len(ok) or not len(q) or x.shape[1] != q.shape[1]:
                 continue
-            x = np.asarray(lists.take(pa.array(ok)).flatten(), np.float64).reshape(len(ok), -1)
-            n = np.linalg.norm(x, axis=1, keepdims=True)
             for lo in range(0, len(q), 256):
-                c = q[lo : lo + 256] @ (x / np.where(n > 0, n, 1)).T
-                cut = np.sort(c, axis=1)[:, -min(k, c.shape[1])][:, None]
-                row, col = np.nonzero(c >= cut - 1e-12)  # ties at the cut go on too
+                c = q[lo : lo + 256] @ x.T
+                least = np.sort(c, axis=1)[:, -min(k, c.shape[1])][:, None]
+                row, col = np.nonzero(c >= least - 1e-12)  # ties at the cut go on too
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[lo + r] for r in row]), keys.take(pa.array(ok[col])), pa.array(c[row, col])], names=[query_key, key, "cosine"]
+                    [ids.take(pa.array(lo + row)), batch.column(0).take(pa.array(ok[col])), pa.array(c[row, col])], names=[query_key, key, "cosine"]
                 )
 
     return run

@@ -12,9 +12,16 @@ from glosswork.functions import similarity as S
 from glosswork.functions import text as T
 
 # Keys of label documents, events and model info, document labels and sentiments.
-TOP_KEYS = "article_id document_label events label_reason model_info warnings".split()
-EVENT_KEYS = "company_name confidence event_arguments event_id event_reason event_subtype event_summary event_type evidence_span impact_sentiment published_at source_url ticker".split()
-MODEL_KEYS = "model_name prompt_version run_id".split()
+TOP_KEYS = [
+    "article_id", "document_label", "events", "label_reason", "model_info", "warnings",
+]
+EVENT_KEYS = [
+    "company_name", "confidence", "event_arguments", "event_id", "event_reason", "event_subtype", "event_summary", "event_type", "evidence_span",
+    "impact_sentiment", "published_at", "source_url", "ticker",
+]
+MODEL_KEYS = [
+    "model_name", "prompt_version", "run_id",
+]
 DOCUMENT_LABELS = ["HAS_EVENT", "NO_EVENT", "UNCERTAIN"]
 SENTIMENTS = ["POSITIVE", "NEGATIVE", "NEUTRAL", "MIXED", "UNKNOWN"]
 GROUNDED = 0.82

@@ -18,21 +18,21 @@ from glosswork.operators.validation import Taxonomy, grounding_text
 EVIDENCE, ARGUMENT = 0.82, 0.78
 # The arguments of which an event type needs one, caps of confidence, types with a sign, confidence bonuses.
 CORE = {
-    "MA": "buyer seller target_company stake_percentage transaction_value",
-    "CONTRACT": "partner project product package_name contract_value",
-    "CAPITAL": "share_volume issue_price capital_before capital_after bond_value",
-    "LEADERSHIP": "person role action",
-    "EXPANSION": "project location investment_value capacity market",
-    "LEGAL_RISK": "legal_authority violation case_name penalty_value",
-    "PARTNERSHIP": "partner agreement_type partnership_scope project",
-    "LICENSE_APPROVAL": "legal_authority approval_type project license_id",
-    "BUSINESS_RESULT": "period revenue profit growth_rate cause",
-    "ASSET_TRANSACTION": "asset_name asset_type buyer seller transaction_value",
-    "DEBT_CREDIT": "lender borrower loan_value credit_limit bond_code",
-    "DIVIDEND_SHAREHOLDER": "dividend_type dividend_rate record_date payment_date",
-    "PRODUCT_SERVICE": "product launch_date market price_change",
-    "MARKET_LISTING": "exchange ticker listing_date status reason",
-    "ESG_OPERATIONAL_RISK": "incident_type location impact_scope legal_authority",
+    "MA": ["buyer", "seller", "target_company", "stake_percentage", "transaction_value"],
+    "CONTRACT": ["partner", "project", "product", "package_name", "contract_value"],
+    "CAPITAL": ["share_volume", "issue_price", "capital_before", "capital_after", "bond_value"],
+    "LEADERSHIP": ["person", "role", "action"],
+    "EXPANSION": ["project", "location", "investment_value", "capacity", "market"],
+    "LEGAL_RISK": ["legal_authority", "violation", "case_name", "penalty_value"],
+    "PARTNERSHIP": ["partner", "agreement_type", "partnership_scope", "project"],
+    "LICENSE_APPROVAL": ["legal_authority", "approval_type", "project", "license_id"],
+    "BUSINESS_RESULT": ["period", "revenue", "profit", "growth_rate", "cause"],
+    "ASSET_TRANSACTION": ["asset_name", "asset_type", "buyer", "seller", "transaction_value"],
+    "DEBT_CREDIT": ["lender", "borrower", "loan_value", "credit_limit", "bond_code"],
+    "DIVIDEND_SHAREHOLDER": ["dividend_type", "dividend_rate", "record_date", "payment_date"],
+    "PRODUCT_SERVICE": ["product", "launch_date", "market", "price_change"],
+    "MARKET_LISTING": ["exchange", "ticker", "listing_date", "status", "reason"],
+    "ESG_OPERATIONAL_RISK": ["incident_type", "location", "impact_scope", "legal_authority"],
 }
 CAP_UNSUPPORTED, CAP_CORE, CAP_POSITIVE_RISK, CAP_NEGATIVE_GROWTH = 0.7, 0.75, 0.65, 0.7
 GROWTH = ["CONTRACT", "EXPANSION", "PARTNERSHIP"]
@@ -102,7 +102,7 @@ def verify(events: DataFrame, articles: DataFrame, taxonomy: Taxonomy, contexts:
     out = kept.join(lost, key, "left").withColumn("_lost", F.coalesce("_lost", F.array().cast("array<string>")))
     filled = F.map_filter(F.transform_values("event_arguments", lambda k, v: F.when(F.array_contains("_lost", k), F.lit(None).cast("string")).otherwise(v)), lambda k, v: T.has_value(v))
     out = out.withColumn("event_arguments", F.transform_values("event_arguments", lambda k, v: F.when(F.array_contains("_lost", k), F.lit(None).cast("string")).otherwise(v)))
-    groups = F.create_map(*[x for k, v in CORE.items() for x in (F.lit(k), F.array(*[F.lit(i) for i in v.split()]))])
+    groups = F.create_map(*[x for k, v in CORE.items() for x in (F.lit(k), F.array(*[F.lit(i) for i in v]))])
     core = F.try_element_at(groups, F.col("event_type"))
     no_core = F.coalesce(core.isNotNull() & ~F.arrays_overlap(F.map_keys(filled), core), F.lit(False))
     risk = (F.col("event_type") == "LEGAL_RISK") & (F.col("impact_sentiment") == "POSITIVE")

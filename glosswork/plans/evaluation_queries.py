@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from glosswork.lineage import cut
 from glosswork.operators import evaluation as E
 from glosswork.operators import reports
 from glosswork.plans.text_queries import value
@@ -50,7 +51,9 @@ def _columns(r: tuple) -> list[str]:
 
 
 def _base(spark, sf_dir):
-    return table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
+    """Labels with what the events below take of their documents; read once, as the events are made in several branches."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return cut(table(spark, sf_dir, "labels").join(d, "doc_id"))
 
 
 def _events(base, rows, config=None):
@@ -123,8 +126,8 @@ _ALL = f"WITH {_DATA}, {_SCORES}, {_MATCH}, {_LOST}"
 
 def _parts(spark, sf_dir):
     gold, documents, pred, predictions = data(spark, sf_dir)
-    configs = F.broadcast(predictions.select("config_name").distinct())
-    matches = E.match_events(E.pair_scores(gold, pred))
+    configs = predictions.select("config_name").distinct()
+    matches = cut(E.match_events(E.pair_scores(gold, pred)))
     return E.sides(gold, pred, matches, configs), E.aligned_documents(documents, predictions, configs), matches, predictions
 
 

@@ -1,5 +1,6 @@
 """Operators that SQL cannot express, against independent models in plain Python."""
 
+import random
 import re
 import unicodedata
 from difflib import SequenceMatcher
@@ -14,7 +15,7 @@ from glosswork.functions import html as H
 from glosswork.functions import json as J
 from glosswork.functions import similarity as S
 from glosswork.functions import text as T
-from glosswork.operators import chunking, dictionaries, evaluation, index, querying, rerank, retrieval, tables, validation, verification
+from glosswork.operators import chunking, dictionaries, evaluation, index, querying, ranking_metrics, rerank, retrieval, tables, validation, verification
 from glosswork.sources import files
 
 
@@ -120,12 +121,27 @@ def test_find_text_match(spark):
 # pages
 
 
-def test_article_parser():
-    page = H.article_of('<html><head><title> T &amp; x</title><meta property="article:published_time" content="2024"></head><body><p>one <b>two</b> three</p><li>item</li><p></p></body>')
+def parsed(spark, pages, parse):
+    return [r["a"].asDict() for r in spark.createDataFrame(list(enumerate(pages)), "i int, html string").select("i", parse("html").alias("a")).orderBy("i").collect()]
+
+
+def test_article_parser(spark):
+    pages = [
+        '<html><head><title> T &amp; x</title><meta property="article:published_time" content="2024"></head><body><p>one <b>two</b> three</p><li>item</li><p></p></body>',
+        "", '<meta name="og:title" content="M"><title>t</title>', None, '<time datetime="2020-01-01">first</time><time>second</time><h1> </h1><h1>head  line</h1><p>a<br>b</p>',
+    ]
+    page, empty, meta, null, times = parsed(spark, pages, H.parse_article)
     assert page["title"] == "T & x" and page["published_at"] == "2024" and page["warnings"] == []
     assert page["body_text"].split("\n")[-1] == "item"
-    assert H.article_of("")["warnings"] == ["missing_title", "missing_published_at", "empty_body"]
-    assert H.article_of('<meta name="og:title" content="M"><title>t</title>')["title"] == "M"
+    assert empty["warnings"] == null["warnings"] == ["missing_title", "missing_published_at", "empty_body"]
+    assert meta["title"] == "M"
+    assert times["published_at"] == "2020-01-01" and times["title"] == "head line" and times["body_text"] == "a" and times["warnings"] == []
+
+
+def test_links_end_at_the_closing_tag_or_the_next_link(spark):
+    html = '<a href="/x">one <b>two</b></a> between <a href="y">lost <a href="http://e.com/z">kept</a> <a name="n">no link</a>'
+    rows = spark.createDataFrame([(html, "http://e.com/d/")], "html string, base string").select(H.links("html", "base").alias("l")).first()["l"]
+    assert [tuple(r) for r in rows] == [("http://e.com/x", "one two"), ("http://e.com/d/y", ""), ("http://e.com/z", "kept")]
 
 
 def test_article_urls(spark):
@@ -239,6 +255,67 @@ def test_hybrid_searches_take_every_fiftieth_document(spark):
         assert {r["case_id"] for r in retrieval_queries.QUERIES[name](spark, sf).collect()} == wanted
 
 
+def plain_mmr(rows, config):
+    """The choice of coverage_mmr with sets and loops."""
+    left, counts, chosen, top = list(rows), {}, [], max(r[3] for r in rows) or 1.0
+    likeness = lambda a, b: len(a & b) / len(a | b) if a and b else 0.0
+    while left and len(chosen) < rows[0][6]:
+        full = [r for r in left if rows[0][7] > 1 and r[4] and all(counts.get(t, 0) >= config.max_per_event_type for t in r[4])]
+        scored = []
+        for r in [r for r in left if r not in full] or left:
+            value = config.mmr_lambda * r[3] / top + (1 - config.mmr_lambda) * (1 - max((likeness(set(r[5]), set(c[5])) for c in chosen), default=0.0))
+            value -= retrieval.OVERFLOW_PENALTY * max((max(0, counts.get(t, 0) - config.max_per_event_type + 1) for t in r[4]), default=0)
+            value += retrieval.COVERAGE_BONUS * any(not counts.get(t) for t in r[4])
+            scored.append((-value, r[2], r))
+        best = min(scored, key=lambda x: x[:2])[2]
+        chosen.append(best)
+        left.remove(best)
+        for t in best[4]:
+            counts[t] = counts.get(t, 0) + 1
+    return [r[1] for r in chosen]
+
+
+def test_coverage_choice_equals_plain_loops():
+    r = random.Random(4)
+    config = retrieval.CONFIGS["multi_event_aware_hybrid"]
+    for n_types in (0, 1, 3):
+        for _ in range(20):
+            kinds = ["MA", "DIVIDEND", "CONTRACT", "LEGAL"]
+            rows = [("c", f"k{i}", i + 1, r.random(), r.sample(kinds, r.randrange(3)), r.sample("abcdefghijklmnop", r.randrange(9)), 6, n_types) for i in range(r.randrange(1, 20))]
+            frame = pd.DataFrame(rows, columns=["case_id", "chunk_id", "rank", "score", "_types", "_tokens", "_k", "_n"])
+            assert retrieval.coverage_mmr(frame, config)["chunk_id"].tolist() == plain_mmr(rows, config)
+
+
+def test_containing_keeps_every_evidence_of_a_case(spark):
+    ev = [("a", "the red fox runs fast"), ("a", "one blue whale sings loud"), ("a", "fox"), ("b", "e sing"), ("b", "zzz"), ("c", ""), ("c", None), ("d", "Đỏ"), ("a", "the red fox runs fast")]
+    ch = [(1, "see The Red fox runs fast now"), (2, "one blue whale sings loud"), (3, "do here: ĐÓ là đo"), (4, None)]
+    got = ranking_metrics.containing(spark.createDataFrame(ev, "k string, evidence string"), spark.createDataFrame(ch, "c int, text string"), "k", "c").collect()
+    from collections import Counter
+
+    assert Counter(tuple(x) for x in got) == Counter([("a", 1), ("a", 2), ("b", 2), ("d", 3)])
+
+
+def test_first_per_hash_keeps_one_of_equal_first_rows(spark):
+    from glosswork.operators import ingest
+
+    df = spark.createDataFrame([(1, "h", "x"), (1, "h", "y"), (2, "h", "z"), (None, "g", "w")], "k int, content_hash string, text string")
+    got = {r["content_hash"]: r for r in ingest.first_per_hash(df, "k").collect()}
+    assert got["h"]["k"] == 1 and got["h"]["text"] in "xy" and got["h"]["n_duplicates"] == 2 and got["g"]["n_duplicates"] == 0
+    assert ingest.first_per_hash(df, "k").columns == ["k", "content_hash", "text", "n_duplicates"]
+
+
+def test_dense_top_k_in_parts(spark, monkeypatch):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    v = [(i, [float(x) for x in r.normal(size=4)]) for i in range(200)]
+    df = spark.createDataFrame(v, "id int, v array<double>")
+    q = df.where("id % 5 = 0").select("id", "v").toDF("query_id", "vector")
+    whole = sorted(tuple(x) for x in index.dense_top_k(df, "id", "v", q, 3).select("query_id", "id", "rank").collect())
+    monkeypatch.setattr(index, "PART_BYTES", 300)
+    assert sorted(tuple(x) for x in index.dense_top_k(df, "id", "v", q, 3).select("query_id", "id", "rank").collect()) == whole and len(whole) == 120
+
+
 def test_coverage_keeps_the_minority_type():
     rows = [("c", f"m{i}", i + 1, 1 - i / 100, ["MA"], ["same", "words", str(i)], 4, 2) for i in range(8)] + [("c", "d", 9, 0.5, ["DIVIDEND"], ["other"], 4, 2)]
     frame = pd.DataFrame(rows, columns=["case_id", "chunk_id", "rank", "score", "_types", "_tokens", "_k", "_n"])
@@ -408,11 +485,11 @@ def test_log_tail_goes_on(spark, tmp_path):
     assert sorted(r["event"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["e0", "e1"]
 
 
-def test_article_tree_picks_the_longest_container():
+def test_article_tree_picks_the_longest_container(spark):
     page = '<html><head><meta name="author" content=" A "><title>t</title></head><body><article><p>short</p></article><div class="x detail-content"><p>a <b>long</b> paragraph<br>of text</p><ul><li>item</li></ul><script>no()</script></div><time datetime="2024-01-01">x</time></body></html>'
-    got = H.article_tree(page)
+    got, open_, empty = parsed(spark, [page, "<p>unclosed <div>x", ""], H.parse_article_tree)
     assert got["body_text"] == "a long paragraph of text\nitem" and got["author"] == "A" and got["published_at"] == "2024-01-01"
-    assert H.article_tree("<p>unclosed <div>x")["body_text"] and H.article_tree("")["warnings"] == ["missing_title", "missing_published_at", "empty_body"]
+    assert open_["body_text"] and empty["warnings"] == ["missing_title", "missing_published_at", "empty_body"]
 
 
 def test_external_normalizer_keeps_codes(spark):
