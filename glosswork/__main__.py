@@ -28,6 +28,30 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("articles")
     p.add_argument("out")
     p.add_argument("--config", default="metadata_aware_hybrid")
+    p = commands.add_parser("audit", help="counts and duplicates of the dictionaries")
+    for name in ("company_csv", "keyword_csv"):
+        p.add_argument(name)
+    p = commands.add_parser("prompts", help="teacher prompts of clean articles, as JSON lines")
+    for name in ("articles", "out"):
+        p.add_argument(name)
+    p = commands.add_parser("label", help="teacher outputs (JSON lines of article_id, raw_output) to gold and rejected records")
+    for name in ("articles", "outputs", "taxonomy", "out"):
+        p.add_argument(name)
+    p = commands.add_parser("patterns", help="pattern library of gold records")
+    for name in ("articles", "out"):
+        p.add_argument(name)
+    p = commands.add_parser("extract", help="events of clean articles by rules, verified")
+    for name in ("articles", "taxonomy", "out"):
+        p.add_argument(name)
+    p = commands.add_parser("sync", help="replaces the rows of a table that a source table has by key")
+    for name in ("target", "source", "key"):
+        p.add_argument(name)
+    p = commands.add_parser("health", help="whether the session answers and the paths are there")
+    p.add_argument("paths", nargs="*")
+    p = commands.add_parser("run-all", help="HTML folder to verified events, and an evaluation where teacher outputs are given")
+    for name in ("html_dir", "company_csv", "keyword_csv", "taxonomy", "out"):
+        p.add_argument(name)
+    p.add_argument("--outputs")
     given = parser.parse_args(args)
 
     from glosswork.plans import jobs, registry
@@ -46,8 +70,39 @@ def main(args: list[str] | None = None) -> int:
         print(jobs.run_ingest(spark, given.html_dir, given.company_csv, given.keyword_csv, given.out).count())
     elif given.command == "prepare":
         jobs.run_prepare(spark, spark.read.parquet(given.articles), given.out)
-    else:
+    elif given.command == "retrieve":
         jobs.run_retrieve(spark, spark.read.parquet(given.articles), given.out, given.config).select("case_id", "rank", "chunk_id", "score").orderBy("case_id", "rank").show(100, False)
+    else:
+        return _work(spark, given)
+    return 0
+
+
+def _work(spark, given) -> int:
+    """The commands of labeling, patterns, extraction, tables and the whole run."""
+    from glosswork.operators import dictionaries, extraction, tables, validation, verification
+    from glosswork.plans import jobs
+    from glosswork.sources import files
+
+    outputs = lambda path: files.read_jsonl(spark, path, "article_id string, raw_output string")
+    taxonomy = lambda: validation.Taxonomy.of(dictionaries.load_event_taxonomy(spark, given.taxonomy))
+    if given.command == "audit":
+        dictionaries.audit(dictionaries.load_company_dictionary(spark, given.company_csv), dictionaries.load_event_keywords(spark, given.keyword_csv)).show(1000, False)
+    elif given.command == "prompts":
+        files.write_jsonl(verification.prompt_rows(spark.read.parquet(given.articles), "Label the article."), given.out)
+    elif given.command == "label":
+        jobs.run_label(spark.read.parquet(given.articles), taxonomy(), outputs(given.outputs), given.out).groupBy("validation_status", "route").count().show()
+    elif given.command == "patterns":
+        print(jobs.run_patterns(spark.read.parquet(given.articles), spark.read.parquet(f"{given.out}/gold"), given.out).count())
+    elif given.command == "extract":
+        found = extraction.run_batch(spark.read.parquet(given.articles), taxonomy())
+        for name in ("documents", "events", "checks", "traces"):
+            tables.write_table(found[name], f"{given.out}/extraction_{name}")
+    elif given.command == "sync":
+        tables.write_table(tables.replace_by_key(spark.read.parquet(given.target), spark.read.parquet(given.source), given.key), given.target)
+    elif given.command == "health":
+        return 0 if tables.healthcheck(spark, *given.paths) else 1
+    else:
+        jobs.run_all(spark, given.html_dir, given.company_csv, given.keyword_csv, given.taxonomy, given.out, outputs(given.outputs) if given.outputs else None).show(100, False)
     return 0
 
 

@@ -182,6 +182,11 @@ def _best(queries: pa.Table, k: int, query_key: str, key: str):
     return run
 
 
+def embedding_shape(records: DataFrame) -> DataFrame:
+    """One row: model and dimension of the records (the least where they differ); those of the hash model without records."""
+    return records.agg(F.coalesce(F.min("embedding_model"), F.lit(HASH_MODEL)).alias("embedding_model"), F.coalesce(F.min("embedding_dimension"), F.lit(128)).alias("embedding_dimension"))
+
+
 def vector_manifest(chunks: DataFrame, embeddings: DataFrame) -> DataFrame:
     """One row: counts, distinct models and dimensions, and chunks by level, of chunks left-joined with embeddings."""
     joined = chunks.select("chunk_id", "chunk_level").join(embeddings.select("chunk_id", "embedding_model", "embedding_dimension"), "chunk_id", "left")

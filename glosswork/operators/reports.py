@@ -35,6 +35,26 @@ def bars(df: DataFrame, label: str, value: str, title: str, width: int = 640) ->
     return "".join(out) + "</svg>"
 
 
+def suite(metrics: DataFrame, hallucination: DataFrame, errors: DataFrame, per_type: DataFrame, documents: DataFrame, best: DataFrame, counts: DataFrame) -> dict[str, str]:
+    """The evaluation's reports by file name: summary, batch, verification, schema errors, recommendations, index, and figures."""
+    by_code = errors.groupBy("error_code").agg(F.count("*").alias("count")).orderBy(F.col("count").desc(), "error_code")
+    schema = errors.where("error_code IN ('E_INVALID_JSON', 'E_SCHEMA_VIOLATION')").groupBy("config_name", "error_code").agg(F.count("*").alias("count")).orderBy("config_name", "error_code")
+    outcome = documents.groupBy("config_name").agg(F.count("*").alias("articles"), F.count_if("json_valid").alias("valid_json"), F.count_if("schema_valid").alias("valid_schema")).orderBy("config_name")
+    worst = per_type.orderBy("f1", F.col("fn").desc(), F.col("fp").desc(), "label").limit(8)
+    out = {
+        "eval_summary.md": report("Evaluation", {"Metrics": metrics, "Best configuration": best.select("config_name"), "Errors": by_code}),
+        "extraction_batch_summary.md": report("Extraction batch", {"Documents": outcome, "Event types with the lowest F1": worst}),
+        "verification_summary.md": report("Verification", {"Hallucination": hallucination}),
+        "schema_error_summary.md": report("Schema errors", {"By configuration": schema}),
+        "improvement_recommendations.md": report("Recommendations", {"Next": "\n".join(f"- {x}" for x in recommendations(best, counts)) + "\n"}),
+        "figures/extraction_metrics.svg": bars(metrics, "config_name", "event_detection_f1", "Event detection F1"),
+        "figures/event_type_f1.svg": bars(per_type.groupBy("label").agg(F.avg("f1").alias("f1")).orderBy("label"), "label", "f1", "F1 by event type"),
+        "figures/error_distribution.svg": bars(by_code, "error_code", "count", "Errors"),
+        "figures/grounding_metrics.svg": bars(hallucination, "config_name", "groundedness_score", "Groundedness"),
+    }
+    return out | {"report_index.md": "# Reports\n\n" + "".join(f"- {name}\n" for name in sorted(out))}
+
+
 def top_counts(df: DataFrame, column: str, n: int | None = None) -> DataFrame:
     """Values by falling count, ties by value; the first n of them for a figure."""
     rows = df.groupBy(F.coalesce(F.col(column).cast("string"), F.lit("unknown")).alias(column)).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), column)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from glosswork.functions import json as J
 from glosswork.functions import similarity as S
 from glosswork.functions import text as T
+from glosswork.lineage import cut
 from glosswork.operators.validation import Taxonomy, grounding_text
 
 EVIDENCE, ARGUMENT = 0.82, 0.78
@@ -46,6 +47,14 @@ def _supported(match: Column) -> Column:
     return match["support"].isin(*SUPPORTED)
 
 
+def unsupported_fields(predictions: DataFrame) -> DataFrame:
+    """(config_name, article_id, event_id, field) of the unsupported fields in verification reports (``report``: VARIANT);
+    entries that are no objects are left out."""
+    items = F.try_variant_get("report", "$.unsupported_fields", "array<variant>")
+    each = predictions.select("config_name", "article_id", F.explode(items).alias("_i")).where(J.is_object(F.col("_i")))
+    return each.select("config_name", "article_id", J.field(F.col("_i"), "event_id").alias("event_id"), J.field(F.col("_i"), "field").alias("field"))
+
+
 def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
     """rows over all cores: comparing windows costs far more than moving the rows."""
     return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "article_id", *keys)
@@ -92,12 +101,12 @@ def verify(events: DataFrame, articles: DataFrame, taxonomy: Taxonomy, contexts:
     bad_subtype = F.col("event_subtype").isNotNull() & ~F.array_contains(taxonomy.allowed_subtypes(F.col("event_type")), F.col("event_subtype"))
     typed = typed.withColumn("_repaired", F.coalesce(bad_subtype, F.lit(False)).cast("int")).withColumn("event_subtype", F.when(~bad_subtype, F.col("event_subtype")))
     known = taxonomy.known(F.col("event_type"))
-    # fuzzy matching is the dear part, and four results read it: kept once, spilling to disk
-    checked = evidence_support(typed.where(known), articles, contexts).persist()
+    # fuzzy matching is the dear part, and four results read it: written once
+    checked = cut(evidence_support(typed.where(known), articles, contexts))
     kept = checked.where(_supported(F.col("evidence")))
     fuzzy = F.col("evidence.match_type") == "fuzzy"
     kept = kept.withColumn("evidence_span", F.when(fuzzy, F.col("evidence.matched_text")).otherwise(F.col("evidence_span"))).withColumn("_repaired", F.col("_repaired") + F.coalesce(fuzzy.cast("int"), F.lit(0)))
-    arguments = argument_support(kept, articles).persist()
+    arguments = cut(argument_support(kept, articles))
     lost = arguments.where(~_supported(F.col("match"))).groupBy(*key).agg(F.collect_set("key").alias("_lost"))
     out = kept.join(lost, key, "left").withColumn("_lost", F.coalesce("_lost", F.array().cast("array<string>")))
     filled = F.map_filter(F.transform_values("event_arguments", lambda k, v: F.when(F.array_contains("_lost", k), F.lit(None).cast("string")).otherwise(v)), lambda k, v: T.has_value(v))
@@ -232,23 +241,29 @@ def prompt_rows(articles: DataFrame, instruction: str, budgets: tuple[int, ...]
     return articles.select("article_id", F.coalesce(*fits, tries[-1]).alias("prompt"))
 
 
-def invoke(prompts: DataFrame, model, retries: int = 2) -> DataFrame:
-    """(article_id, raw_output, error): ``model(prompt)`` per row, tried again on errors; the last error becomes the row."""
+def invoke(prompts: DataFrame, model, retries: int = 2, pause_seconds: float = 0.0) -> DataFrame:
+    """(article_id, raw_output, error, attempts, latency_ms): ``model(prompt)`` per row, tried again on errors after
+    ``pause_seconds`` times the number of tries so far; the last error becomes the row."""
 
     def run(frames):
+        import time
+
         import pandas as pd
 
         for frame in frames:
             rows = []
             for key, prompt in zip(frame["article_id"], frame["prompt"]):
-                answer, error = None, None
-                for _ in range(retries + 1):
+                answer, error, began, tries = None, None, time.perf_counter(), 0
+                while tries <= retries and answer is None:
+                    if tries:
+                        time.sleep(pause_seconds * tries)
+                    tries += 1
                     try:
                         answer, error = str(model(prompt)), None
-                        break
                     except Exception as e:  # recorded in the row
                         error = str(e)
-                rows.append((key, answer, error))
-            yield pd.DataFrame(rows, columns=["article_id", "raw_output", "error"])
+                rows.append((key, answer, error, tries, round((time.perf_counter() - began) * 1000, 3)))
+            yield pd.DataFrame(rows, columns=["article_id", "raw_output", "error", "attempts", "latency_ms"])
 
-    return prompts.select("article_id", "prompt").mapInPandas(run, f"article_id {dict(prompts.dtypes)['article_id']}, raw_output string, error string")
+    kind = dict(prompts.dtypes)["article_id"]
+    return prompts.select("article_id", "prompt").mapInPandas(run, f"article_id {kind}, raw_output string, error string, attempts int, latency_ms double")

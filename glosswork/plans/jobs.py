@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glosswork.functions import text as T
-from glosswork.operators import chunking, dictionaries, evaluation, index, ingest, querying, reports, retrieval, tables, validation, verification
+from glosswork.operators import chunking, dictionaries, evaluation, extraction, index, ingest, querying, reports, retrieval, tables, validation, verification
 from glosswork.sources import files
 
 #: Each step and the steps whose output it reads.
@@ -35,6 +35,26 @@ def plan(selected: list[str], done: set[str] = frozenset()) -> list[str]:
     return order
 
 
+RUN = "run_id string, steps array<string>, status string, created_at timestamp, finished_at timestamp, error string"
+
+
+def create_run(spark: SparkSession, path: str, selected: list[str], run_id: str) -> DataFrame:
+    """Adds a queued run with its planned steps to the table of runs; the table."""
+    row = spark.createDataFrame([(run_id, plan(selected, set(STEPS)))], "run_id string, steps array<string>")
+    row = row.select("run_id", "steps", F.lit("queued").alias("status"), F.current_timestamp().alias("created_at"), F.lit(None).cast("timestamp").alias("finished_at"), F.lit(None).cast("string").alias("error"))
+    row.write.mode("append").parquet(path)
+    return spark.read.schema(RUN).parquet(path)
+
+
+def reconcile_runs(runs: DataFrame, at) -> DataFrame:
+    """Runs that a stopped process left open (queued or running) as interrupted at the given time; the others as they are."""
+    open_ = F.col("status").isin("queued", "running")
+    return runs.withColumns({
+        "finished_at": F.when(open_, F.lit(at).cast("timestamp")).otherwise(F.col("finished_at")), "error": F.when(open_, "interrupted before it ended").otherwise(F.col("error")),
+        "status": F.when(open_, "interrupted").otherwise(F.col("status")),
+    })
+
+
 def run_ingest(spark: SparkSession, html_dir: str, company_csv: str, keyword_csv: str, out: str, manifest: str | None = None) -> DataFrame:
     """HTML snapshots to clean articles with hints, and their quality counts."""
     raw = ingest.parse_pages(files.read_html_dir(spark, html_dir), files.read_manifest(spark, manifest) if manifest else None)
@@ -79,6 +99,58 @@ def run_extract_verify(articles: DataFrame, taxonomy: validation.Taxonomy, conte
     return verification.verify(verification.rule_extract(rows, taxonomy), rows, taxonomy, contexts)
 
 
+def run_label(articles: DataFrame, taxonomy: validation.Taxonomy, outputs: DataFrame, out: str) -> DataFrame:
+    """Teacher outputs (article_id, raw_output) to gold and rejected records as tables; the records."""
+    records = validation.teacher_records(outputs, articles, taxonomy).withColumn("label", F.to_json("label"))
+    tables.write_table(records, f"{out}/teacher_records")
+    kept = articles.sparkSession.read.parquet(f"{out}/teacher_records")
+    tables.write_table(kept.where("route = 'gold'"), f"{out}/gold")
+    tables.write_table(kept.where("route = 'rejected'"), f"{out}/rejected")
+    return kept
+
+
+def run_patterns(articles: DataFrame, gold: DataFrame, out: str) -> DataFrame:
+    """Pattern library of gold records (article_id, label as JSON text) and the chunks it is attached to; the patterns."""
+    labels = gold.select("article_id", F.parse_json("label").alias("label"))
+    found = verification.patterns(validation.exploded_events(labels), articles)
+    tables.write_table(found, f"{out}/patterns")
+    kept = articles.sparkSession.read.parquet(f"{out}/patterns")
+    tables.write_table(verification.attach_patterns(kept, articles.sparkSession.read.parquet(f"{out}/chunks")), f"{out}/pattern_chunks")
+    return kept
+
+
+def run_all(spark: SparkSession, html_dir: str, company_csv: str, keyword_csv: str, taxonomy_json: str, out: str, outputs: DataFrame | None = None) -> DataFrame:
+    """Snapshots to extracted and verified events: (step, table, n) of everything written below ``out``.
+
+    With teacher ``outputs`` (article_id, raw_output) labels, patterns and an evaluation of the rule extractor follow.
+    """
+    taxonomy = validation.Taxonomy.of(dictionaries.load_event_taxonomy(spark, taxonomy_json))
+    articles = run_ingest(spark, html_dir, company_csv, keyword_csv, out)
+    run_prepare(spark, articles, out)
+    tables.write_table(run_retrieve(spark, articles, out), f"{out}/contexts")
+    written = {"ingest": ["articles"], "prepare": ["chunks", "postings", "embeddings"], "retrieve": ["contexts"]}
+    found = extraction.run_batch(articles, taxonomy)
+    for name in ("documents", "events", "checks", "traces"):
+        tables.write_table(found[name], f"{out}/extraction_{name}")
+    written["extract"] = [f"extraction_{n}" for n in ("documents", "events", "checks", "traces")]
+    if outputs is not None:
+        run_label(articles, taxonomy, outputs, out)
+        gold = spark.read.parquet(f"{out}/gold")
+        run_patterns(articles, gold, out)
+        labels = gold.select("article_id", F.parse_json("label").alias("label"))
+        events = validation.exploded_events(labels).select("article_id", *evaluation.FIELDS, "event_index")
+        n = events.groupBy("article_id").agg(F.count("*").alias("n_events"))
+        documents = labels.join(n, "article_id", "left").select("article_id", T.nullable_upper(F.try_variant_get("label", "$.document_label", "string")).alias("document_label"), F.coalesce("n_events", F.lit(0)).alias("n_events"))
+        made = spark.read.parquet(f"{out}/extraction_events").withColumn("config_name", F.lit("rules"))
+        predictions = spark.read.parquet(f"{out}/extraction_documents").select(
+            F.lit("rules").alias("config_name"), "article_id", "document_label", "n_events", F.lit(True).alias("json_valid"), F.lit(True).alias("schema_valid"), F.lit(0).alias("position")
+        )
+        run_evaluate(events, documents, made, predictions, f"{out}/evaluation")
+        written |= {"label": ["gold", "rejected"], "patterns": ["patterns", "pattern_chunks"], "evaluate": ["evaluation/metrics", "evaluation/errors"]}
+    rows = [(step, name, spark.read.parquet(f"{out}/{name}").count()) for step, names in written.items() for name in names]
+    return spark.createDataFrame(rows, "step string, table string, n long")
+
+
 def run_evaluate(gold_events: DataFrame, gold_documents: DataFrame, predicted: DataFrame, predictions: DataFrame, out: str) -> str:
     """Metrics and errors of every configuration as tables, and the report text."""
     result = evaluation.evaluate(gold_events, gold_documents, predicted, evaluation.best_prediction(predictions))

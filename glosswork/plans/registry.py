@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from glosswork.plans import corpus_queries, evaluation_queries, extra_queries, retrieval_queries, table_queries, text_queries
+from glosswork.plans import corpus_queries, evaluation_queries, extra_queries, file_queries, retrieval_queries, table_queries, text_queries
 
-MODULES = (text_queries, corpus_queries, retrieval_queries, evaluation_queries, table_queries, extra_queries)
+MODULES = (text_queries, corpus_queries, retrieval_queries, evaluation_queries, table_queries, extra_queries, file_queries)
 
 
 def queries() -> dict:

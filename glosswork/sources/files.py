@@ -119,6 +119,18 @@ def fetch(candidates: DataFrame, get, schema: str = "url string, status_code int
     return candidates.select("url").mapInPandas(run, schema)
 
 
+def reset_snapshots(spark: SparkSession, folder: str, manifest: str | None = None) -> int:
+    """Deletes the HTML snapshots of a folder and their manifest; the number of snapshots. For folders that a crawl fills anew."""
+    fs, p = _path(spark, f"{folder.rstrip('/')}/*.html")
+    found = [s.getPath() for s in (fs.globStatus(p) or [])]
+    for snapshot in found:
+        fs.delete(snapshot, False)
+    if manifest is not None:
+        fs, p = _path(spark, manifest)
+        fs.delete(p, True)
+    return len(found)
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     """JSON lines with fields in order of name; overwrites."""
     df.select(*sorted(df.columns)).write.mode("overwrite").json(path)
