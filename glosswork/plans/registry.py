@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from glosswork.plans import contract_queries, corpus_queries, evaluation_queries, extra_queries, file_queries, retrieval_queries, table_queries, text_queries
+from glosswork.plans import contract_queries, corpus_queries, evaluation_queries, extra_queries, file_queries, packing_queries, retrieval_queries, table_queries, text_queries
 
-MODULES = (text_queries, corpus_queries, retrieval_queries, evaluation_queries, table_queries, extra_queries, file_queries, contract_queries)
+MODULES = (text_queries, corpus_queries, retrieval_queries, evaluation_queries, table_queries, extra_queries, file_queries, contract_queries, packing_queries)
 
 
 def queries() -> dict:
