@@ -9,15 +9,16 @@ from pyspark.sql import functions as F
 from glosswork.functions import json as J
 from glosswork.functions import similarity as S
 from glosswork.functions import text as T
-from glosswork.lineage import cut
-from glosswork.operators import chunking, dictionaries, evaluation, extraction, index, prompting, querying, ranking_metrics, rerank, reports, retrieval, validation, verification
+from glosswork.lineage import cut, new_path
+from glosswork.operators import dictionaries, evaluation, extraction, index, prompting, querying, ranking_metrics, rerank, reports, retrieval, validation, verification
 from glosswork.plans import fixtures, retrieval_queries
-from glosswork.plans.corpus_queries import _HIT, _KEY
-from glosswork.plans.evaluation_queries import _ALL, _CONF, _DATA, _DOCS, _SCORES, _votes, data
-from glosswork.plans.retrieval_queries import _METRIC, _RANKED, _REL, _STAGE, PLAIN, _jn09, _ranked, _ret18, cases, hinted
+from glosswork.plans.corpus_queries import _KEY
+from glosswork.plans.evaluation_queries import _ALL, _DATA, _DOCS, _ERRORS, _parts, _votes, data
+from glosswork.plans.retrieval_queries import _METRIC, _RANKED, _REL, _STAGE, PLAIN, _jn09, _ranked, cases, hinted
 from glosswork.plans.table_queries import TAXONOMY, _hinted, _labels, _patterns
 from glosswork.plans.text_queries import _jaccard_sql, _metric_set, norm, value
 from glosswork.session import table
+from glosswork.sources import files
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -563,11 +564,109 @@ def _sup25(spark, sf_dir):
     return extraction.reasons(e).select("article_id", F.array_join("reasons", "|").alias("reasons"))
 
 
+# the literal cases of ``retrieval_queries`` through judgments, prompts and diversity
+
+_CONTEXTS = _STAGE.rstrip() + "," + _FINAL.format(norm=norm("d.text")) + """, fin AS (SELECT z.*, h.tk, h.ty, h.kw, h.text FROM z JOIN h ON h.doc_id = z.chunk_id WHERE rank <= 5), q0 AS (SELECT case_id, tickers, types FROM q WHERE position = 0),
+j AS (SELECT fin.*, CASE WHEN len(list_intersect(q0.tickers, tk)) > 0 AND len(list_intersect(q0.types, ty)) > 0 THEN 'HIGH' WHEN len(list_intersect(q0.tickers, tk)) > 0 OR len(list_intersect(q0.types, ty)) > 0 THEN 'MEDIUM'
+  WHEN len(kw) + len(ty) > 0 THEN 'LOW' ELSE 'IRRELEVANT' END AS label FROM fin JOIN q0 ON q0.case_id = fin.case_id),
+js AS (SELECT *, CASE label WHEN 'HIGH' THEN 0.92 WHEN 'MEDIUM' THEN 0.72 WHEN 'LOW' THEN 0.45 ELSE 0.05 END::DOUBLE AS m FROM j)
+"""
+
+
+def _case_contexts(spark, sf_dir):
+    chunks = cut(hinted(spark, sf_dir))
+    return chunks, cut(retrieval.retrieve(cases(spark), chunks, PLAIN))
+
+
+@query("ret13_case_judgments", _CONTEXTS + "SELECT case_id, chunk_id, label AS relevance_label, m AS relevance_score FROM js")
+def _ret13(spark, sf_dir):
+    chunks, contexts = _case_contexts(spark, sf_dir)
+    return rerank.deterministic_judgments(contexts, cases(spark), chunks)
+
+
+@query("ret14_case_rerank", _CONTEXTS + ", b AS (SELECT case_id, chunk_id, rank, round(0.4 * score + 0.6 * m, 6) AS s FROM js) SELECT case_id, chunk_id, s AS score, CAST(row_number() OVER (PARTITION BY case_id ORDER BY s DESC, rank) AS INTEGER) AS rank FROM b")
+def _ret14(spark, sf_dir):
+    chunks, contexts = _case_contexts(spark, sf_dir)
+    out = rerank.apply_judgments(contexts, rerank.deterministic_judgments(contexts, cases(spark), chunks))
+    return out.select("case_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(
+    "ret17_sup16_case_prompts",
+    _CONTEXTS + "SELECT case_id, count(*) AS n, array_to_string(list(chunk_id ORDER BY rank), '|') AS ids, max(CASE WHEN length(text) > 600 THEN length(regexp_replace(substr(text, 1, 600), '\\s+$', '')) + 3 ELSE length(text) END) AS longest, case_id || '1' AS query_id FROM fin GROUP BY case_id",
+)
+def _ret17(spark, sf_dir):
+    """The requests to a judge, parsed back: candidates in order with cut texts, and the case's first query."""
+    _, contexts = _case_contexts(spark, sf_dir)
+    request = F.parse_json("prompt")
+    listed = F.try_variant_get(request, "$.candidates", "array<variant>")
+    return rerank.prompt(contexts, cases(spark)).select(
+        "case_id", F.size(listed).cast("long").alias("n"), F.array_join(F.transform(listed, lambda c: J.field(c, "chunk_id")), "|").alias("ids"),
+        F.array_max(F.transform(listed, lambda c: F.char_length(J.field(c, "text")))).cast("long").alias("longest"), J.field(request, "query.query_id").alias("query_id"),
+    )
+
+
+@query(
+    "ret21_case_diversity",
+    _CONTEXTS + """, it AS (SELECT case_id, doc_id AS chunk_id, list(DISTINCT types[1]) AS own FROM u JOIN q USING (query_id) GROUP BY 1, 2), wa AS (SELECT case_id, list(DISTINCT types[1]) AS wanted FROM q GROUP BY 1),
+    ct2 AS (SELECT fin.case_id, fin.chunk_id, wanted, CASE WHEN own IS NOT NULL THEN own ELSE ty END AS mine FROM fin LEFT JOIN it ON it.case_id = fin.case_id AND it.chunk_id = fin.chunk_id JOIN wa ON wa.case_id = fin.case_id),
+    tp AS (SELECT case_id, wanted, unnest(CASE WHEN len(list_intersect(mine, wanted)) > 0 THEN list_intersect(mine, wanted) ELSE mine END) AS t FROM ct2), tc AS (SELECT case_id, any_value(wanted) AS wanted, t, count(*) AS n FROM tp GROUP BY case_id, t)
+    SELECT case_id, count(*) AS unique_event_types_at_5, round(max(n) / sum(n), 6) AS dominance_ratio_at_5, round(count(*) FILTER (WHERE list_contains(wanted, t)) / any_value(len(wanted)), 6) AS event_type_coverage_at_5 FROM tc GROUP BY case_id""",
+)
+def _ret21(spark, sf_dir):
+    _, contexts = _case_contexts(spark, sf_dir)
+    d = ranking_metrics.diversity(contexts, 5)
+    return d.select("case_id", "unique_event_types_at_5", *[F.round(c, 6).alias(c) for c in ("dominance_ratio_at_5", "event_type_coverage_at_5")])
+
+
+@query("emb04_udf01_plug_in", f"SELECT 'c' || item_id AS chunk_id, 2 AS embedding_dimension, length(text)::DOUBLE AS first, false AS cache_hit, 'sha256:' || sha256(lower({norm()})) AS chunk_hash FROM benchmark")
+def _emb04(spark, sf_dir):
+    """An embedding model from outside, as a function over Arrow batches."""
+    import pyarrow as pa
+
+    def model(batches):
+        for batch in batches:
+            vectors = [[float(len(t)), 1.0] for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vectors, pa.list_(pa.float64()))], names=["chunk_id", "vector"])
+
+    chunks = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("c"), "item_id").alias("chunk_id"), F.lit("a").alias("article_id"), F.col("text").alias("embedding_text"))
+    none = spark.createDataFrame([], "embedding_model string, chunk_hash string, vector array<double>")
+    out = index.embed_with_cache(chunks, none, lambda df: df.select("chunk_id", "embedding_text").mapInArrow(model, "chunk_id string, vector array<double>"), "outside")
+    return out.select("chunk_id", "embedding_dimension", F.col("vector")[0].alias("first"), "cache_hit", "chunk_hash")
+
+
+@query("snk05_error_files", _ERRORS + "SELECT error_code, CAST(count(*) AS VARCHAR) AS count FROM e GROUP BY 1 UNION ALL SELECT 'examples', CAST((SELECT count(*) FROM e) AS VARCHAR)")
+def _snk05(spark, sf_dir):
+    """Counts as CSV and all errors as JSON lines, read back."""
+    rows, documents, _, _ = _parts(spark, sf_dir)
+    found = cut(evaluation.errors(documents, rows))
+    path = new_path(spark, "errors")
+    files.write_csv(evaluation.error_counts(found), f"{path}/counts")
+    files.write_jsonl(found, f"{path}/examples")
+    n = spark.read.text(f"{path}/examples").agg(F.count("*").cast("string").alias("count")).select(F.lit("examples").alias("error_code"), "count")
+    return files.read_csv(spark, f"{path}/counts").unionByName(n)
+
+
+_PROMPT = "'Label the article.' || chr(10) || '{\"article_id\":\"d' || doc_id || '\",\"text\":' || CAST(to_json({t}) AS VARCHAR) || '}'"
+
+
+def _cut_sql(most: int) -> str:
+    return f"CASE WHEN length(text) > {most} THEN regexp_replace(substr(text, 1, {most}), '\\s+$', '') || '...' ELSE text END"
+
+
+def _prompt_sql(most: int) -> str:
+    return "length(" + _PROMPT.replace("{t}", _cut_sql(most)) + ")"
+
+
 # Queries of other modules that return the same rows.
 SQL |= {
     "evl02_evaluate_configs": SQL["evl02_evl04_metrics"],
     "top13_best_config": SQL["top13_best_configuration"],
     "agg03_labeling_counts": SQL["agg03_labeling_summary"],
     "ext03_rule_extract": SQL["ext03_ext04_rule_events"],
+    "jn13_metrics_with_hallucination": _EVALUATED + "SELECT config_name, CASE config_name WHEN 'base' THEN 0.5 ELSE 0.25 END::DOUBLE AS groundedness_score, event_detection_f1 FROM ev",
+    "ret01_article_queries": _VIEWS + "f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(x) ORDER BY p) AS k FROM v1) SELECT 'd' || doc_id || '_' || qt || '_' || substr(sha1('d' || doc_id || ':' || qt || ':' || x), 1, 10) AS query_id, 'd' || doc_id AS article_id, qt AS query_type, x AS text, w::DOUBLE AS weight FROM f WHERE k = 1",
+    "ret02_intent_queries": SQL["ret02_agg21_intent_queries"].replace("md5(x) AS digest", "x AS text"),
+    "lab01_prompts": f"SELECT 'd' || doc_id AS article_id, CASE WHEN {_prompt_sql(6000)} <= 6418 THEN {_prompt_sql(6000)} WHEN {_prompt_sql(3000)} <= 6418 THEN {_prompt_sql(3000)} WHEN {_prompt_sql(1500)} <= 6418 THEN {_prompt_sql(1500)} ELSE {_prompt_sql(600)} END AS n FROM documents",
     "src15_src16_gold_and_predictions": "SELECT 'd' || (doc_id % 20) AS article_id, 'c1' AS config_name, 'NO_EVENT' AS document_label, count(*) AS n FROM labels GROUP BY 1",
 }
