@@ -43,7 +43,7 @@ from glosswork.llm.shared import cut, small_batches
 from glosswork.llm.wordkit import Words, blocks, mix, sliding_min, window_hashes, window_starts
 
 WINDOW = 13
-BLOCK_LEAST, BLOCK_MOST = 2e6, 64e6  # bytes of text in a block
+BLOCK_LEAST, BLOCK_MOST = 4e6, 64e6  # bytes of text in a block
 BLOCK, BUCKET, LEVEL, DATA = "_block", "_bucket", "_level", "_data"
 ID, TEXT, REST = "_id", "_text", "_rest"
 PACKED = f"{BUCKET} int, {BLOCK} int, {DATA} binary"

@@ -178,7 +178,7 @@ def test_equal_first_hashes_do_not_remove(spark, monkeypatch):
 
 
 def test_blocks_grow_with_the_text():
-    assert substring.block_count(0) == 64 and substring.block_count(1 << 30) < 600
+    assert substring.block_count(0) == 64 and substring.block_count(1 << 30) < 300
     size = [n / substring.block_count(int(n)) for n in (1e9, 1e11, 1e14)]
     assert size[0] < size[1] < size[2] <= substring.BLOCK_MOST
 
