@@ -584,7 +584,7 @@ def _ret13(spark, sf_dir):
     return rerank.deterministic_judgments(contexts, cases(spark), chunks)
 
 
-@query("ret14_case_rerank", _CONTEXTS + ", b AS (SELECT case_id, chunk_id, rank, round(0.4 * score + 0.6 * m, 6) AS s FROM js) SELECT case_id, chunk_id, s AS score, CAST(row_number() OVER (PARTITION BY case_id ORDER BY s DESC, rank) AS INTEGER) AS rank FROM b")
+@query("ret14_case_rerank", _CONTEXTS + ", bl AS (SELECT case_id, chunk_id, rank, round(0.4 * score + 0.6 * m, 6) AS s FROM js) SELECT case_id, chunk_id, s AS score, CAST(row_number() OVER (PARTITION BY case_id ORDER BY s DESC, rank) AS INTEGER) AS rank FROM bl")
 def _ret14(spark, sf_dir):
     chunks, contexts = _case_contexts(spark, sf_dir)
     out = rerank.apply_judgments(contexts, rerank.deterministic_judgments(contexts, cases(spark), chunks))
