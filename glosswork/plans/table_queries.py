@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import functions as F
 
 from glosswork.functions import json as J
 from glosswork.functions import text as T
+from glosswork.lineage import new_path
 from glosswork.operators import chunking, dictionaries, tables, validation, verification
 from glosswork.plans import fixtures
 from glosswork.session import table
@@ -226,11 +224,15 @@ def _ext03(spark, sf_dir):
 
 
 def _drafts(spark, sf_dir):
+    """Rule drafts whose evidence is a whole sentence: as it is, with another last word, or one that no text has; with one
+    argument of its words and one that no text has."""
     articles = _hinted(spark, sf_dir)
     e = verification.rule_extract(articles, TAXONOMY)
     n = F.substring("article_id", 2, 20).cast("bigint")
-    span = F.when(n % 4 == 0, F.concat(F.substring("evidence_span", 1, 80), F.lit(" zz"))).when(n % 4 == 1, F.lit("quite another sentence that no text has")).otherwise(F.substring("evidence_span", 1, 80))
-    return articles, e.withColumn("evidence_span", span).withColumn("event_arguments", F.create_map(F.lit("partner"), F.substring("evidence_span", 1, 12), F.lit("place"), F.lit("Atlantis 9999")))
+    sentence = F.coalesce(F.get(T.split_sentences(F.col("evidence_span")), F.lit(0)), F.lit(""))
+    span = F.when(n % 4 == 0, F.concat(F.regexp_replace(sentence, r"\S+$", ""), F.lit("zz"))).when(n % 4 == 1, F.lit("quite another sentence that no text has")).otherwise(sentence)
+    words = F.regexp_extract("evidence_span", r"\S+\s+\S+", 0)
+    return articles, e.withColumn("evidence_span", span).withColumn("event_arguments", F.create_map(F.lit("partner"), words, F.lit("place"), F.lit("Atlantis 9999")))
 
 
 @query("ver01_verified_events")
@@ -276,7 +278,7 @@ def _lab01(spark, sf_dir):
 
 
 def _scratch(spark) -> str:
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()}/glosswork-files-{os.getpid()}"
+    return new_path(spark, "files")
 
 
 @query("src01_jsonl_round_trip", "SELECT doc_id, source, md5(text) AS digest FROM documents")
@@ -325,7 +327,7 @@ def _src15(spark, sf_dir):
 def _stm01(spark, sf_dir):
     from glosswork.streaming import log_tail
 
-    base = f"{_scratch(spark)}/log{abs(hash(sf_dir))}-{len(os.listdir(tempfile.gettempdir()))}-{int(__import__('time').time() * 1000)}"
+    base = _scratch(spark)
     e = table(spark, sf_dir, "events").select(F.to_json(F.struct(F.col("event_type").alias("event"), F.col("event_id").cast("string").alias("run_id"))).alias("value"))
     e.write.text(f"{base}/in")
     log_tail.run_available(log_tail.tail(spark, f"{base}/in"), f"{base}/out", f"{base}/state")

@@ -42,6 +42,75 @@ def test_from_pages_to_verified_events(spark, tmp_path):
     assert files.list_reports(spark, out).where(F.col("kind") == "parquet").count() > 0
 
 
+def test_the_whole_run_and_its_reports(spark, tmp_path, capsys):
+    import json
+
+    pages = tmp_path / "html"
+    pages.mkdir()
+    fill = "".join(f"<p>{'Co dong dong thuan voi ke hoach. ' * 6}</p>" for _ in range(2))
+    for i, (name, text) in enumerate([("FPT", "ky hop dong lon"), ("VNM", "xay nha may moi"), ("HPG", "khong co gi")]):
+        (pages / f"cafef_{i}.html").write_text(f"<html><head><title>Tin {name}</title></head><body><p>{name} {text} trong nam nay.</p>{fill}</body></html>", encoding="utf-8")
+    (tmp_path / "c.csv").write_text("ticker,company_name,aliases,sector\nFPT,FPT Corp,,TECH\nVNM,Vinamilk,,FOOD\nHPG,Hoa Phat,,STEEL\n")
+    (tmp_path / "k.csv").write_text("event_type,event_subtype,keyword,polarity_hint,priority,notes\nCONTRACT,SIGNED,hợp đồng,positive,2,\nEXPANSION,PLANT,nhà máy,positive,1,\n", encoding="utf-8")
+    rules = {"CONTRACT": {"subtypes": ["SIGNED"], "argument_fields": []}, "EXPANSION": {"subtypes": ["PLANT"], "argument_fields": ["project"]}}
+    (tmp_path / "t.json").write_text(json.dumps({"schema_version": "v1", "document_labels": ["HAS_EVENT", "NO_EVENT", "UNCERTAIN"], "impact_sentiments": ["POSITIVE", "NEUTRAL"], "common_argument_fields": [], "event_types": rules}))
+    args = [str(tmp_path / x) for x in ("html", "c.csv", "k.csv", "t.json", "out")]
+    first = {(r["step"], r["table"]): r["n"] for r in jobs.run_all(spark, *args).collect()}
+    assert first[("ingest", "articles")] == 3 and first[("extract", "extraction_events")] == 2 and first[("extract", "extraction_traces")] == 12
+    drafts = {r["article_id"]: r for r in spark.read.parquet(f"{args[-1]}/extraction_events").collect()}
+    event = lambda r: {"event_id": r["event_id"], "ticker": r["ticker"], "company_name": r["company_name"], "event_type": r["event_type"], "event_subtype": r["event_subtype"], "event_summary": "s", "event_reason": "r",
+                       "event_arguments": {}, "impact_sentiment": "POSITIVE", "evidence_span": r["evidence_span"], "source_url": "u", "published_at": None, "confidence": 0.9}
+    rows = []
+    for a in spark.read.parquet(f"{args[-1]}/articles").collect():
+        e = [event(drafts[a["article_id"]])] if a["article_id"] in drafts else []
+        label = {"article_id": a["article_id"], "document_label": "HAS_EVENT" if e else "NO_EVENT", "label_reason": "why", "events": e, "warnings": [], "model_info": {"model_name": "m", "prompt_version": "p", "run_id": "r"}}
+        rows.append((a["article_id"], json.dumps(label)))
+    outputs = spark.createDataFrame(rows, "article_id string, raw_output string")
+    second = {(r["step"], r["table"]): r["n"] for r in jobs.run_all(spark, *args, outputs).collect()}
+    assert second[("label", "gold")] == 3 and second[("label", "rejected")] == 0 and second[("patterns", "patterns")] == 2 and second[("evaluate", "evaluation/errors")] == 0
+    m = spark.read.parquet(f"{args[-1]}/evaluation/metrics").first()
+    assert m["event_detection_f1"] == m["event_type_macro_f1"] == 1.0
+    outputs.write.json(str(tmp_path / "outputs"))
+    capsys.readouterr()
+    assert main(["label", f"{args[-1]}/articles", str(tmp_path / "outputs"), args[3], args[-1]]) == 0 and "gold" in capsys.readouterr().out
+    assert main(["audit", args[1], args[2]]) == 0 and "TECH" in capsys.readouterr().out
+    assert main(["health", args[0]]) == 0 and main(["health", f"{args[0]}-none"]) == 1
+    assert main(["extract", f"{args[-1]}/articles", args[3], args[-1]]) == 0 and main(["patterns", f"{args[-1]}/articles", args[-1]]) == 0
+
+
+def test_a_batch_with_model_outputs_keeps_errors_in_traces(spark):
+    from glosswork.operators import extraction, verification
+
+    articles = spark.createDataFrame([("a", "FPT ky hop dong lon"), ("b", "VNM"), ("c", "HPG")], "article_id string, text string")
+    articles = articles.withColumns({c: F.array().cast("array<string>") for c in ("tickers_hint", "company_names_hint", "event_keywords", "event_type_hints", "event_subtype_hints")})
+
+    def model(prompt):
+        if prompt == "c":
+            raise RuntimeError("down")
+        return "no json" if prompt == "b" else '{"article_id": "a", "document_label": "HAS_EVENT", "events": [{"event_id": "e", "event_type": "contract", "evidence_span": "ky hop dong lon", "event_arguments": {}, "confidence": 0.5}]}'
+
+    outputs = verification.invoke(articles.select("article_id", F.col("article_id").alias("prompt")), model, 1)
+    found = extraction.run_batch(articles, validation.Taxonomy({"CONTRACT": ("SIGNED",)}, {}), outputs)
+    documents = {r["article_id"]: r for r in found["documents"].collect()}
+    assert [documents[k]["document_label"] for k in "abc"] == ["HAS_EVENT", "UNCERTAIN", "UNCERTAIN"] and documents["c"]["error"] == "down"
+    status = {(r["article_id"], r["node"]): r["status"] for r in found["traces"].collect()}
+    assert status[("c", "extraction")] == "error" and status[("b", "validation_repair")] == "error" and status[("a", "extraction")] == "success"
+    off = extraction.run_batch(articles, validation.Taxonomy({"CONTRACT": ("SIGNED",)}, {}), outputs, verify=False)
+    assert off["checks"].count() == 0 and off["events"].count() == 1
+
+
+def test_report_suite(spark):
+    from glosswork.operators import evaluation, reports
+    from glosswork.plans.evaluation_queries import data
+
+    gold, documents, events, predictions = data(spark, "/root/testdata/sf0.001")
+    result = evaluation.evaluate(gold, documents, events, predictions)
+    h = spark.createDataFrame([("base", 0.5), ("flow", 0.75)], "config_name string, groundedness_score double")
+    out = reports.suite(result["metrics"], h, result["errors"], result["per_event_type"], result["documents"], evaluation.best_config(result["metrics"]), evaluation.error_counts(result["errors"]))
+    assert len(out) == 10 and "flow" in out["eval_summary.md"] and "E_INVALID_JSON" in out["schema_error_summary.md"] and out["figures/event_type_f1.svg"].startswith("<svg")
+    assert all(f"- {name}" in out["report_index.md"] for name in out if name != "report_index.md")
+
+
 def test_command_line(capsys):
     assert main(["list"]) == 0 and "q_bm25_topk" in capsys.readouterr().out
     assert main(["plan", "ingest", "prepare"]) == 0 and capsys.readouterr().out.split() == ["ingest", "prepare"]

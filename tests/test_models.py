@@ -283,7 +283,10 @@ def test_coverage_choice_equals_plain_loops():
             kinds = ["MA", "DIVIDEND", "CONTRACT", "LEGAL"]
             rows = [("c", f"k{i}", i + 1, r.random(), r.sample(kinds, r.randrange(3)), r.sample("abcdefghijklmnop", r.randrange(9)), 6, n_types) for i in range(r.randrange(1, 20))]
             frame = pd.DataFrame(rows, columns=["case_id", "chunk_id", "rank", "score", "_types", "_tokens", "_k", "_n"])
-            assert retrieval.coverage_mmr(frame, config)["chunk_id"].tolist() == plain_mmr(rows, config)
+            got = retrieval.coverage_mmr(frame, config)
+            assert got["chunk_id"].tolist() == plain_mmr(rows, config)
+            parts = config.mmr_lambda * got["normalized_relevance"] + (1 - config.mmr_lambda) + got["coverage_bonus"] - got["diversity_penalty"] - got["event_overflow_penalty"]
+            assert (abs(parts - got["selection_score"]) < 1e-5).all()
 
 
 def test_containing_keeps_every_evidence_of_a_case(spark):
@@ -422,7 +425,7 @@ def test_model_calls_become_rows(spark):
             raise RuntimeError("no")
         return prompt.upper()
 
-    assert {tuple(r) for r in verification.invoke(prompts, model).collect()} == {("a", "GOOD", None), ("b", None, "no")}
+    assert {tuple(r)[:4] for r in verification.invoke(prompts, model).collect()} == {("a", "GOOD", None, 1), ("b", None, "no", 3)}
 
 
 # files and tables
