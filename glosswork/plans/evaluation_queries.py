@@ -131,6 +131,12 @@ def _parts(spark, sf_dir):
     return E.sides(gold, pred, matches, configs), E.aligned_documents(documents, predictions, configs), matches, predictions
 
 
+def _documents(spark, sf_dir):
+    """The aligned documents alone: no event is matched for them."""
+    _, documents, _, predictions = data(spark, sf_dir)
+    return E.aligned_documents(documents, predictions, predictions.select("config_name").distinct())
+
+
 @query("evl01_match_scores", f"WITH {_DATA}, {_SCORES} SELECT config_name, article_id, gi AS gold_index, pi AS pred_index, score, evidence AS evidence_overlap, args::DOUBLE AS argument_overlap FROM s")
 def _evl01(spark, sf_dir):
     gold, _, pred, _ = data(spark, sf_dir)
@@ -183,7 +189,7 @@ _DOCS = """
 
 @query("jn11_set02_aligned_documents", f"WITH {_DATA} {_DOCS} SELECT config_name, article_id, CASE WHEN gn > 0 THEN 'HAS_EVENT' ELSE 'NO_EVENT' END AS gold_label, CASE WHEN pn > 0 THEN 'HAS_EVENT' ELSE 'NO_EVENT' END AS pred_label, gn AS gold_events, pn AS pred_events, jv AS json_valid, sv AS schema_valid FROM a")
 def _jn11(spark, sf_dir):
-    return _parts(spark, sf_dir)[1]
+    return _documents(spark, sf_dir)
 
 
 _CONF = f"WITH {_DATA} {_DOCS}, k AS (SELECT config_name, count(*) FILTER (WHERE gn > 0 AND pn > 0) AS tp, count(*) FILTER (WHERE gn = 0 AND pn > 0) AS fp, count(*) FILTER (WHERE gn > 0 AND pn = 0) AS fn, count(*) FILTER (WHERE gn = 0 AND pn = 0) AS tn, round(avg(CASE WHEN jv THEN 1.0 ELSE 0.0 END), 6) AS json_validity_rate, round(avg(CASE WHEN sv THEN 1.0 ELSE 0.0 END), 6) AS schema_compliance_rate FROM a GROUP BY 1)"
@@ -195,7 +201,7 @@ _CONF = f"WITH {_DATA} {_DOCS}, k AS (SELECT config_name, count(*) FILTER (WHERE
     round(2 * round(tp / (tp + fp), 6) * round(tp / (tp + fn), 6) / (round(tp / (tp + fp), 6) + round(tp / (tp + fn), 6)), 6) AS event_detection_f1 FROM k""",
 )
 def _agg11(spark, sf_dir):
-    return E.document_metrics(_parts(spark, sf_dir)[1])
+    return E.document_metrics(_documents(spark, sf_dir))
 
 
 @query(
