@@ -56,26 +56,43 @@ def jaccard(left: Column, right: Column) -> Column:
     ).otherwise(0.0)
 
 
+def word_set(text: Column) -> Column:
+    """The distinct words by which metrics compare texts."""
+    return F.array_distinct(T.metric_tokens(text))
+
+
+def word_overlap(left: Column, right: Column) -> Column:
+    """Of two word sets."""
+    return F.round(jaccard(left, right), 6)
+
+
 def text_overlap(left: Column, right: Column) -> Column:
-    a, b = F.array_distinct(T.metric_tokens(left)), F.array_distinct(T.metric_tokens(right))
-    return F.round(jaccard(a, b), 6)
+    return word_overlap(word_set(left), word_set(right))
+
+
+def same_value(left: Column, right: Column) -> Column:
+    """Of two normalised values: 1 if equal and not empty."""
+    return F.when((left != "") & (left == right), 1.0).otherwise(0.0)
 
 
 def exact_match(left: Column, right: Column) -> Column:
-    a, b = T.normalize_value(left), T.normalize_value(right)
-    return F.when((a != "") & (a == b), 1.0).otherwise(0.0)
+    return same_value(T.normalize_value(left), T.normalize_value(right))
 
 
-def company_match(left: Column, right: Column) -> Column:
-    a, b = T.normalize_value(left), T.normalize_value(right)
+def name_match(left: Column, right: Column, left_words: Column, right_words: Column) -> Column:
+    """Of two normalised names and their word sets."""
     return (
-        F.when((a == "") | (b == ""), 0.0)
-        .when(a == b, 1.0)
-        .when(F.contains(a, b) | F.contains(b, a), 0.8)
-        .otherwise(text_overlap(left, right))
+        F.when((left == "") | (right == ""), 0.0)
+        .when(left == right, 1.0)
+        .when(F.contains(left, right) | F.contains(right, left), 0.8)
+        .otherwise(word_overlap(left_words, right_words))
     )
 
 
+def company_match(left: Column, right: Column) -> Column:
+    return name_match(T.normalize_value(left), T.normalize_value(right), word_set(left), word_set(right))
+
+
 def slots(arguments: Column) -> Column:
     """map<string, string> with normalised values and without empty ones."""
     given = F.coalesce(arguments, F.create_map().cast("map<string,string>"))

@@ -24,20 +24,35 @@ CODES = {
 FIELDS = ["event_id", "ticker", "company_name", "event_type", "event_subtype", "event_summary", "evidence_span", "event_arguments", "impact_sentiment"]
 
 
+def _forms() -> Column:
+    """The forms in which an event is compared, made once per event and not once per pair."""
+    forms = {
+        "ticker": T.normalize_value(F.col("ticker")),
+        "company": T.normalize_value(F.col("company_name")),
+        "company_words": S.word_set(F.col("company_name")),
+        "type": T.normalize_value(F.col("event_type")),
+        "evidence_words": S.word_set(F.col("evidence_span")),
+        "summary_words": S.word_set(F.col("event_summary")),
+        "slots": S.slots(F.col("event_arguments")),
+    }
+    return F.struct(*[c.alias(name) for name, c in forms.items()])
+
+
 def pair_scores(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     """Every pair of a gold and a predicted event of one article, with score and its parts. Articles have few events."""
-    g = gold.select("article_id", F.col("event_index").alias("gold_index"), F.struct(*FIELDS).alias("gold"))
-    p = predicted.select("config_name", "article_id", F.col("event_index").alias("pred_index"), F.struct(*FIELDS).alias("pred"))
+    g = gold.select("article_id", F.col("event_index").alias("gold_index"), F.struct(*FIELDS).alias("gold"), _forms().alias("_g"))
+    p = predicted.select("config_name", "article_id", F.col("event_index").alias("pred_index"), F.struct(*FIELDS).alias("pred"), _forms().alias("_p"))
     rows = p.join(g, "article_id")
-    a, b = (lambda f: F.col(f"gold.{f}")), (lambda f: F.col(f"pred.{f}"))
+    a, b = (lambda f: F.col(f"_g.{f}")), (lambda f: F.col(f"_p.{f}"))
+    company = S.name_match(a("company"), b("company"), a("company_words"), b("company_words"))
     rows = rows.withColumns(
         {
-            "ticker_or_company": F.greatest(S.exact_match(a("ticker"), b("ticker")), S.company_match(a("company_name"), b("company_name"))),
-            "same_type": S.exact_match(a("event_type"), b("event_type")),
-            "evidence_overlap": F.greatest(S.text_overlap(a("evidence_span"), b("evidence_span")), S.text_overlap(a("event_summary"), b("event_summary"))),
-            "argument_overlap": S.argument_overlap(S.slots(a("event_arguments")), S.slots(b("event_arguments"))),
+            "ticker_or_company": F.greatest(S.same_value(a("ticker"), b("ticker")), company),
+            "same_type": S.same_value(a("type"), b("type")),
+            "evidence_overlap": F.greatest(*[S.word_overlap(a(f), b(f)) for f in ("evidence_words", "summary_words")]),
+            "argument_overlap": S.argument_overlap(a("slots"), b("slots")),
         }
-    )
+    ).drop("_g", "_p")
     total = WHO * F.col("ticker_or_company") + KIND * F.col("same_type") + EVIDENCE * F.col("evidence_overlap") + ARGUMENTS * F.col("argument_overlap")
     return rows.withColumn("score", F.round(total, 6))
 
