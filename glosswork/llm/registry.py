@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from glosswork.llm import bpe, chat, decontaminate, license_scan, line_rules, quality, sharding, simhash, substring, toxicity
+from glosswork.llm import align, bpe, chat, decontaminate, license_scan, line_rules, quality, sharding, simhash, substring, toxicity
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op8_chat_format": chat.op8,
         "op9_byte_bpe": bpe.op9,
         "op10_simhash_near_dedup": simhash.op10,
+        "op13_token_alignment": align.op13,
         "pipeline": corpus_pipeline.run,
     }
 
