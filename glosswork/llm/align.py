@@ -388,7 +388,7 @@ def align_documents(docs: DataFrame, a_path: str | None = None, b_path: str | No
         )
 
     schema = f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-    left = made.drop("codes", "totals").groupBy("chunk")
+    left = made.select(F.col("chunk").alias("row"), "ids", "digests", "figures", *_BLOBS).groupBy("row")
     return left.cogroup(known.groupBy("chunk")).applyInArrow(finish, schema)
 
 
