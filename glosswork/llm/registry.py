@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from glosswork.llm import align, bpe, chat, decontaminate, license_scan, line_rules, personal, quality, sharding, simhash, substring, toxicity
+from glosswork.llm import align, bpe, chat, decontaminate, license_scan, line_rules, negatives, personal, quality, sharding, simhash, substring, toxicity
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op8_chat_format": chat.op8,
         "op9_byte_bpe": bpe.op9,
         "op10_simhash_near_dedup": simhash.op10,
+        "op11_hard_negatives": negatives.op11,
         "op12_personal_data": personal.op12,
         "op13_token_alignment": align.op13,
         "pipeline": corpus_pipeline.run,
@@ -28,4 +29,5 @@ def oracle_sql() -> dict:
     return {
         "op3_line_rules": line_rules.OP3_SQL,
         "op8_chat_format": chat.OP8_SQL,
+        "op11_hard_negatives": negatives.OP11_SQL,
     }
