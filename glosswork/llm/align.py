@@ -46,7 +46,7 @@ from glosswork.llm.shared import cut, small_batches
 #: Vocabulary files among the installed public tokenizers.
 A_NAME, B_NAME = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text in a chunk, and documents at most.
-CHUNK, CHUNK_ROWS = 16_000_000, 20_000
+CHUNK, CHUNK_ROWS = 8_000_000, 20_000
 #: Distinct segments that are aligned at once.
 SEGMENTS = 50_000
 #: Characters of a text that are split at once.
