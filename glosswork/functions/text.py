@@ -1,13 +1,16 @@
 """Text functions as column expressions.
 
-``normalize_text`` is native; entity unescaping and NFC have no built-in and are done once at
-ingestion by ``unescape_nfc`` (an Arrow UDF). All others are built-in expressions.
+Texts are normalised on two lanes: a native test finds those that hold entities, or signs that NFC may
+change; only these go through an Arrow function, for the others it is given nulls. Everything else is
+built-in expressions. ``settle`` is the native lane alone, for use inside lambdas and on texts that are
+resolved already.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterable
 from functools import lru_cache
 from html import unescape
 
@@ -52,15 +55,56 @@ UNIT_REWRITES = [
 _BLANK = r"[\s\x1C-\x1F]"
 
 
-def resolved(text: str) -> str:
-    """HTML entities resolved, then NFC; what built-in functions cannot do."""
-    return unicodedata.normalize("NFC", unescape(text))
+def resolved(text: str, times: int = 1) -> str:
+    """HTML entities resolved, then NFC, so many times; what built-in functions cannot do."""
+    for _ in range(times):
+        text = unicodedata.normalize("NFC", unescape(text))
+    return text
+
+
+def _classes(signs: Iterable[str]) -> str:
+    """Signs as the inside of a character class, with ranges."""
+    out: list[list[int]] = []
+    for code in sorted(map(ord, signs)):
+        if out and out[-1][1] == code - 1:
+            out[-1][1] = code
+        else:
+            out.append([code, code])
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" if a < b else f"\\x{{{a:x}}}" for a, b in out)
+
 
+#: Put before a long class: it fails at once on signs of common scripts that no class here holds.
+COMMON = r"(?![\x00-\xBB\xBF-\x{131}\x{1EA0}-\x{1EF9}\x{4E00}-\x{9FFF}\x{400}-\x{482}\x{391}-\x{3CE}])"
 
-@F.arrow_udf(StringType())
-def unescape_nfc(text: pa.Array) -> pa.Array:
-    """``resolved`` of each text. Null stays null."""
-    return pa.array([None if t is None else resolved(t) for t in text.to_pylist()], pa.string())
+
+@lru_cache(maxsize=1)
+def unsettled() -> str:
+    """A pattern that matches in every text that ``resolved`` changes, and in few others: an entity's beginning; marks, signs
+    that NFC replaces, and signs that can join the one before them."""
+    signs = {chr(c) for r in (range(0x1161, 0x1176), range(0x11A8, 0x11C3)) for c in r}  # Hangul vowels and finals
+    for code in range(0x80, 0x110000):
+        c = chr(code)
+        parts = unicodedata.decomposition(c)
+        if unicodedata.combining(c) or (parts and unicodedata.normalize("NFC", c) != c):
+            signs.add(c)
+        if parts and not parts.startswith("<") and " " in parts:
+            signs.add(chr(int(parts.split()[1], 16)))
+    return f"&[#A-Za-z]|{COMMON}[{_classes(signs)}]"
+
+
+@lru_cache(maxsize=4)
+def _resolver(times: int):
+    @F.arrow_udf(StringType())
+    def run(text: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else resolved(t, times) for t in text.to_pylist()], pa.string())
+
+    return run
+
+
+def resolve(text: Column, times: int = 1) -> Column:
+    """``resolved`` of each text; those that it would not change never leave the JVM. Null stays null."""
+    touched = F.when(text.rlike(unsettled()), text)
+    return F.coalesce(_resolver(times)(touched), text)
 
 
 def let(value: Column, body) -> Column:
@@ -72,45 +116,69 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"(?U)^{_BLANK}+|{_BLANK}+$", "")
 
 
-def normalize_text(text: Column, raw: bool = False) -> Column:
-    """White space as in clean articles; null as empty. ``raw`` text first loses entities and gets NFC."""
-    text = F.coalesce(text, F.lit(""))
-    if raw:
-        text = unescape_nfc(text)
-    x = F.regexp_replace(F.translate(text, "\u00a0", " "), r"[ \t\r\f\x0B]+", " ")
+def settle(text: Column) -> Column:
+    """White space as in clean articles; null as empty. Entities and decomposed letters stay."""
+    x = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "\u00a0", " "), r"[ \t\r\f\x0B]+", " ")
     x = F.regexp_replace(x, rf"(?U)\n{_BLANK}*\n+", "\n\n")
     x = F.regexp_replace(x, r"[\x1C-\x1E\x85\u2028\u2029]", "\n")
     x = F.regexp_replace(x, r"(?U)[\s\x1F&&[^\n]]*\n[\s\x1F&&[^\n]]*", "\n")
     return strip(x)
 
 
-def text_hash(text: Column, raw: bool = False) -> Column:
-    return F.concat(F.lit("sha256:"), F.sha2(F.lower(normalize_text(text, raw)), 256))
+def normalize_text(text: Column, times: int = 1) -> Column:
+    """Entities resolved (``times`` times, for functions that normalise repeatedly), NFC, white space settled; null as empty."""
+    return settle(resolve(text, times))
+
+
+def text_hash(text: Column) -> Column:
+    return F.concat(F.lit("sha256:"), F.sha2(F.lower(normalize_text(text)), 256))
 
 
 @lru_cache(maxsize=1)
-def _folding() -> tuple[str, str]:
-    """Letters whose compatibility decomposition without marks is one other character, those characters, and marks to drop."""
-    source, target, marks = ["đ", "Đ"], ["d", "D"], []
-    for code in range(0x80, 0x10000):
+def _folding() -> tuple[str, str, dict[str, str]]:
+    """Letters whose compatibility decomposition without marks is one other character, followed by marks to drop; those
+    characters; and what all others become: letters that decompose into several, or lie beyond 16 bits (Hangul is computed)."""
+    source, target, marks, several = ["đ", "Đ"], ["d", "D"], [], {}
+    for code in range(0x80, 0x110000):
         c = chr(code)
-        if 0xD800 <= code < 0xE000 or c in "đĐ":
+        if c in "đĐ" or 0xAC00 <= code <= 0xD7A3:
             continue
-        if unicodedata.combining(c):
+        if unicodedata.combining(c) and code < 0x10000:
             marks.append(c)
-            continue
-        if unicodedata.decomposition(c) and not 0xAC00 <= code <= 0xD7A3:
+        elif unicodedata.combining(c) or unicodedata.decomposition(c):
             plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
-            if len(plain) == 1 and plain != c:
+            if len(plain) == 1 and plain != c and code < 0x10000:  # ``translate`` works on 16-bit units
                 source.append(c)
                 target.append(plain)
-    return "".join(source) + "".join(marks), "".join(target)
+            elif plain != c:
+                several[c] = plain
+    return "".join(source) + "".join(marks), "".join(target), several
+
+
+def _hangul(syllable: Column) -> Column:
+    """The letters of a syllable."""
+    place = F.ascii(syllable) - 0xAC00
+    final = place % 28
+    codes = F.concat(
+        F.array(0x1100 + (place / 588).cast("int"), 0x1161 + ((place % 588) / 28).cast("int")), F.filter(F.array(0x11A7 + final), lambda x: x > 0x11A7)
+    )
+    return F.array_join(F.transform(codes, lambda c: F.decode(F.unhex(F.hex(c)), "UTF-16BE")), "")
 
 
 def ascii_fold(text: Column) -> Column:
-    """Letters without marks. Characters that decompose into several (ligatures, fractions, Hangul) stay."""
-    source, target = _folding()
-    return F.translate(text, source, target)
+    """The compatibility decomposition without marks, and d for the crossed letter.
+
+    Texts with letters that become several (ligatures, fractions, Hangul) are cut at these, which are looked up; the others
+    take one translation.
+    """
+    source, target, several = _folding()
+    plain = F.translate(text, source, target)
+    letters = f"{_classes(several)}\\x{{ac00}}-\\x{{d7a3}}"
+    # one literal, which the optimizer turns into a map
+    table = F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in several.items())), F.lit("\x01"), F.lit("\x02"))
+    pieces = F.regexp_extract_all(plain, F.lit(f"[{letters}]|[^{letters}]+"), F.lit(0))
+    one = lambda p: F.when(p.rlike("^[\\x{ac00}-\\x{d7a3}]$"), _hangul(p)).otherwise(F.coalesce(F.try_element_at(table, p), p))
+    return F.when(text.rlike(f"{COMMON}[{letters}]"), F.array_join(F.transform(pieces, one), "")).otherwise(plain)
 
 
 def fold_for_match(text: Column) -> Column:
@@ -145,15 +213,16 @@ def normalize_units(text: Column) -> Column:
     return text
 
 
-def preprocess(text: Column, normalizer=None, raw: bool = False) -> Column:
+def preprocess(text: Column, normalizer=None, times: int = 2) -> Column:
     """Normalised text with abbreviations, numbers and units written out.
 
-    ``normalizer`` is an optional column function (for example a pandas UDF) for the first step.
+    ``normalizer`` is an optional column function (for example a pandas UDF) for the first step. Normalisation ends the
+    rewrites as well; the entities that it would find then are resolved at the start (``times``).
     """
-    x = normalize_text(text, raw)
+    x = normalize_text(text, times)
     if normalizer is not None:
         x = F.coalesce(normalizer(x), x)
-    return normalize_text(normalize_units(normalize_numbers(expand_abbreviations(x))))
+    return settle(normalize_units(normalize_numbers(expand_abbreviations(x))))
 
 
 def preprocess_warnings(normalizer=None) -> Column:
@@ -163,7 +232,7 @@ def preprocess_warnings(normalizer=None) -> Column:
 
 def tokens(text: Column, remove_stopwords: bool = True, domain: bool = True) -> Column:
     """Retrieval tokens. ``domain=False`` leaves out the rewrites of abbreviations, numbers and units."""
-    x = preprocess(text) if domain else normalize_text(text)
+    x = preprocess(text, times=3) if domain else normalize_text(text)
     found = F.regexp_extract_all(F.lower(ascii_fold(x)), F.lit(f"({TOKEN_PATTERN})"), F.lit(1))
     if not remove_stopwords:
         return found
@@ -223,7 +292,11 @@ def canonical_url(url: Column) -> Column:
     items = F.filter(F.split(F.regexp_extract(rest, r"\?(.*)$", 1), "&"), lambda i: i != "")
 
     def decoded(part: Column) -> Column:
-        return F.url_decode(part)
+        # a percent sign without two hexadecimal digits stays as it is
+        return F.url_decode(F.regexp_replace(part, "%(?![0-9A-Fa-f]{2})", "%25"))
+
+    def encoded(part: Column) -> Column:
+        return F.replace(F.replace(F.url_encode(part), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
     pairs = F.transform(
         items,
@@ -232,7 +305,7 @@ def canonical_url(url: Column) -> Column:
         ),
     )
     kept = F.array_sort(F.filter(pairs, lambda p: ~p["k"].rlike(f"^(?:{TRACKING_PARAMETERS})$")))
-    query = F.array_join(F.transform(kept, lambda p: F.concat(F.url_encode(p["k"]), F.lit("="), F.url_encode(p["v"]))), "&")
+    query = F.array_join(F.transform(kept, lambda p: F.concat(encoded(p["k"]), F.lit("="), encoded(p["v"]))), "&")
     return F.concat(
         F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""),
         F.when(rest.startswith("//"), F.concat(F.lit("//"), host)).otherwise(""),

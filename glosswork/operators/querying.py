@@ -73,7 +73,7 @@ def build_queries(articles: DataFrame, mode: str = "legacy") -> DataFrame:
 def _intents(rows: DataFrame) -> Column:
     if "event_keyword_matches" in rows.columns:
         of = lambda t: F.filter("event_keyword_matches", lambda m: F.upper(m["event_type"]) == t)
-        words = lambda t: F.array_distinct(F.filter(F.transform(of(t), lambda m: T.normalize_text(m["keyword"])), lambda w: w != ""))
+        words = lambda t: F.array_distinct(F.filter(F.transform(of(t), lambda m: T.settle(m["keyword"])), lambda w: w != ""))
         subs = lambda t: F.array_distinct(F.filter(F.transform(of(t), lambda m: F.upper(m["event_subtype"])), lambda w: w != ""))
     else:
         words = subs = lambda t: F.array().cast(NO_TEXTS)
