@@ -103,8 +103,10 @@ _HASH = f"'sha256:' || sha256(lower({norm()}))"
     f"SELECT min(doc_id) AS doc_id, h AS content_hash, count(*) - 1 AS n_duplicates FROM (SELECT doc_id, {_HASH} AS h FROM documents) GROUP BY h",
 )
 def _top05(spark, sf_dir):
-    rows = fixtures.articles(spark, sf_dir).select("doc_id", T.text_hash(F.col("text")).alias("content_hash"))
-    return ingest.first_per_hash(rows, "doc_id")
+    # every other text as another source may have it: a letter decomposed, an entity
+    raw = F.replace(F.replace(F.col("text"), F.lit("é"), F.lit("e\u0301")), F.lit("ñ"), F.lit("&ntilde;"))
+    rows = fixtures.articles(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") % 2 == 0, raw).otherwise(F.col("text")).alias("text"))
+    return ingest.first_per_hash(rows.select("doc_id", T.text_hash(F.col("text")).alias("content_hash")), "doc_id")
 
 
 @query(

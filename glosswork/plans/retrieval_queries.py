@@ -54,8 +54,7 @@ def _tokens(c):
 def bm25_topk(spark, sf_dir):
     """The flagship: the 50 best documents for five terms."""
     terms = spark.createDataFrame([(0, t) for t in TERMS], "query_id int, term string")
-    scores = index.bm25_scores(table(spark, sf_dir, "documents"), "doc_id", _tokens(F.col("text")), terms)
-    return index.top_k(scores.withColumn("score", F.round("score", 6)), "doc_id", 50).select("doc_id", "score", "rank")
+    return index.bm25_top_k(table(spark, sf_dir, "documents"), "doc_id", _tokens(F.col("text")), terms, 50).select("doc_id", "score", "rank")
 
 
 _ITEMS = f"SELECT item_id AS query_id, unnest({kept_tokens_sql()}) AS term FROM benchmark"
@@ -64,8 +63,7 @@ _ITEMS = f"SELECT item_id AS query_id, unnest({kept_tokens_sql()}) AS term FROM
 @query("top01_bm25_multi_query", _bm25_sql(_ITEMS, 10, "query_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank"))
 def _top01(spark, sf_dir):
     terms = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(_tokens(F.col("text"))).alias("term"))
-    scores = index.bm25_scores(table(spark, sf_dir, "documents"), "doc_id", _tokens(F.col("text")), terms)
-    return index.top_k(scores.withColumn("score", F.round("score", 6)), "doc_id", 10).select("query_id", "doc_id", "score", "rank")
+    return index.bm25_top_k(table(spark, sf_dir, "documents"), "doc_id", _tokens(F.col("text")), terms, 10).select("query_id", "doc_id", "score", "rank")
 
 
 @query(
@@ -369,8 +367,7 @@ _IDEAL = "(SELECT sum(1 / log2(i + 1)) FROM range(1, 6) x(i) WHERE i <= n)"
 )
 def _ret18(spark, sf_dir):
     terms = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(_tokens(F.col("text"))).alias("term"))
-    scores = index.bm25_scores(table(spark, sf_dir, "documents"), "doc_id", _tokens(F.col("text")), terms).withColumn("score", F.round("score", 6))
-    ranked = index.top_k(scores, "doc_id", 10).select(F.col("query_id").alias("case_id"), F.col("doc_id").alias("chunk_id"), "rank")
+    ranked = index.bm25_top_k(table(spark, sf_dir, "documents"), "doc_id", _tokens(F.col("text")), terms, 10).select(F.col("query_id").alias("case_id"), F.col("doc_id").alias("chunk_id"), "rank")
     m = ranking_metrics.evaluate(ranked, _jn09(spark, sf_dir))
     return m.select("case_id", *[F.round(c, 6).alias(c) for c in ("recall_at_5", "precision_at_5", "ndcg_at_5", "recall_at_10", "mrr")], "first_relevant_rank")
 

@@ -70,12 +70,27 @@ def text():
     return F.col("text")
 
 
+def marked_up():
+    """The text as a raw page may have it: a word as an entity, one letter decomposed, and one as a numbered entity."""
+    return F.replace(F.replace(F.replace(text(), F.lit(" de "), F.lit(" &amp; ")), F.lit("é"), F.lit("e\u0301")), F.lit("ü"), F.lit("&#252;"))
+
+
+RESOLVED = "replace(text, ' de ', ' & ')"
+
 per_document(
     "str01_normalize_text",
-    {"digest": lambda: F.md5(T.normalize_text(text())), "n": lambda: F.char_length(T.normalize_text(text())).cast("long")},
-    {"digest": f"md5({norm()})", "n": f"length({norm()})"},
+    {
+        "digest": lambda: F.md5(T.normalize_text(text())),
+        "n": lambda: F.char_length(T.normalize_text(text())).cast("long"),
+        "digest_raw": lambda: F.md5(T.normalize_text(marked_up())),
+    },
+    {"digest": f"md5({norm()})", "n": f"length({norm()})", "digest_raw": f"md5({norm(RESOLVED)})"},
+)
+per_document(
+    "str02_text_hash",
+    {"text_hash": lambda: T.text_hash(text()), "raw_hash": lambda: T.text_hash(marked_up())},
+    {"text_hash": f"'sha256:' || sha256(lower({norm()}))", "raw_hash": f"'sha256:' || sha256(lower({norm(RESOLVED)}))"},
 )
-per_document("str02_text_hash", {"text_hash": lambda: T.text_hash(text())}, {"text_hash": f"'sha256:' || sha256(lower({norm()}))"})
 per_document(
     "str03_article_id",
     {"article_id": lambda: T.article_id(F.regexp_extract("url", "//([^/]*)", 1), F.col("url"), F.regexp_extract("html", "<title>([^&<]*)", 1))},
@@ -95,7 +110,14 @@ per_document(
         r"len(regexp_extract_all(text, '[A-Za-z]'))) / len(regexp_extract_all(text, '\p{L}')), 6) END"
     },
 )
-per_document("str06_ascii_fold", {"digest": lambda: F.md5(F.lower(T.ascii_fold(text())))}, {"digest": "md5(lower(strip_accents(text)))"})
+per_document(
+    "str06_ascii_fold",
+    {
+        "digest": lambda: F.md5(F.lower(T.ascii_fold(text()))),
+        "of_ligatures": lambda: F.md5(F.lower(T.ascii_fold(F.replace(F.replace(text(), F.lit("th"), F.lit("ﬁ")), F.lit(" el "), F.lit(" 한½ "))))),
+    },
+    {"digest": "md5(lower(strip_accents(text)))", "of_ligatures": "md5(lower(replace(replace(strip_accents(text), 'th', 'fi'), ' el ', ' ' || chr(4370) || chr(4449) || chr(4523) || '1' || chr(8260) || '2 ')))"},
+)
 per_document(
     "str07_fold_for_match",
     {"digest": lambda: F.md5(T.fold_for_match(text()))},

@@ -1,12 +1,15 @@
 """Operators that SQL cannot express, against independent models in plain Python."""
 
 import html
+import math
 import random
 import re
 import unicodedata
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -541,3 +544,84 @@ def test_nodes_run_on_after_errors():
 
     state, trace = extraction.run_nodes({"a": 1}, {"one": lambda s: {"b": s["a"] + 1}, "two": lambda s: 1 / 0, "three": lambda s: {"c": s["b"]}})
     assert state == {"a": 1, "b": 2, "c": 2} and [t["status"] for t in trace] == ["ok", "error", "ok"]
+
+
+# retrieval per task
+
+
+def bm25_model(docs, queries, k):
+    tf = {d: {w: ws.count(w) for w in ws} for d, ws in docs.items()}
+    mean = sum(map(len, docs.values())) / len(docs)
+    df = {w: sum(w in t for t in tf.values()) for q in queries.values() for w in q}
+    out = []
+    for q, words in queries.items():
+        scores = {}
+        for d, t in tf.items():
+            total = sum(math.log(1 + (len(docs) - df[w] + 0.5) / (df[w] + 0.5)) * t[w] * 2.5 / (t[w] + 1.5 * (0.25 + 0.75 * len(docs[d]) / mean)) for w in words if w in t)
+            if total > 0:
+                scores[d] = round(total, 6)
+        ranked = sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:k]
+        out += [(q, d, s, r) for r, (d, s) in enumerate(ranked, 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_bm25_of_many_queries(spark, monkeypatch, small):
+    """Copies (ties at the cut), repeated query terms, empty documents and terms that no document has."""
+    if small:  # several parts, blocks of a few documents, buffers that are emptied
+        monkeypatch.setattr(index, "PART_BYTES", 900)
+        monkeypatch.setattr(index, "MOST_LITERALS", 5)
+    made = random.Random(8)
+    words = [f"w{i}" for i in range(30)]
+    docs = {f"d{i:03}": made.choices(words, [1 / (j + 1) for j in range(30)], k=made.randint(0, 25)) for i in range(150)}
+    docs |= {f"e{i:03}": docs["d007"] for i in range(40)}
+    queries = {f"q{i}": made.choices([*words, "none"], k=made.randint(1, 6)) for i in range(25)}
+    frame = spark.createDataFrame(list(docs.items()), "id string, ws array<string>").repartition(3)
+    asked = spark.createDataFrame([(q, w) for q, ws in queries.items() for w in ws], "query_id string, term string")
+    got = index.bm25_top_k(frame, "id", F.col("ws"), asked, 7).collect()
+    assert sorted((r.query_id, r.id, r.score, r["rank"]) for r in got) == bm25_model(docs, queries, 7)
+
+
+def test_held_rows_are_the_best_ones(spark):
+    made = np.random.default_rng(2)
+    held, rows = index._Held(3, 4), []
+    held.most = 20
+    for _ in range(50):
+        q, s = made.integers(0, 3, 9), np.round(made.random(9), 1)
+        ids = [f"k{i:02}" for i in made.integers(0, 60, 9)]
+        floor = held.add(q, s, pa.array(ids))
+        rows += list(zip(q.tolist(), s.tolist(), ids))
+    want = [x for one in range(3) for x in sorted((r for r in rows if r[0] == one), key=lambda r: (-r[1], r[2]))[:4]]
+    q, s, ids = held.best()
+    assert list(zip(q.tolist(), s.tolist(), ids.to_pylist())) == want and (floor > 0.5).all()
+
+
+def test_dense_widths(spark):
+    vectors = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0, 0.0]), (4, [float("nan"), 1.0, 0.0]), (5, None), (6, []), (7, [-1.0, 0.0, 0.0]), (8, [0.0, 0.0])]
+    df = spark.createDataFrame(vectors, "id int, v array<double>").coalesce(1)
+    queries = spark.createDataFrame([("a", [1.0, 0.0, 0.0]), ("b", [0.0, 2.0]), ("c", None)], "query_id string, vector array<double>")
+    got = sorted((r.query_id, r["rank"], r.id, r.cosine) for r in index.dense_top_k(df, "id", "v", queries, 4).collect())
+    assert got == [("a", 1, 3, 1.0), ("a", 2, 1, 0.0), ("a", 3, 2, 0.0), ("a", 4, 4, 0.0), ("b", 1, 2, 1.0), ("b", 2, 1, 0.0), ("b", 3, 3, 0.0), ("b", 4, 4, 0.0)]
+    all_rows = {(r.query_id, r.id) for r in index.dense_top_k(df, "id", "v", queries, 9).collect()}
+    assert ("a", 7) in all_rows and ("a", 5) not in all_rows
+
+
+def test_hash_embeddings_without_a_shuffle(spark):
+    df = spark.createDataFrame([(1, "a b a c"), (2, ""), (3, None)], "k int, t string")
+    out = index.hash_embeddings(df, "k", F.split("t", " "), 16)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.k: sum(x != 0 for x in r.vector) for r in out.collect()}[3] == 0
+
+
+def test_equal_texts_are_embedded_once(spark):
+    chunks = spark.createDataFrame([(f"c{i}", "a", t) for i, t in enumerate(["x", "x", "y", "z", "X "])], "chunk_id string, article_id string, embedding_text string")
+    cache = spark.createDataFrame([("m", "y", [2.0]), ("m", "y", [1.0])], "embedding_model string, t string, vector array<double>")
+    cache = cache.select("embedding_model", T.text_hash(F.col("t")).alias("chunk_hash"), "vector")
+    asked = []
+
+    def embed(df):
+        asked.append(sorted(r.chunk_id for r in df.collect()))
+        return df.select("chunk_id", F.array(F.length("embedding_text").cast("double")).alias("vector"))
+
+    got = {r.chunk_id: (r.vector, r.cache_hit) for r in index.embed_with_cache(chunks, cache, embed, "m").collect()}
+    assert asked == [["c0", "c3"]] and got["c2"] == ([1.0], True) and got["c0"] == got["c1"] == got["c4"] == ([1.0], False)
