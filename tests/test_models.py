@@ -319,8 +319,16 @@ def test_coverage_choice_equals_plain_loops():
             frame = pd.DataFrame(rows, columns=["case_id", "chunk_id", "rank", "score", "_types", "_tokens", "_k", "_n"])
             got = retrieval.coverage_mmr(frame, config)
             assert got["chunk_id"].tolist() == plain_mmr(rows, config)
-            parts = config.mmr_lambda * got["normalized_relevance"] + (1 - config.mmr_lambda) + got["coverage_bonus"] - got["diversity_penalty"] - got["event_overflow_penalty"]
+            novelty = (1 - config.mmr_lambda) * (1 - got["diversity_penalty"])
+            parts = config.mmr_lambda * got["normalized_relevance"] + novelty + got["coverage_bonus"] - got["event_overflow_penalty"]
             assert (abs(parts - got["selection_score"]) < 1e-5).all()
+            seen, by_chunk = set(), {x[1]: set(x[4]) for x in rows}
+            for c, new, bonus, penalty in zip(got["chunk_id"], got["covered_new_event_types"], got["coverage_bonus"], got["diversity_penalty"]):
+                assert new == sorted(by_chunk[c] - seen) and (bonus > 0) == bool(new)
+                done = [set(x[5]) for x in rows if x[1] in got["chunk_id"].tolist()[: got["chunk_id"].tolist().index(c)]]
+                own = next(set(x[5]) for x in rows if x[1] == c)
+                assert abs(penalty - max((len(own & d) / len(own | d) for d in done if own and d), default=0.0)) < 1e-6
+                seen |= by_chunk[c]
 
 
 def test_containing_keeps_every_evidence_of_a_case(spark):
