@@ -26,7 +26,7 @@ def sample(
 
     The documents are those with the least hashes of doc_id, so the sample does not depend on partitioning. Of several
     rows with one doc_id the one with the least hash of its text counts. A document with several labels counts with the
-    largest; null labels are left out. What the driver takes is bounded by the three numbers, whatever the tables hold.
+    largest; null labels are left out, and so are texts over ``most_bytes``. What the driver takes is bounded by the three numbers, whatever the tables hold.
     """
     given = (
         labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull())
@@ -46,16 +46,18 @@ def sample(
     for r in rows.select("label", F.xxhash64("doc_id").alias("h"), "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).orderBy("h", "doc_id").collect():
         if total[r["label"]] is None:
             continue
-        if total[r["label"]] + r["n"] > most_bytes and taken[r["label"]]:
+        if r["n"] > most_bytes:
+            continue
+        if total[r["label"]] + r["n"] > most_bytes:
             total[r["label"]] = None  # the rest of this label is beyond the bound
             continue
         total[r["label"]] += r["n"]
         taken[r["label"]] += 1
         last[r["label"]] = r["h"]
-    inside = F.lit(False)
+    small, inside = F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes, F.lit(False)
     for label, h in last.items():
         inside = inside | ((F.col("label") == label) & (F.xxhash64("doc_id") <= h))
-    kept = rows.where(inside).select("text", "lang", "label", "fold", F.xxhash64("doc_id").alias("h"))
+    kept = rows.where(inside & small).select("text", "lang", "label", "fold", F.xxhash64("doc_id").alias("h"))
     table = kept.toArrow().combine_chunks().sort_by("h").drop_columns(["h"]).combine_chunks()  # one order, one model
     remove(docs.sparkSession, path)
     rate = [max(1, taken[label]) / max(1, counts.get(label, 0), taken[label]) for label in (0, 1)]

@@ -7,8 +7,9 @@ embeddings of a text, each filter's maximum over the whole text is taken, and a
 layer gives the score. Trained in numpy on a bounded sample of labelled documents (see
 ``labelled.sample``). One coordinate of each row, another for other buckets, starts at the
 smoothed log odds of its bucket among the training documents, and each filter starts at one
-coordinate, so the maxima tell how many different telling words a text has. The logits are
-scaled by a temperature and moved so that 0.5 is the cut with the best F1; each language gets
+coordinate, so the maxima tell how many different telling words a text has. Training goes on
+until the loss on a fold that takes no part in it has not fallen for PATIENCE epochs, or for
+EPOCHS epochs, and the weights with the least loss count. The logits are scaled by a temperature and moved so that 0.5 is the cut with the best F1; each language gets
 the threshold with the best F1. All three use a fold that took no part in training.
 
 The score depends on the text alone; the language only picks ``threshold``.
@@ -35,7 +36,7 @@ from glosswork.llm.wordkit import blocks, lower_latin
 WORD_ROWS, PREFIX_ROWS, HALF = 1 << 17, 1 << 16, 8
 PREFIX_BYTES = 6
 WIDTHS, FILTERS = (1, 2, 3), 8  # FILTERS of each width
-EPOCHS, BATCH = 4, 64
+EPOCHS, PATIENCE, BATCH = 30, 3, 64
 LETTERS = np.zeros(256, np.uint8)
 LETTERS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 
@@ -110,23 +111,44 @@ class Model:
             odds = np.where((seen >= 3) & (odds > 0), odds * (1 - 1 / np.maximum(seen, 1)), 0)  # few texts tell little
             table[np.arange(len(table)), np.arange(len(table)) * 2654435761 % (1 << 32) % HALF] += odds.astype(np.float32)
 
-    def fit(self, texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = 11) -> None:
+    def fit(self, texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, held: np.ndarray, seed: int = 11) -> int:
+        """Trains on the texts that are not ``held`` (a mask) until those stop improving; the number of epochs."""
         r = np.random.default_rng(seed)
-        self.start_rows(texts, labels)
+        learn, watch = np.flatnonzero(~held), np.flatnonzero(held)
+        self.start_rows([texts[i] for i in learn], labels[learn])
         adam = labelled.Adam(self.net, 0.005)
-        weight = np.where(labels == 1, len(labels) / (2 * max(1, labels.sum())), len(labels) / (2 * max(1, (1 - labels).sum())))
+        ones = max(1, labels[learn].sum()), max(1, (1 - labels[learn]).sum())
+        weight = np.where(labels == 1, len(learn) / (2 * ones[0]), len(learn) / (2 * ones[1]))
         squares = {"words": np.full(WORD_ROWS, 0.1, np.float32), "prefixes": np.full(PREFIX_ROWS, 0.1, np.float32)}
-        for _ in range(EPOCHS):
-            order = r.permutation(len(texts))
+        best, kept, since = self._loss(texts, labels, weight, watch), self._weights(), 0
+        for epoch in range(EPOCHS):
+            order = r.permutation(learn)
             for lo in range(0, len(order), BATCH):
-                rows = order[lo : lo + BATCH]
-                self._train(texts, labels, weight, rows, adam, squares)
+                self._train(texts, labels, weight, order[lo : lo + BATCH], adam, squares)
+            now = self._loss(texts, labels, weight, watch)
+            if now < best or not len(watch):
+                best, kept, since = now, self._weights(), 0
+            else:
+                since += 1
+            if since == PATIENCE or not len(watch) and epoch == 3:
+                break
+        self.words, self.prefixes, self.net = kept
+        return epoch + 1
+
+    def _weights(self) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+        return self.words.copy(), self.prefixes.copy(), {k: v.copy() for k, v in self.net.items()}
+
+    def _loss(self, texts, labels, weight, rows) -> float:
+        """The weighted log loss of some texts, at the best temperature: how well they are told apart."""
+        if not len(rows):
+            return 0.0
+        z = np.concatenate([self.logits(*_joined(texts, rows[lo : lo + 512])) for lo in range(0, len(rows), 512)])
+        losses = [float(np.mean(weight[rows] * (np.logaddexp(0, z / t) - labels[rows] * z / t))) for t in np.geomspace(0.25, 8, 21)]
+        return min(losses)
 
     def gradients(self, texts, labels, weight, rows) -> tuple[dict[str, np.ndarray], dict[str, tuple[np.ndarray, np.ndarray]]]:
         """Of the weighted log loss of some texts: by the network's weights, and for each table its rows with theirs."""
-        words = np.concatenate([texts[i][0] for i in rows])
-        prefixes = np.concatenate([texts[i][1] for i in rows])
-        first = np.concatenate([[0], np.cumsum([len(texts[i][0]) for i in rows])])
+        words, prefixes, first = _joined(texts, rows)
         x, start, at = self._embed(words, prefixes, first)
         end = np.append(start[1:], len(x))
         tops, places = [], []
@@ -169,6 +191,12 @@ class Model:
             getattr(self, name)[rows_hit] -= 0.02 * total / np.sqrt(squares[name][rows_hit])[:, None]
 
 
+def _joined(texts, rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of the words of some texts, and where each text begins."""
+    first = np.concatenate([[0], np.cumsum([len(texts[i][0]) for i in rows])])
+    return np.concatenate([texts[i][0] for i in rows]), np.concatenate([texts[i][1] for i in rows]), first
+
+
 def train(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> tuple[Model, dict[str, float], float]:
     """A fitted model, the threshold of each calibrated language, and the overall threshold."""
     rows, shift = labelled.sample(docs, labels, column)
@@ -184,7 +212,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> tuple[Mo
     if len(set(y[~calibrate].tolist())) < 2:
         calibrate[:] = False
     learn = np.flatnonzero(~calibrate)
-    model.fit([texts[i] for i in learn], y[learn])
+    model.fit(texts, y, calibrate)
     # the fit weighs both labels alike: shift back to their shares in the sample, and from there to all labels
     model.shift = float(np.log(max(1, y[learn].sum()) / max(1, (1 - y[learn]).sum()))) + shift
     held = np.flatnonzero(calibrate) if min(y[calibrate].sum(), (1 - y[calibrate]).sum()) >= 5 else np.arange(len(y))

@@ -156,17 +156,25 @@ def test_toxicity_filters_add_to_the_start():
     labels = np.array([i % 2 for i in range(600)], np.float32)
     col = pa.array([text(y) for y in labels])
     texts = [(w[a:b], p[a:b]) for w, p, first in toxicity.word_ids(col) for a, b in zip(first[:-1], first[1:])]
-    learn, held = np.arange(400), np.arange(400, 600)
+    held = np.arange(600) >= 500
+    watched = (np.arange(600) >= 400) & ~held
+    given = np.flatnonzero(~held)
 
     def accuracy(model):
-        z = np.array([model.logits(*texts[i], np.array([0, len(texts[i][0])]))[0] for i in held])
+        z = np.array([model.logits(*texts[i], np.array([0, len(texts[i][0])]))[0] for i in np.flatnonzero(held)])
         return ((z > np.median(z)) == (labels[held] == 1)).mean()
 
     start, fitted = toxicity.Model(), toxicity.Model()
-    start.start_rows([texts[i] for i in learn], labels[learn])
-    for _ in range(4):
-        fitted.fit([texts[i] for i in learn], labels[learn])
-    assert accuracy(start) < 0.65 and accuracy(fitted) > 0.85
+    start.start_rows([texts[i] for i in range(400)], labels[:400])
+    epochs = fitted.fit([texts[i] for i in given], labels[given], watched[given])  # as ``train`` does
+    assert accuracy(start) < 0.65 and accuracy(fitted) > 0.85 and 4 < epochs <= toxicity.EPOCHS
+
+
+def test_toxicity_stops_when_the_watched_texts_do_not_improve():
+    r = np.random.default_rng(7)
+    texts = [(r.integers(0, 900, 12).astype(np.int32), r.integers(0, 900, 12).astype(np.int32)) for _ in range(120)]
+    labels, held = r.integers(0, 2, 120).astype(np.float32), np.arange(120) % 3 == 0  # noise: nothing to learn
+    assert toxicity.Model().fit(texts, labels, held) < toxicity.EPOCHS
 
 
 def test_quality_forward_and_gradients_equal_plain_loops():
@@ -221,6 +229,8 @@ def test_sample_is_bounded_by_rows_and_bytes(spark):
     assert rows.num_rows <= 22 and rows.column_names == ["text", "lang", "label", "fold"]
     few, _ = labelled.sample(docs, labels, "quality", 10, 12, most_bytes=350)
     assert all(sum(len(t) for t, y in zip(few["text"].to_pylist(), few["label"].to_pylist()) if y == label) <= 350 for label in (0, 1))
+    none, _ = labelled.sample(docs, labels, "quality", 10, 12, most_bytes=50)
+    assert [t[:8] for t in none.column("text").to_pylist()] == ["same id "]  # the others are over the bound by themselves
     again, same = labelled.sample(docs.repartition(5), labels, "quality", 10, 12)
     assert again.equals(rows) and same == shift
 
