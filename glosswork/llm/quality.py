@@ -1,8 +1,8 @@
 """Quality: random-indexing word vectors pooled per document, then a two-layer network.
 
 Tokens are runs of letters, digits and non-ASCII bytes, and runs of other signs. Every
-token bucket has a sparse random index vector; its word vector is the sum of the index
-vectors of the tokens up to two places away, over all documents. Each scan task adds up
+of 65,536 token buckets has a sparse random index vector; its word vector is the sum of the
+index vectors of the tokens up to two places away, over all documents. Each scan task adds up
 one table of fixed size and the tables are summed in two streaming steps, so memory
 depends on the table alone. Word vectors are damped, centred by their frequency-weighted
 mean, brought to unit length, and joined with the tokens' own index vectors.
@@ -22,6 +22,7 @@ kinds the score is the share of ones among the labels (0.5 without labels).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from glosswork.llm import labelled
 from glosswork.llm.shared import small_batches
 from glosswork.llm.wordkit import blocks
 
-BUCKETS, SIZE, PLACES, REACH = 1 << 14, 32, 2, 2
+BUCKETS, SIZE, PLACES, REACH = 1 << 16, 32, 2, 2
 PARTS = 64
 HIDDEN, EPOCHS, BATCH = 32, 40, 128
 ACCEPT = 0.3
@@ -42,6 +43,7 @@ SIGNS[[0x20, *range(0x09, 0x0E)]] = 0
 SIGNS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 
 
+@lru_cache(maxsize=1)
 def _index_vectors() -> tuple[np.ndarray, np.ndarray]:
     """For each bucket, PLACES coordinates and their signs."""
     r = np.random.default_rng(5)
@@ -56,51 +58,63 @@ def token_ids(col: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def add_contexts(total: np.ndarray, ids: np.ndarray, first: np.ndarray) -> None:
-    """Adds the index vectors of each token's neighbours to its bucket's row; total is flat."""
+    """Adds the index vectors of each token's neighbours to its bucket's row; total is flat, of integers."""
     place, sign = _index_vectors()
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    cells, signs = [], []
     for o in range(1, REACH + 1):
         same = row[o:] == row[:-o]
         left, right = ids[:-o][same], ids[o:][same]
         for word, context in ((left, right), (right, left)):
-            for j in range(PLACES):
-                total += np.bincount(word * SIZE + place[context, j], sign[context, j], len(total))
+            cells.append((word[:, None] * SIZE + place[context]).ravel())
+            signs.append(sign[context].ravel())
+    cells, signs = np.concatenate(cells), np.concatenate(signs)
+    if len(cells) * 4 > len(total):
+        total += np.bincount(cells, signs, len(total)).astype(total.dtype)
+    else:
+        np.add.at(total, cells, signs.astype(total.dtype))
 
 
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, counts, some = np.zeros(BUCKETS * SIZE), np.zeros(BUCKETS), False
+    total, counts, some = np.zeros(BUCKETS * SIZE, np.int32), np.zeros(BUCKETS, np.int32), False
     for batch in batches:
         for ids, first in token_ids(batch.column(0)):
             add_contexts(total, ids, first)
-            counts += np.bincount(ids, minlength=BUCKETS)
+            counts += np.bincount(ids, minlength=BUCKETS).astype(np.int32)
             some = True
     if some:
-        yield _packed(np.hstack([total.reshape(BUCKETS, SIZE), counts[:, None]]))
-
-
-def _packed(table: np.ndarray) -> pa.RecordBatch:
-    task = TaskContext.get()
-    salt = task.partitionId() if task else 0  # spreads rows over tasks; a repeated task sends them to the same ones
-    rows = [x.astype(np.float64).tobytes() for x in np.split(table, PARTS)]
+        task = TaskContext.get()
+        # the salt spreads rows over tasks; a repeated task sends them to the same ones
+        yield _packed(np.hstack([total.reshape(BUCKETS, SIZE), counts[:, None]]), task.partitionId() if task else 0)
+
+
+def _packed(table: np.ndarray, salt: int) -> pa.RecordBatch:
+    """PARTS rows of a table of integers, each in the narrowest width that holds it."""
+    rows = []
+    for x in np.split(table, PARTS):
+        top = max(int(x.max(initial=0)), -int(x.min(initial=0)))
+        kind = next((k for k in (np.int8, np.int16, np.int32) if top <= np.iinfo(k).max), np.int64)
+        rows.append(bytes([np.dtype(kind).itemsize]) + x.astype(kind).tobytes())
     return pa.RecordBatch.from_pydict(
         {"part": pa.array(range(PARTS), pa.int32()), "salt": pa.array([int(salt)] * PARTS, pa.int32()), "data": pa.array(rows, pa.binary())}
     )
 
 
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"i{data[0]}", offset=1).astype(np.int64)
+
+
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for part, data in zip(batch.column(0).to_pylist(), batch.column(2)):
-            x = np.frombuffer(data.as_py(), np.float64)
-            sums[part] = sums[part] + x if part in sums else x
-    if sums:
-        yield pa.RecordBatch.from_pydict(
-            {
-                "part": pa.array(list(sums), pa.int32()),
-                "salt": pa.array([0] * len(sums), pa.int32()),
-                "data": pa.array([x.tobytes() for x in sums.values()], pa.binary()),
-            }
-        )
+            x = _unpacked(data.as_py())
+            if part in sums:
+                sums[part] += x
+            else:
+                sums[part] = x
+    for part, x in sums.items():
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "salt": pa.array([0], pa.int32()), "data": pa.array([b"\x08" + x.tobytes()], pa.binary())})
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
@@ -111,7 +125,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     rows = spread.repartition("part").mapInArrow(_summed, schema).collect()  # PARTS rows of fixed size
     raw = np.zeros((PARTS, BUCKETS // PARTS * (SIZE + 1)))
     for r in rows:
-        raw[r["part"]] = np.frombuffer(r["data"], np.float64)
+        raw[r["part"]] = _unpacked(r["data"])
     raw = raw.reshape(BUCKETS, SIZE + 1)
     return finished_vectors(raw[:, :SIZE], raw[:, SIZE])
 
