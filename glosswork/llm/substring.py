@@ -223,7 +223,9 @@ def _dealt(docs: DataFrame, n_blocks: int | None) -> tuple[DataFrame, int]:
     else:
         rows = rows.join(_ordered_ids(docs).withColumnRenamed("id", ID), "key", "left")
     n_blocks = n_blocks or block_count(docs.agg(F.sum(F.octet_length(docs["text"]))).first()[0] or 0)
-    place = F.pmod(F.xxhash64(ID, TEXT), F.lit(n_blocks)).cast("int")  # rows of one doc_id may lie in several blocks
+    # rows of one doc_id may lie in several blocks; those without one take no part in any search, so they lie anywhere
+    seed = F.when(F.col("key").isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64(ID, TEXT))
+    place = F.pmod(seed, F.lit(n_blocks)).cast("int")
     return rows.select(place.alias(BLOCK), ID, TEXT, REST), n_blocks
 
 
