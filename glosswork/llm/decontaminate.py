@@ -349,10 +349,17 @@ def _pairs(batch: pa.RecordBatch, block, items: pa.Array, matcher: Matcher) -> p
     )
 
 
+#: Parts of the benchmark that one stage goes through: each has a Python worker of its own in every task.
+PARTS_IN_STAGE = 4
+
+
 def without_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, that match no item."""
+    """The rows of docs, with all their columns, that match no item. What is left is written down every PARTS_IN_STAGE
+    parts of the benchmark."""
     at = small_batches(docs).columns.index("text")
-    for part in benchmark_parts(benchmark):
+    for i, part in enumerate(benchmark_parts(benchmark)):
+        if i and i % PARTS_IN_STAGE == 0:
+            docs = cut(docs)
 
         def clean(batches: Iterator[pa.RecordBatch], texts=_stream(part)) -> Iterator[pa.RecordBatch]:
             matcher = _matcher(texts)

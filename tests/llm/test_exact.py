@@ -521,3 +521,23 @@ def test_whole_notices_are_found_as_themselves():
     found = scanner.scan(data, offsets, every_window(scanner))
     for i, (name, _) in enumerate(license_scan.NOTICES):
         assert [scanner.names[x[1]] for x in found if x[0] == i] == [name], (name, texts[i])
+
+
+def test_rows_without_an_id_lie_in_all_blocks(spark):
+    rows = spark.createDataFrame([(None, "the same text") for _ in range(600)], "doc_id bigint, text string").repartition(4)
+    dealt, _ = substring._dealt(rows, 8)
+    counts = [r["count"] for r in dealt.groupBy(substring.BLOCK).count().collect()]
+    assert len(counts) == 8 and max(counts) < 150
+    out = substring.stripped(rows, 2, n_blocks=8).collect()
+    assert len(out) == 600 and all(r["n_removed"] == 0 for r in out)
+
+
+def test_many_benchmark_parts_go_through_several_stages(spark, monkeypatch):
+    parts = decontaminate.benchmark_parts
+    monkeypatch.setattr(decontaminate, "PARTS_IN_STAGE", 2)
+    monkeypatch.setattr(decontaminate, "benchmark_parts", lambda b: [p for part in parts(b) for p in (part.slice(i, 1) for i in range(part.num_rows))])
+    made = random.Random(3)
+    items = [" ".join("".join(made.choices("abcdefghij", k=6)) for _ in range(12)) for _ in range(5)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    docs = spark.createDataFrame([(i, f"before {items[i] if i < 5 else 'nothing at all'} after") for i in range(8)], "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in decontaminate.without_matches(docs, bench).collect()) == [5, 6, 7]
