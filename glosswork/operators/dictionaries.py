@@ -1,21 +1,26 @@
 """Company and keyword dictionaries, and the hints they give to articles.
 
-A dictionary is a DataFrame. For matching it is collected in parts of at most PART entries, each
-an array literal that the text is compared with in one expression: articles are neither joined nor
-exploded, and a larger dictionary adds expressions, not rows.
+A dictionary is a DataFrame. Its names, aliases and keywords become an Aho-Corasick automaton, built once
+per Python worker, which goes over each article once: articles are neither joined nor exploded, and the time
+hardly depends on the number of entries. A part of a dictionary has at most PART_BYTES of words and entries;
+a larger dictionary is searched part by part, and only one part at a time comes to the driver.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterable, Iterator
+from functools import lru_cache, reduce
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glosswork.functions import text as T
+from glosswork.lineage import cut
 from glosswork.sources.files import exists
 
-PART = 400
+PART_BYTES = 2_000_000
 
 # Keywords in use when no taxonomy file is there.
 DEFAULT_KEYWORDS = ["M&A", "bo nhiem", "hop dong", "khoi cong", "kien tung", "mien nhiem", "mo rong", "phat hanh", "sap nhap", "tang von", "trung thau"]
@@ -78,86 +83,137 @@ def load_event_taxonomy(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _parts(dictionary: DataFrame, *columns: Column) -> list[list]:
-    rows = dictionary.select(*columns).collect()
-    return [rows[i : i + PART] for i in range(0, len(rows), PART)] or [[]]
+def _streams(entries: DataFrame) -> Iterator[bytes]:
+    """The entries as Arrow streams of at most about PART_BYTES."""
+    size = F.octet_length(F.to_json(F.struct("*"))).cast("long")
+    entries = cut(entries.select("*", size.alias("_size"), F.xxhash64(*entries.columns).alias("_place")))
+    parts = max(1, -(-(entries.agg(F.sum("_size")).first()[0] or 0) // PART_BYTES))
+    for p in range(parts):
+        table = entries.where(F.pmod("_place", F.lit(parts)) == p).drop("_size", "_place").toArrow().combine_chunks()
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as writer:
+            writer.write_table(table)
+        yield sink.getvalue().to_pybytes()
 
 
-def _literal(rows: list, kind: str) -> Column:
-    return F.array(*[F.struct(*[_value(v).alias(k) for k, v in r.asDict().items()]) for r in rows]) if rows else F.array().cast(f"array<{kind}>")
+def _automaton(words: Iterable[tuple[str, int]]) -> ahocorasick.Automaton | None:
+    """Finds words; a hit gives the numbers of the entries that have the word. None without words."""
+    by_word: dict[str, list[int]] = {}
+    for word, number in words:
+        if word:
+            by_word.setdefault(word, []).append(number)
+    out = ahocorasick.Automaton()
+    for word, numbers in by_word.items():
+        out.add_word(word, (len(word), tuple(dict.fromkeys(numbers))))
+    out.make_automaton()
+    return out if by_word else None
 
 
-def _value(v) -> Column:
-    return F.array(*[F.lit(x) for x in v]).cast("array<string>") if isinstance(v, list) else F.lit(v)
+class _Finder:
+    """Which entries of one part are in texts."""
 
+    def __init__(self, stream: bytes) -> None:
+        table = pa.ipc.open_stream(stream).read_all().combine_chunks()
+        self.entry = pa.StructArray.from_arrays([table.column(c).combine_chunks() for c in table.column_names if c[0] != "_"], [c for c in table.column_names if c[0] != "_"])
+        words = table.column("_words").to_pylist()
+        self.words = _automaton((w, i) for i, own in enumerate(words) for w in own or ())
+        self.codes = _automaton((w, i) for i, w in enumerate(table.column("_code").to_pylist()))
 
-def company_hints(articles: DataFrame, companies: DataFrame, text: str = "text") -> DataFrame:
-    """articles with sorted tickers_hint, company_names_hint and sector_hints.
+    def find(self, plain: list[str], folded: list[str]) -> pa.Array:
+        flat, ends = [], [0]
+        for text, low in zip(plain, folded, strict=True):
+            hits = {numbers for _, (_, numbers) in self.words.iter(low)} if self.words and low else set()
+            found = {n for numbers in hits for n in numbers}
+            for end, (size, numbers) in self.codes.iter(text) if self.codes and text else ():
+                if not (_code_sign(text, end - size) or _code_sign(text, end + 1)):
+                    found.update(numbers)
+            flat += sorted(found)
+            ends.append(len(flat))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), self.entry.take(pa.array(flat, pa.int64())))
 
-    A company is found by its ticker as a word of its own, else by its name or an alias, as written or folded.
-    """
-    entry = [
-        F.col("ticker"),
-        F.col("company_name").alias("name"),
-        F.coalesce("sector", F.lit("")).alias("sector"),
-        F.transform(F.concat(F.array("company_name"), F.coalesce("aliases", F.array().cast("array<string>"))), F.lower).alias("names"),
-        F.transform(F.concat(F.array("company_name"), F.coalesce("aliases", F.array().cast("array<string>"))), lambda n: F.lower(T.ascii_fold(n))).alias("folded"),
-    ]
-    kind = "struct<ticker:string,name:string,sector:string,names:array<string>,folded:array<string>>"
-    plain = T.normalize_text(F.col(text))
-    forms = T.let(plain, lambda t: F.struct(t.alias("text"), F.lower(t).alias("lower"), F.lower(T.ascii_fold(t)).alias("folded")))
 
-    def found(t: Column, e: Column) -> Column:
-        # the plain test first: most tickers are not in most texts
-        ticker = F.contains(t["text"], e["ticker"]) & F.regexp_like(t["text"], F.concat(F.lit(r"(?<![A-Z0-9])\Q"), e["ticker"], F.lit(r"\E(?![A-Z0-9])")))
-        named = F.exists(e["names"], lambda n: (n != "") & F.contains(t["lower"], n)) | F.exists(e["folded"], lambda n: (n != "") & F.contains(t["folded"], n))
-        return ticker | named
+def _code_sign(text: str, at: int) -> bool:
+    return 0 <= at < len(text) and (text[at] in "0123456789" or "A" <= text[at] <= "Z")
 
-    literals = [_literal(rows, kind) for rows in _parts(companies, *entry)]
-    every = lambda t: [F.filter(x, lambda e: found(t, e)) for x in literals]
-    step = articles.withColumn("_hits", T.let(forms, lambda t: reduce(F.concat, every(t)) if len(literals) > 1 else every(t)[0]))
 
-    def column(field: str) -> Column:
-        return F.array_sort(F.array_distinct(F.filter(F.transform("_hits", lambda e: e[field]), lambda v: v != "")))
+@lru_cache(maxsize=8)
+def _finder(stream: bytes) -> _Finder:
+    """One finder per part and Python worker."""
+    return _Finder(stream)
 
-    return step.select(
-        *articles.columns, column("ticker").alias("tickers_hint"), column("name").alias("company_names_hint"), column("sector").alias("sector_hints")
-    )
 
+def _hits(entries: DataFrame, plain: Column, folded: Column) -> Column:
+    """The entries that are in a text: ``_code`` as a word of its own in the text, or one of ``_words`` in the folded text."""
+    kind = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in entries.schema.fields if f.name[0] != "_")
 
-def keyword_hints(articles: DataFrame, keywords: DataFrame, text: str = "text") -> DataFrame:
-    """articles with event_keyword_matches (by falling priority, type, keyword) and sorted keyword, type and subtype hints."""
-    entry = [
-        (-F.col("priority")).alias("order"),
-        F.col("event_type"),
-        F.col("keyword"),
-        F.col("event_subtype"),
-        F.col("polarity_hint"),
-        F.lower(T.ascii_fold(F.col("keyword"))).alias("folded"),
-    ]
-    kind = "struct<order:int,event_type:string,keyword:string,event_subtype:string,polarity_hint:string,folded:string>"
-    literals = [_literal(rows, kind) for rows in _parts(keywords, *entry)]
-    every = lambda t: [F.filter(x, lambda e: (e["folded"] != "") & F.contains(t, e["folded"])) for x in literals]
-    hits = T.let(F.lower(T.ascii_fold(T.normalize_text(F.col(text)))), lambda t: reduce(F.concat, every(t)) if len(literals) > 1 else every(t)[0])
-    step = articles.withColumn("_hits", F.array_sort(F.array_distinct(hits)))
-
-    def column(field: str) -> Column:
-        return F.array_sort(F.array_distinct(F.filter(F.transform("_hits", lambda e: e[field]), lambda v: v != "")))
-
-    matches = F.transform(
-        "_hits",
-        lambda e: F.struct(
-            e["event_type"].alias("event_type"), e["event_subtype"].alias("event_subtype"), e["keyword"].alias("keyword"),
-            e["polarity_hint"].alias("polarity_hint"), (-e["order"]).alias("priority"),
-        ),
+    def part(stream: bytes) -> Column:
+        @F.arrow_udf(f"array<struct<{kind}>>")
+        def run(text: pa.Array, low: pa.Array) -> pa.Array:
+            return _finder(stream).find(text.to_pylist(), low.to_pylist())
+
+        return run(plain, folded)
+
+    return reduce(F.concat, [part(s) for s in _streams(entries)])
+
+
+def _folded(c: Column) -> Column:
+    return F.lower(T.ascii_fold(c))
+
+
+def _company_entries(companies: DataFrame) -> DataFrame:
+    """Per company: ticker, name, the sectors of all entries with its ticker, and the words to look for."""
+    named = companies.select("ticker", "company_name", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), "sector")
+    sectors = named.where("sector <> ''").groupBy("ticker").agg(F.array_sort(F.collect_set("sector")).alias("sectors"))
+    words = F.array_distinct(F.transform(F.array_compact(F.concat(F.array("company_name"), "aliases")), _folded))
+    return named.join(sectors, "ticker", "left").select("ticker", F.col("company_name").alias("name"), "sectors", words.alias("_words"), F.col("ticker").alias("_code"))
+
+
+def _keyword_entries(keywords: DataFrame) -> DataFrame:
+    """One entry per type, subtype and keyword, with the values of the last row; rows count in their order."""
+    rows = keywords.withColumn("_at", F.monotonically_increasing_id())
+    values = F.struct("polarity_hint", "priority")
+    last = rows.groupBy("event_type", "event_subtype", "keyword").agg(F.max_by(values, "_at").alias("v"), F.min("_at").alias("first"))
+    return last.select(
+        (-F.col("v.priority")).alias("order"), "event_type", "keyword", "first", "event_subtype", F.col("v.polarity_hint").alias("polarity_hint"),
+        F.array(_folded(F.col("keyword"))).alias("_words"), F.lit("").alias("_code"),
     )
-    return step.select(
-        *articles.columns,
-        matches.alias("event_keyword_matches"),
-        column("keyword").alias("event_keywords"),
-        column("event_type").alias("event_type_hints"),
-        column("event_subtype").alias("event_subtype_hints"),
-    )
+
+
+def _sorted(hits: str, field: str) -> Column:
+    return F.array_sort(F.array_distinct(F.filter(F.transform(hits, lambda e: e[field]), lambda v: v.isNotNull() & (v != ""))))
+
+
+def _hinted(articles: DataFrame, text: str, companies: DataFrame | None, keywords: DataFrame | None) -> DataFrame:
+    """articles with the hints of the given dictionaries, from one pass over the texts."""
+    plain = T.normalize_text(F.col(text))
+    rows = articles.withColumns({"_plain": plain}).withColumn("_low", _folded(F.col("_plain")))
+    hits, out = {}, []
+    if companies is not None:
+        hits["_companies"] = _hits(_company_entries(companies), F.col("_plain"), F.col("_low"))
+        sectors = F.array_sort(F.array_distinct(F.flatten(F.filter(F.transform("_companies", lambda e: e["sectors"]), lambda x: x.isNotNull()))))
+        out += [_sorted("_companies", "ticker").alias("tickers_hint"), _sorted("_companies", "name").alias("company_names_hint"), sectors.alias("sector_hints")]
+    if keywords is not None:
+        hits["_keywords"] = F.array_sort(_hits(_keyword_entries(keywords), F.lit(""), F.col("_low")))
+        names = ["event_type", "event_subtype", "keyword", "polarity_hint"]
+        matches = F.transform("_keywords", lambda e: F.struct(*[e[n].alias(n) for n in names], (-e["order"]).alias("priority")))
+        out.append(matches.alias("event_keyword_matches"))
+        out += [_sorted("_keywords", f).alias(n) for f, n in (("keyword", "event_keywords"), ("event_type", "event_type_hints"), ("event_subtype", "event_subtype_hints"))]
+    return rows.withColumns(hits).select(*articles.columns, *out)
+
+
+def company_hints(articles: DataFrame, companies: DataFrame, text: str = "text") -> DataFrame:
+    """articles with sorted tickers_hint, company_names_hint and sector_hints.
+
+    A company is found by its ticker as a word of its own, or by its name or an alias, folded. Sectors are those of all
+    entries that have a found ticker.
+    """
+    return _hinted(articles, text, companies, None)
+
+
+def keyword_hints(articles: DataFrame, keywords: DataFrame, text: str = "text") -> DataFrame:
+    """articles with event_keyword_matches (by falling priority, type, keyword, then order of the dictionary) and sorted
+    keyword, type and subtype hints. Of rows with one type, subtype and keyword the last counts."""
+    return _hinted(articles, text, None, keywords)
 
 
 def sector_hints(articles: DataFrame, companies: DataFrame, key: str) -> DataFrame:
@@ -169,7 +225,7 @@ def sector_hints(articles: DataFrame, companies: DataFrame, key: str) -> DataFra
 def attach_hints(articles: DataFrame, companies: DataFrame, keywords: DataFrame) -> DataFrame:
     """All hints from title and text together."""
     whole = articles.withColumn("_all", F.concat_ws("\n", *([F.col("title")] if "title" in articles.columns else []), F.col("text")))
-    return keyword_hints(company_hints(whole, companies, "_all"), keywords, "_all").drop("_all")
+    return _hinted(whole, "_all", companies, keywords).drop("_all")
 
 
 def audit(companies: DataFrame, keywords: DataFrame) -> DataFrame:

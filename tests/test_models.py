@@ -4,6 +4,7 @@ import html
 import math
 import random
 import re
+import time
 import unicodedata
 from difflib import SequenceMatcher
 
@@ -633,3 +634,69 @@ def test_equal_texts_are_embedded_once(spark):
 
     got = {r.chunk_id: (r.vector, r.cache_hit) for r in index.embed_with_cache(chunks, cache, embed, "m").collect()}
     assert asked == [["c0", "c3"]] and got["c2"] == ([1.0], True) and got["c0"] == got["c1"] == got["c4"] == ([1.0], False)
+
+
+# dictionaries
+
+
+def hint_model(text, companies, keywords):
+    """What the definition says, entry by entry."""
+    plain = normal(html.unescape(text or ""))
+    low = fold(plain).lower()
+    tickers, names = set(), set()
+    for ticker, name, aliases, _ in companies:
+        named = any(w and (w.lower() in plain.lower() or fold(w).lower() in low) for w in (name, *(aliases or [])))
+        if named or re.search(rf"(?<![A-Z0-9]){re.escape(ticker)}(?![A-Z0-9])", plain):
+            tickers.add(ticker)
+            names.add(name)
+    sectors = {s for t, _, _, s in companies if t in tickers and s}
+    matched = {}
+    for kind, sub, word, polarity, priority in keywords:
+        if fold(word).lower() and fold(word).lower() in low:
+            matched[(kind, sub, word)] = (kind, sub, word, polarity, priority)
+    matches = sorted(matched.values(), key=lambda m: (-m[4], m[0], m[2]))
+    columns = [sorted({m[2] for m in matches}), sorted({m[0] for m in matches}), sorted({m[1] for m in matches if m[1]})]
+    return sorted(tickers), sorted(names), sorted(sectors), matches, *columns
+
+
+def hinted_rows(spark, texts, companies, keywords):
+    c = spark.createDataFrame([(*x, None, None, None, None, None) for x in companies], dictionaries.COMPANY)
+    k = spark.createDataFrame([(*x, "") for x in keywords], dictionaries.KEYWORD)
+    rows = dictionaries.attach_hints(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), c, k).orderBy("i").collect()
+    names = ["tickers_hint", "company_names_hint", "sector_hints", "event_keyword_matches", "event_keywords", "event_type_hints", "event_subtype_hints"]
+    return [tuple([tuple(m) for m in r[n]] if n == "event_keyword_matches" else r[n] for n in names) for r in rows]
+
+
+COMPANIES = [("VN", "Việt Nam Ltd", ["vina", ""], "A"), ("VN", "Other", [], "B"), ("AB1", "Đặng & Co", None, None), ("M&A", "ﬁne", ["½ shop"], ""), ("X", "x", [], "C")]
+KEYWORDS = [("T", "S", "hợp đồng", "p", 1), ("U", "", "vina", "n", 5), ("T", "S", "hợp đồng", "last", 7), ("T", "R", "hợp đồng", "q", 7), ("T", "", "M&A", "q", 2), ("W", "z", "ﬁ", "", 2)]
+
+
+def test_hints_of_single_cases(spark):
+    texts = ["VN", "VNM", "aVN", "1VN VN", "viet nam ltd", "VI&#7878;T NAM LTD", "dang &amp; co", "fine", "1⁄2 shop", "M&amp;A", "Hợp đồng", "hop dong vina", "AB1.", "", None, "xAB12 AB1"]
+    assert hinted_rows(spark, texts, COMPANIES, KEYWORDS) == [hint_model(t, COMPANIES, KEYWORDS) for t in texts]
+
+
+@pytest.mark.parametrize("part_bytes", [2_000_000, 700])
+def test_hints_on_made_up_texts(spark, monkeypatch, part_bytes):
+    monkeypatch.setattr(dictionaries, "PART_BYTES", part_bytes)
+    made = random.Random(9)
+    word = lambda: "".join(made.choices("abéĐÉx1 ", k=made.randint(1, 4)))
+    companies = [("".join(made.choices("AB1", k=made.randint(1, 3))), word(), [word() for _ in range(made.randrange(3))], made.choice(["", "S", "T"])) for _ in range(40)]
+    keywords = [(made.choice("TU"), made.choice(["", "s"]), word().strip() or "a", made.choice("pn"), made.randrange(3)) for _ in range(40)]
+    texts = ["".join(made.choices(["a", "b", "é", "Đ", "1", "A", "B", " ", "É", "x", "\n"], k=made.randint(0, 30))) for _ in range(120)]
+    got, want = hinted_rows(spark, texts, companies, keywords), [hint_model(t, companies, keywords) for t in texts]
+    assert got == want
+
+
+def test_hints_cost_little_more_with_many_entries(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").cache()
+    made, times = random.Random(1), {}
+    for n in (100, 20_000):
+        rows = [("T", "s", "".join(made.choices("abcdefghijklmnop", k=12)), "p", 1, "") for _ in range(n)]
+        found = dictionaries.keyword_hints(docs, spark.createDataFrame(rows, dictionaries.KEYWORD))
+        times[n] = []
+        for _ in range(3):
+            start = time.time()
+            found.write.format("noop").mode("overwrite").save()
+            times[n].append(time.time() - start)
+    assert min(times[20_000]) < 1.5 * min(times[100]) + 0.5
