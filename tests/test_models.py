@@ -1,6 +1,7 @@
 """Operators that SQL cannot express, against independent models in plain Python."""
 
 import html
+import json
 import math
 import random
 import re
@@ -22,6 +23,7 @@ from glosswork.functions import similarity as S
 from glosswork.functions import text as T
 from glosswork.operators import chunking, dictionaries, evaluation, index, querying, ranking_metrics, rerank, retrieval, tables, validation, verification
 from glosswork.sources import files
+from glosswork.streaming import log_tail
 
 
 def column(spark, values, expression, kind="string"):
@@ -520,15 +522,58 @@ def test_statements_and_health(spark, tmp_path):
     assert tables.healthcheck(spark, str(tmp_path)) and not tables.healthcheck(spark, str(tmp_path / "none"))
 
 
-def test_log_tail_goes_on(spark, tmp_path):
-    from glosswork.streaming import log_tail
+def log_line(event, run="r", **more):
+    return json.dumps({"event": event, "run_id": run, **more}) + "\n"
+
 
+def test_log_tail_goes_on(spark, tmp_path):
+    """Appended lines, lines still being written, new files, blank and broken lines; each line once."""
+    folder, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    (folder / "deeper").mkdir(parents=True)
+    a, b = folder / "a.log", folder / "deeper" / "b.log"
+
+    def tailed():
+        log_tail.run_available(log_tail.tail(spark, str(folder), split=64), out, state)
+        rows = spark.read.parquet(out).collect()
+        return sorted((r["event"] or r["line"], r["after_final"]) for r in rows)
+
+    a.write_text(log_line("e0") + '{"event": "e1", "run')
+    assert tailed() == [("e0", False)]
+    with a.open("a") as file:
+        file.write('_id": "r"}\n\nno json\n' + log_line("e2", message="é" * 100))
+    b.write_text(log_line("other", "q", status="failed") + log_line("late", "q"))
+    first = [("", False), ("e0", False), ("e1", False), ("e2", False), ("late", True), ("no json", False), ("other", False)]
+    assert tailed() == first and tailed() == first  # nothing new: nothing again
+    with b.open("a") as file:
+        file.write(log_line("later", "q") + log_line("own", "s"))
+    assert tailed() == sorted([*first, ("later", True), ("own", False)])
+    assert [(r.run_id, r.final_status) for r in log_tail.finals(spark, state).collect()] == [("q", "failed")]
+
+
+def test_every_split_of_a_log_gives_each_line_once(tmp_path):
+    made = random.Random(2)
+    text = "".join("x" * made.randrange(9) + "\n" for _ in range(40))
+    path = tmp_path / "a.log"
+    path.write_text(text)
+    for split in (1, 2, 7, 50, 10_000):
+        reader = log_tail.LogReader(str(tmp_path), split)
+        for first in (0, len("".join(text.splitlines(True)[:7]))):
+            parts = reader.partitions({str(path): first}, reader.latestOffset())
+            found = [x for p in parts for x in log_tail.lines(p)]
+            assert [line for _, line in found] == text[first:].split("\n")[:-1]
+            assert all(text[at : at + len(line)] == line and text[at - 1 : at] in ("", "\n") for at, line in found)
+
+
+def test_follow_ends_with_the_last_run(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
-    for i in range(2):
-        (folder / f"{i}.log").write_text(f'{{"event": "e{i}", "run_id": "r"}}\n')
-        log_tail.run_available(log_tail.tail(spark, str(folder)), str(tmp_path / "out"), str(tmp_path / "state"))
-    assert sorted(r["event"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["e0", "e1"]
+    (folder / "a.log").write_text(log_line("x", "1", status="success") + log_line("y", "2", status="running"))
+    places = str(folder), str(tmp_path / "out"), str(tmp_path / "state")
+    assert log_tail.follow(spark, *places, runs=["1"]) and not log_tail.follow(spark, *places, runs=["1", "2"], wait=0.1, most=0.1)
+    with (folder / "a.log").open("a") as file:
+        file.write(log_line("z", "2", status="canceled"))
+    assert log_tail.follow(spark, *places, runs=["1", "2"])
+    assert sorted(r["event"] for r in spark.read.parquet(places[1]).collect()) == ["x", "y", "z"]
 
 
 def test_article_tree_picks_the_longest_container(spark):
