@@ -15,7 +15,7 @@ from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -112,6 +112,14 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def exploded(rows: DataFrame, values: Column, name: str, *columns: Column | str) -> DataFrame:
+    """columns and one row per value that is not null.
+
+    Of a plain explode Spark infers a filter on the array's size, and works the array out twice: once for the filter.
+    """
+    return rows.select(*columns, F.explode_outer(values).alias(name)).where(F.col(name).isNotNull())
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"(?U)^{_BLANK}+|{_BLANK}+$", "")
 
@@ -172,13 +180,19 @@ def ascii_fold(text: Column) -> Column:
     take one translation.
     """
     source, target, several = _folding()
-    plain = F.translate(text, source, target)
     letters = f"{_classes(several)}\\x{{ac00}}-\\x{{d7a3}}"
     # one literal, which the optimizer turns into a map
     table = F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in several.items())), F.lit("\x01"), F.lit("\x02"))
-    pieces = F.regexp_extract_all(plain, F.lit(f"[{letters}]|[^{letters}]+"), F.lit(0))
-    one = lambda p: F.when(p.rlike("^[\\x{ac00}-\\x{d7a3}]$"), _hangul(p)).otherwise(F.coalesce(F.try_element_at(table, p), p))
-    return F.when(text.rlike(f"{COMMON}[{letters}]"), F.array_join(F.transform(pieces, one), "")).otherwise(plain)
+
+    def one(p: Column) -> Column:
+        return F.when(p.rlike("^[\\x{ac00}-\\x{d7a3}]$"), _hangul(p)).otherwise(F.coalesce(F.try_element_at(table, p), p))
+
+    def folded(t: Column) -> Column:
+        plain = F.translate(t, source, target)
+        pieces = F.regexp_extract_all(plain, F.lit(f"[{letters}]|[^{letters}]+"), F.lit(0))
+        return F.when(t.rlike(f"{COMMON}[{letters}]"), F.array_join(F.transform(pieces, one), "")).otherwise(plain)
+
+    return let(text, folded)
 
 
 def fold_for_match(text: Column) -> Column:

@@ -218,7 +218,7 @@ def keyword_hints(articles: DataFrame, keywords: DataFrame, text: str = "text")
 
 def sector_hints(articles: DataFrame, companies: DataFrame, key: str) -> DataFrame:
     """key and the sorted sectors of the companies in tickers_hint, by an equi-join."""
-    each = articles.select(key, F.explode("tickers_hint").alias("ticker"))
+    each = T.exploded(articles, F.col("tickers_hint"), "ticker", key)
     return each.join(companies.select("ticker", "sector"), "ticker").where("sector <> ''").groupBy(key).agg(F.array_sort(F.collect_set("sector")).alias("sector_hints"))
 
 

@@ -25,7 +25,7 @@ HASH_MODEL = "local_hash_embedding_v1"
 def postings(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
     """(key, dl, term, tf) of every term; documents are counted by themselves, without a shuffle by term."""
     rows = docs.select(key, tokens.alias("_tokens")).withColumn("dl", F.size("_tokens"))
-    return rows.select(key, "dl", F.explode("_tokens").alias("term")).groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
+    return T.exploded(rows, F.col("_tokens"), "term", key, "dl").groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
 
 
 def corpus_stats(docs: DataFrame, tokens: Column) -> DataFrame:
@@ -35,7 +35,7 @@ def corpus_stats(docs: DataFrame, tokens: Column) -> DataFrame:
 
 def document_frequencies(docs: DataFrame, tokens: Column) -> DataFrame:
     """(term, df)."""
-    return docs.select(F.explode(F.array_distinct(tokens)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return T.exploded(docs, F.array_distinct(tokens), "term").groupBy("term").agg(F.count("*").alias("df"))
 
 
 def only_wanted(tokens: Column, wanted: DataFrame, most: int = MOST_LITERALS) -> Column:
@@ -181,7 +181,7 @@ def hash_embedding(tokens: Column, dimension: int = 128) -> Column:
 
 def _unit(v: Column) -> Column:
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(norm > 0, F.transform(v, lambda x: F.round(x / norm, 8))).otherwise(v)
+    return T.let(norm, lambda n: F.when(n > 0, F.transform(v, lambda x: F.round(x / n, 8))).otherwise(v))
 
 
 @lru_cache(maxsize=200_000)

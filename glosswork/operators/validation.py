@@ -167,7 +167,7 @@ def event_issues(events: DataFrame, taxonomy: Taxonomy) -> DataFrame:
         _issue((F.coalesce("ticker", F.lit("")) != "") & ~ticker_grounded(F.col("ticker"), F.col("tickers_hint"), F.col("_text")), at("ticker"), "ticker_not_grounded"),
     )
     issues = F.concat(F.array_compact(fixed), extra, odd)
-    return rows.select("article_id", "event_index", F.explode(issues).alias("_i")).select("article_id", "event_index", "_i.*")
+    return rows.select("article_id", "event_index", F.explode_outer(issues).alias("_i")).where("_i IS NOT NULL").select("article_id", "event_index", "_i.*")
 
 
 def validate(labels: DataFrame, articles: DataFrame, taxonomy: Taxonomy) -> DataFrame:

@@ -168,7 +168,7 @@ _D10 = _METRIC.replace("AS d5 FROM r", "AS d5, coalesce(sum(1 / log2(rank + 1))
 
 @query("ret19_ndcg_at_10", _D10 + "SELECT case_id, CASE WHEN n = 0 THEN 0.0 ELSE round(d10 / (SELECT sum(1 / log2(i + 1)) FROM range(1, 11) x(i) WHERE i <= n), 6) END AS ndcg_at_10, round(h10 / 10, 6) AS precision_at_10 FROM h")
 def _ret19(spark, sf_dir):
-    terms = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(retrieval_queries._tokens(F.col("text"))).alias("term"))
+    terms = T.exploded(table(spark, sf_dir, "benchmark"), retrieval_queries._tokens(F.col("text")), "term", F.col("item_id").alias("query_id"))
     ranked = index.bm25_top_k(table(spark, sf_dir, "documents"), "doc_id", retrieval_queries._tokens(F.col("text")), terms, 10).select(F.col("query_id").alias("case_id"), F.col("doc_id").alias("chunk_id"), "rank")
     m = ranking_metrics.evaluate(ranked, _jn09(spark, sf_dir))
     return m.select("case_id", F.round("ndcg_at_10", 6).alias("ndcg_at_10"), F.round("precision_at_10", 6).alias("precision_at_10"))

@@ -59,7 +59,7 @@ _KEY = (
 )
 def _jn02(spark, sf_dir):
     rows = dictionaries.keyword_hints(fixtures.articles(spark, sf_dir), fixtures.keywords(spark))
-    return rows.select("doc_id", F.posexplode("event_keyword_matches").alias("pos", "m")).select("doc_id", "m.*", F.col("pos").cast("long").alias("pos"))
+    return rows.select("doc_id", F.posexplode_outer("event_keyword_matches").alias("pos", "m")).where("m IS NOT NULL").select("doc_id", "m.*", F.col("pos").cast("long").alias("pos"))
 
 
 @query(
@@ -219,7 +219,7 @@ SELECT doc_id, CAST(b AS INTEGER) AS bucket, round(v / norm, 8) AS value FROM s
 )
 def _emb01(spark, sf_dir):
     v = index.hash_embeddings(table(spark, sf_dir, "documents"), "doc_id", T.tokens(F.col("text"), False, False), 32)
-    return v.select("doc_id", F.posexplode("vector").alias("bucket", "v")).where("v <> 0").select("doc_id", "bucket", F.col("v").alias("value"))
+    return v.select("doc_id", F.posexplode_outer("vector").alias("bucket", "v")).where("v <> 0").select("doc_id", "bucket", F.col("v").alias("value"))
 
 
 @query(

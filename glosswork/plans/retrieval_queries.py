@@ -62,7 +62,7 @@ _ITEMS = f"SELECT item_id AS query_id, unnest({kept_tokens_sql()}) AS term FROM
 
 @query("top01_bm25_multi_query", _bm25_sql(_ITEMS, 10, "query_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank"))
 def _top01(spark, sf_dir):
-    terms = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(_tokens(F.col("text"))).alias("term"))
+    terms = T.exploded(table(spark, sf_dir, "benchmark"), _tokens(F.col("text")), "term", F.col("item_id").alias("query_id"))
     return index.bm25_top_k(table(spark, sf_dir, "documents"), "doc_id", _tokens(F.col("text")), terms, 10).select("query_id", "doc_id", "score", "rank")
 
 
@@ -366,7 +366,7 @@ _IDEAL = "(SELECT sum(1 / log2(i + 1)) FROM range(1, 6) x(i) WHERE i <= n)"
     CASE WHEN n = 0 THEN 0.0 ELSE round(h10 / n, 6) END AS recall_at_10, coalesce(round(1 / first, 6), 0.0) AS mrr, CAST(coalesce(first, 0) AS INTEGER) AS first_relevant_rank FROM h""",
 )
 def _ret18(spark, sf_dir):
-    terms = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(_tokens(F.col("text"))).alias("term"))
+    terms = T.exploded(table(spark, sf_dir, "benchmark"), _tokens(F.col("text")), "term", F.col("item_id").alias("query_id"))
     ranked = index.bm25_top_k(table(spark, sf_dir, "documents"), "doc_id", _tokens(F.col("text")), terms, 10).select(F.col("query_id").alias("case_id"), F.col("doc_id").alias("chunk_id"), "rank")
     m = ranking_metrics.evaluate(ranked, _jn09(spark, sf_dir))
     return m.select("case_id", *[F.round(c, 6).alias(c) for c in ("recall_at_5", "precision_at_5", "ndcg_at_5", "recall_at_10", "mrr")], "first_relevant_rank")
