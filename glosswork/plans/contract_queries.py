@@ -143,7 +143,7 @@ def _agg13(spark, sf_dir):
 
 @query("jn10_metadata_overlaps", f"WITH {retrieval_queries._HINTED} SELECT query_id, count(*) AS n, round(sum(metadata_score), 4) AS total FROM rs WHERE metadata_score > 0 GROUP BY 1")
 def _jn10(spark, sf_dir):
-    s = retrieval.metadata_rule_scores(cases(spark), hinted(spark, sf_dir)).where("metadata_score > 0")
+    s = retrieval.metadata_rule_scores(cases(spark, sf_dir), hinted(spark, sf_dir)).where("metadata_score > 0")
     return s.groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.sum("metadata_score"), 4).alias("total"))
 
 
@@ -183,13 +183,13 @@ z AS (SELECT case_id, chunk_id, score, row_number() OVER (PARTITION BY case_id O
 
 @query("ret04_ret23_case_contexts", _STAGE.rstrip() + "," + _FINAL.format(norm=norm("d.text")) + "SELECT case_id, chunk_id, CAST(rank AS INTEGER) AS rank, score FROM z WHERE rank <= 5")
 def _ret23(spark, sf_dir):
-    """The first contexts of the literal cases: equal texts count once, every article is a chunk of its own."""
-    return retrieval.retrieve(cases(spark), cut(hinted(spark, sf_dir)), PLAIN).select("case_id", "chunk_id", "rank", "score")
+    """The first contexts of each case: equal texts count once, every article is a chunk of its own."""
+    return retrieval.retrieve(cases(spark, sf_dir), cut(hinted(spark, sf_dir)), PLAIN).select("case_id", "chunk_id", "rank", "score")
 
 
-@query("sup13_matched_queries", _STAGE + "SELECT case_id, doc_id AS chunk_id, array_to_string(list_sort(list(DISTINCT 'view' || position)), '|') AS query_types, array_to_string(list_sort(list(DISTINCT types[1])), '|') AS intents FROM u JOIN q USING (query_id) GROUP BY 1, 2")
+@query("sup13_matched_queries", _STAGE + "SELECT case_id, doc_id AS chunk_id, array_to_string(list_sort(list(DISTINCT 'view' || position)), '|') AS query_types, coalesce(array_to_string(list_sort(list(DISTINCT types[1]) FILTER (WHERE types[1] IS NOT NULL)), '|'), '') AS intents FROM u JOIN q USING (query_id) GROUP BY 1, 2")
 def _sup13(spark, sf_dir):
-    s = retrieval.stage1(cases(spark), cut(hinted(spark, sf_dir)), PLAIN)
+    s = retrieval.stage1(cases(spark, sf_dir), cut(hinted(spark, sf_dir)), PLAIN)
     return s.select("case_id", "chunk_id", F.array_join("matched_query_types", "|").alias("query_types"), F.array_join("matched_intent_event_types", "|").alias("intents"))
 
 
@@ -563,7 +563,7 @@ def _sup25(spark, sf_dir):
     return extraction.reasons(e).select("article_id", F.array_join("reasons", "|").alias("reasons"))
 
 
-# the literal cases of ``retrieval_queries`` through judgments, prompts and diversity
+# the cases of ``retrieval_queries`` through judgments, prompts and diversity
 
 _CONTEXTS = _STAGE.rstrip() + "," + _FINAL.format(norm=norm("d.text")) + """, fin AS (SELECT z.*, h.tk, h.ty, h.kw, h.text FROM z JOIN h ON h.doc_id = z.chunk_id WHERE rank <= 5), q0 AS (SELECT case_id, tickers, types FROM q WHERE position = 0),
 j AS (SELECT fin.*, CASE WHEN len(list_intersect(q0.tickers, tk)) > 0 AND len(list_intersect(q0.types, ty)) > 0 THEN 'HIGH' WHEN len(list_intersect(q0.tickers, tk)) > 0 OR len(list_intersect(q0.types, ty)) > 0 THEN 'MEDIUM'
@@ -574,32 +574,32 @@ js AS (SELECT *, CASE label WHEN 'HIGH' THEN 0.92 WHEN 'MEDIUM' THEN 0.72 WHEN '
 
 def _case_contexts(spark, sf_dir):
     chunks = cut(hinted(spark, sf_dir))
-    return chunks, cut(retrieval.retrieve(cases(spark), chunks, PLAIN))
+    return chunks, cut(retrieval.retrieve(cases(spark, sf_dir), chunks, PLAIN))
 
 
 @query("ret13_case_judgments", _CONTEXTS + "SELECT case_id, chunk_id, label AS relevance_label, m AS relevance_score FROM js")
 def _ret13(spark, sf_dir):
     chunks, contexts = _case_contexts(spark, sf_dir)
-    return rerank.deterministic_judgments(contexts, cases(spark), chunks)
+    return rerank.deterministic_judgments(contexts, cases(spark, sf_dir), chunks)
 
 
 @query("ret14_case_rerank", _CONTEXTS + ", bl AS (SELECT case_id, chunk_id, rank, round(0.4 * score + 0.6 * m, 6) AS s FROM js) SELECT case_id, chunk_id, s AS score, CAST(row_number() OVER (PARTITION BY case_id ORDER BY s DESC, rank) AS INTEGER) AS rank FROM bl")
 def _ret14(spark, sf_dir):
     chunks, contexts = _case_contexts(spark, sf_dir)
-    out = rerank.apply_judgments(contexts, rerank.deterministic_judgments(contexts, cases(spark), chunks))
+    out = rerank.apply_judgments(contexts, rerank.deterministic_judgments(contexts, cases(spark, sf_dir), chunks))
     return out.select("case_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(
     "ret17_sup16_case_prompts",
-    _CONTEXTS + "SELECT case_id, count(*) AS n, array_to_string(list(chunk_id ORDER BY rank), '|') AS ids, max(CASE WHEN length(text) > 600 THEN length(regexp_replace(substr(text, 1, 600), '\\s+$', '')) + 3 ELSE length(text) END) AS longest, case_id || '1' AS query_id FROM fin GROUP BY case_id",
+    _CONTEXTS + "SELECT case_id, count(*) AS n, array_to_string(list(chunk_id ORDER BY rank), '|') AS ids, max(CASE WHEN length(text) > 600 THEN length(regexp_replace(substr(text, 1, 600), '\\s+$', '')) + 3 ELSE length(text) END) AS longest, 'q' || substr(case_id, 2) || '_0' AS query_id FROM fin GROUP BY case_id",
 )
 def _ret17(spark, sf_dir):
     """The requests to a judge, parsed back: candidates in order with cut texts, and the case's first query."""
     _, contexts = _case_contexts(spark, sf_dir)
     request = F.parse_json("prompt")
     listed = F.try_variant_get(request, "$.candidates", "array<variant>")
-    return rerank.prompt(contexts, cases(spark)).select(
+    return rerank.prompt(contexts, cases(spark, sf_dir)).select(
         "case_id", F.size(listed).cast("long").alias("n"), F.array_join(F.transform(listed, lambda c: J.field(c, "chunk_id")), "|").alias("ids"),
         F.array_max(F.transform(listed, lambda c: F.char_length(J.field(c, "text")))).cast("long").alias("longest"), J.field(request, "query.query_id").alias("query_id"),
     )
@@ -607,10 +607,10 @@ def _ret17(spark, sf_dir):
 
 @query(
     "ret21_case_diversity",
-    _CONTEXTS + """, it AS (SELECT case_id, doc_id AS chunk_id, list(DISTINCT types[1]) AS own FROM u JOIN q USING (query_id) GROUP BY 1, 2), wa AS (SELECT case_id, list(DISTINCT types[1]) AS wanted FROM q GROUP BY 1),
+    _CONTEXTS + """, it AS (SELECT case_id, doc_id AS chunk_id, list(DISTINCT types[1]) FILTER (WHERE types[1] IS NOT NULL) AS own FROM u JOIN q USING (query_id) GROUP BY 1, 2), wa AS (SELECT case_id, coalesce(list(DISTINCT types[1]) FILTER (WHERE types[1] IS NOT NULL), []) AS wanted FROM q GROUP BY 1),
     ct2 AS (SELECT fin.case_id, fin.chunk_id, wanted, CASE WHEN own IS NOT NULL THEN own ELSE ty END AS mine FROM fin LEFT JOIN it ON it.case_id = fin.case_id AND it.chunk_id = fin.chunk_id JOIN wa ON wa.case_id = fin.case_id),
     tp AS (SELECT case_id, wanted, unnest(CASE WHEN len(list_intersect(mine, wanted)) > 0 THEN list_intersect(mine, wanted) ELSE mine END) AS t FROM ct2), tc AS (SELECT case_id, any_value(wanted) AS wanted, t, count(*) AS n FROM tp GROUP BY case_id, t)
-    SELECT case_id, count(*) AS unique_event_types_at_5, round(max(n) / sum(n), 6) AS dominance_ratio_at_5, round(count(*) FILTER (WHERE list_contains(wanted, t)) / any_value(len(wanted)), 6) AS event_type_coverage_at_5 FROM tc GROUP BY case_id""",
+    SELECT case_id, count(*) AS unique_event_types_at_5, round(max(n) / sum(n), 6) AS dominance_ratio_at_5, CASE WHEN any_value(len(wanted)) = 0 THEN 0 ELSE round(count(*) FILTER (WHERE list_contains(wanted, t)) / any_value(len(wanted)), 6) END AS event_type_coverage_at_5 FROM tc GROUP BY case_id""",
 )
 def _ret21(spark, sf_dir):
     _, contexts = _case_contexts(spark, sf_dir)

@@ -119,36 +119,38 @@ def searches(spark, sf_dir, mode: str = "legacy"):
     return cut(querying.build_queries(rows, mode))
 
 
-#: Cases of the queries whose SQL names them: query, case, position, text, weight, tickers, companies, keywords, types.
-CASES = [
-    ("a1", "a", 0, "tionnt with thation", 1.0, ["THE"], ["Thtion"], ["tionnt", "idiot"], ["CONTRACT"]),
-    ("a2", "a", 1, "idiot clown erthe", 0.65, [], [], ["idiot"], ["LEGAL_RISK"]),
-    ("b1", "b", 0, "lichkeit und die", 1.0, ["DER", "UND"], ["Lichung"], ["lichkeit"], ["DIVIDEND"]),
-]
-
-
-def cases(spark):
-    rows = spark.createDataFrame(CASES, "query_id string, article_id string, position int, text string, weight double, tickers array<string>, company_names array<string>, event_keywords array<string>, event_type_hints array<string>")
-    return rows.withColumns({"query_type": F.concat(F.lit("view"), "position"), "intent_event_type": F.element_at("event_type_hints", 1)})
+def cases(spark, sf_dir):
+    """Two queries for every document whose id is divisible by 50, in a form that SQL can follow: its first eight words with
+    all its hints, and its next six words with its keywords and types."""
+    d = fixtures.articles(spark, sf_dir).where("doc_id % 50 = 0")
+    rows = cut(dictionaries.attach_hints(d, fixtures.companies(spark), fixtures.keywords(spark)))
+    words, none = T.split_blank(F.col("text")), F.array().cast("array<string>")
 
+    def view(position: int, first: int, n: int, weight: float, tickers, companies):
+        text = F.array_join(F.slice(words, first, n), " ")
+        return F.struct(F.lit(position).alias("position"), text.alias("text"), F.lit(weight).alias("weight"), tickers.alias("tickers"), companies.alias("company_names"))
 
-def _case_values() -> str:
-    def one(v):
-        return "[" + ", ".join(f"'{x}'" for x in v) + "]::VARCHAR[]" if isinstance(v, list) else f"'{v}'" if isinstance(v, str) else str(v)
+    views = F.array(view(0, 1, 8, 1.0, F.col("tickers_hint"), F.col("company_names_hint")), view(1, 9, 6, 0.65, none, none))
+    each = rows.select("article_id", "doc_id", "event_keywords", "event_type_hints", F.explode_outer(views).alias("v"))
+    out = each.select("article_id", F.concat_ws("_", F.concat(F.lit("q"), "doc_id"), "v.position").alias("query_id"), "v.*", "event_keywords", "event_type_hints")
+    return cut(out.withColumns({"query_type": F.concat(F.lit("view"), "position"), "intent_event_type": F.try_element_at("event_type_hints", F.lit(1))}))
 
-    return "q(query_id, case_id, position, text, weight, tickers, companies, kws, types) AS (VALUES " + ", ".join("(" + ", ".join(map(one, r)) + ")" for r in CASES) + ")"
 
+_CASES = """
+q AS (SELECT 'q' || doc_id || '_' || position AS query_id, 'd' || doc_id AS case_id, position, array_to_string(CASE position WHEN 0 THEN words[1:8] ELSE words[9:14] END, ' ') AS text,
+  CASE position WHEN 0 THEN 1.0 ELSE 0.65 END AS weight, CASE position WHEN 0 THEN tk ELSE [] END AS tickers, CASE position WHEN 0 THEN cn ELSE [] END AS companies, list_sort(kw) AS kws, list_sort(ty) AS types
+  FROM (SELECT *, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS words FROM h WHERE doc_id % 50 = 0), (VALUES (0), (1)) v(position)),
+"""
 
 _GENERIC = " OR ".join(f"contains(lower(d.text), '{t}')" for t in retrieval.GENERIC_TERMS)
 _HINTED = f"""
-{fixtures.COMPANY_SQL}, {_KEY.replace('hits AS', 'kh AS')}, {_case_values()},
+{fixtures.COMPANY_SQL}, {_KEY.replace('hits AS', 'kh AS')},
 ch AS (SELECT doc_id, ticker, company_name FROM n, companies c WHERE regexp_matches(t, '(^|[^A-Z0-9])' || ticker || '([^A-Z0-9]|$)') OR len(list_filter(list_concat([company_name], aliases),
   lambda a: contains(lower(t), lower(a)) OR contains(lower(strip_accents(t)), lower(strip_accents(a))))) > 0),
 h AS (SELECT d.doc_id, d.text, d.source, (SELECT coalesce(list(DISTINCT ticker), []) FROM ch WHERE ch.doc_id = d.doc_id) AS tk, (SELECT coalesce(list(DISTINCT lower(company_name)), []) FROM ch WHERE ch.doc_id = d.doc_id) AS cn,
-  (SELECT coalesce(list(DISTINCT lower(keyword)), []) FROM kh WHERE kh.doc_id = d.doc_id) AS kw, (SELECT coalesce(list(DISTINCT event_type), []) FROM kh WHERE kh.doc_id = d.doc_id) AS ty FROM documents d),
-m AS (SELECT query_id, case_id, weight, d.doc_id, d.text, d.source, len(kw) AS n_kw,
+  (SELECT coalesce(list(DISTINCT lower(keyword)), []) FROM kh WHERE kh.doc_id = d.doc_id) AS kw, (SELECT coalesce(list(DISTINCT event_type), []) FROM kh WHERE kh.doc_id = d.doc_id) AS ty FROM documents d),{_CASES}m AS (SELECT query_id, case_id, weight, d.doc_id, d.text, d.source, len(kw) AS n_kw,
   least(1.0, CASE WHEN len(list_intersect(q.tickers, tk)) > 0 THEN 0.45 ELSE 0 END + CASE WHEN len(list_intersect(list_transform(q.companies, lambda x: lower(x)), cn)) > 0 THEN 0.25 ELSE 0 END
-  + 0.20 * len(list_intersect(list_transform(q.kws, lambda x: lower(x)), kw)) / len(q.kws) + CASE WHEN len(list_intersect(q.types, ty)) > 0 THEN 0.10 ELSE 0 END)::DOUBLE AS metadata_score FROM q, h d),
+  + CASE WHEN len(q.kws) > 0 THEN 0.20 * len(list_intersect(list_transform(q.kws, lambda x: lower(x)), kw)) / len(q.kws) ELSE 0 END + CASE WHEN len(list_intersect(q.types, ty)) > 0 THEN 0.10 ELSE 0 END)::DOUBLE AS metadata_score FROM q, h d),
 rs AS (SELECT *, greatest(0.0, least(1.0, metadata_score - CASE WHEN {_GENERIC.replace('d.text', 'text')} THEN 0.25 ELSE 0 END + CASE WHEN doc_id % 2 = 0 AND n_kw > 0 THEN 0.10 ELSE 0 END
   - CASE WHEN len(regexp_extract_all(text, '\\S+')) < 8 THEN 0.10 ELSE 0 END))::DOUBLE AS rule_score FROM m)
 """
@@ -159,7 +161,7 @@ rs AS (SELECT *, greatest(0.0, least(1.0, metadata_score - CASE WHEN {_GENERIC.r
     f"WITH {_HINTED} SELECT query_id, doc_id AS chunk_id, round(metadata_score, 6) AS metadata_score, round(rule_score, 6) AS rule_score FROM rs WHERE metadata_score > 0 OR rule_score > 0",
 )
 def _ret07(spark, sf_dir):
-    s = retrieval.metadata_rule_scores(cases(spark), hinted(spark, sf_dir))
+    s = retrieval.metadata_rule_scores(cases(spark, sf_dir), hinted(spark, sf_dir))
     return s.select("query_id", "chunk_id", F.round("metadata_score", 6).alias("metadata_score"), F.round("rule_score", 6).alias("rule_score"))
 
 
@@ -184,14 +186,14 @@ PLAIN = retrieval.Config("plain", bm25_weight=0.6, metadata_weight=0.25, recency
 
 @query("ret06_stage1_union", _STAGE + "SELECT case_id, doc_id AS chunk_id, round(bm25, 6) AS bm25_score, round(md, 6) AS metadata_score, round(rl, 6) AS rule_score FROM g")
 def _ret06(spark, sf_dir):
-    s = retrieval.stage1(cases(spark), cut(hinted(spark, sf_dir)), PLAIN)
+    s = retrieval.stage1(cases(spark, sf_dir), cut(hinted(spark, sf_dir)), PLAIN)
     return s.select("case_id", "chunk_id", *[F.round(c, 6).alias(c) for c in ("bm25_score", "metadata_score", "rule_score")])
 
 
 @query("ret10_hybrid_score", _STAGE + "SELECT case_id, doc_id AS chunk_id, round(0.6 * bm25 + 0.25 * md + 0.1 * rl, 6) AS score FROM g")
 def _ret10(spark, sf_dir):
     chunks = cut(hinted(spark, sf_dir))
-    s = retrieval.scored(retrieval.stage1(cases(spark), chunks, PLAIN), chunks, PLAIN)
+    s = retrieval.scored(retrieval.stage1(cases(spark, sf_dir), chunks, PLAIN), chunks, PLAIN)
     return s.select("case_id", "chunk_id", "score")
 
 
@@ -203,7 +205,7 @@ def _ret10(spark, sf_dir):
 )
 def _ret11(spark, sf_dir):
     """The lexical and metadata part of each case's scores under every configuration."""
-    s = retrieval.stage1(cases(spark), cut(hinted(spark, sf_dir)), PLAIN)
+    s = retrieval.stage1(cases(spark, sf_dir), cut(hinted(spark, sf_dir)), PLAIN)
     grid = s.crossJoin(F.broadcast(retrieval.config_grid(spark)))  # seven rows
     part = F.col("bm25_weight") * F.col("bm25_score") + F.col("metadata_weight") * F.col("metadata_score")
     rule = F.when(F.col("use_rule_rerank"), F.col("rule_weight") * F.col("rule_score")).otherwise(0.0)
