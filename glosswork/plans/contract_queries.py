@@ -205,11 +205,15 @@ def _top08(spark, sf_dir):
 
 @query(
     "top19_preselect",
-    "SELECT * FROM (VALUES " + ", ".join(f"('{c.name}', {max(12, c.top_k_stage1)}, {max(12, c.top_k_final)}, {max(12, c.top_k_single_event)}, {max(12, c.top_k_multi_event)})" for c in retrieval.CONFIGS.values()) + ") t(name, stage1, final, single, multi)",
+    "SELECT s_suppkey, name, greatest(l, stage1) AS stage1, greatest(l, final) AS final, greatest(l, single) AS single, greatest(l, multi) AS multi FROM (SELECT s_suppkey, CAST(1 + s_suppkey % 90 AS INTEGER) AS l FROM supplier), "
+    "(VALUES " + ", ".join(f"('{c.name}', {c.top_k_stage1}, {c.top_k_final}, {c.top_k_single_event}, {c.top_k_multi_event})" for c in retrieval.CONFIGS.values()) + ") t(name, stage1, final, single, multi)",
 )
 def _top19(spark, sf_dir):
-    raised = [retrieval.with_preselect(c, 12) for c in retrieval.CONFIGS.values()]
-    return spark.createDataFrame([(c.name, c.top_k_stage1, c.top_k_final, c.top_k_single_event, c.top_k_multi_event) for c in raised], "name string, stage1 int, final int, single int, multi int")
+    """Each supplier asks for a least number of candidates, of every configuration."""
+    asked = table(spark, sf_dir, "supplier").select("s_suppkey", (1 + F.col("s_suppkey") % 90).cast("int").alias("least"))
+    raised = [(n, retrieval.with_preselect(c, n)) for n in range(1, 91) for c in retrieval.CONFIGS.values()]
+    rows = [(n, c.name, c.top_k_stage1, c.top_k_final, c.top_k_single_event, c.top_k_multi_event) for n, c in raised]
+    return asked.join(spark.createDataFrame(rows, "least int, name string, stage1 int, final int, single int, multi int"), "least").drop("least")
 
 
 @query(

@@ -83,11 +83,16 @@ def _jn04(spark, sf_dir):
 
 @query(
     "agg02_dictionary_audit",
-    f"WITH {fixtures.COMPANY_SQL}, {fixtures.KEYWORD_SQL} SELECT 'sector' AS kind, sector AS name, count(*) AS n FROM companies GROUP BY sector "
-    "UNION ALL SELECT 'event_type', event_type, count(*) FROM keywords GROUP BY event_type",
+    f"""
+WITH {fixtures.GIVEN_SQL}
+SELECT 'duplicate_ticker' AS kind, 'S' || (s_suppkey % 7) AS name, count(*) AS n FROM c GROUP BY 2 HAVING count(*) > 1
+UNION ALL SELECT 'duplicate_keyword', p_type || '/' || p_brand || '/' || p_name, count(*) FROM part GROUP BY 2 HAVING count(*) > 1
+UNION ALL SELECT 'sector', coalesce(sector, 'UNKNOWN'), count(*) FROM c GROUP BY 2
+UNION ALL SELECT 'event_type', p_type, count(*) FROM part GROUP BY 2
+""",
 )
 def _agg02(spark, sf_dir):
-    return dictionaries.audit(fixtures.companies(spark), fixtures.keywords(spark))
+    return dictionaries.audit(fixtures.given_companies(spark, sf_dir, 7), fixtures.given_keywords(spark, sf_dir))
 
 
 @query("flt01_min_length", "SELECT doc_id, CASE WHEN length(text) < 300 THEN 'too_short' ELSE 'success' END AS parse_status FROM documents")

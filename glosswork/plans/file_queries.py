@@ -251,15 +251,29 @@ def _job01(spark, sf_dir):
     return jobs.reconcile_runs(runs, "2030-01-01 00:00:00").select("event_id", "status", "finished_at", "error")
 
 
-@query("job01_queued_run", "SELECT 'r1' AS run_id, 'ingest|prepare|retrieve' AS steps, 'queued' AS status, true AS created")
+@query("job01_queued_run", "SELECT 'run of ' || r_name AS run_id, 'ingest|prepare|retrieve' AS steps, 'queued' AS status, true AS created, count(*) AS n_nations FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1")
 def _job01b(spark, sf_dir):
-    runs = jobs.create_run(spark, new_path(spark, "runs"), ["retrieve", "ingest", "prepare"], "r1")
-    return runs.select("run_id", F.array_join("steps", "|").alias("steps"), "status", F.col("created_at").isNotNull().alias("created"))
+    """A run for each region, in one table of runs."""
+    path, regions = new_path(spark, "runs"), table(spark, sf_dir, "region")
+    for r in regions.select("r_name").collect():  # five rows
+        runs = jobs.create_run(spark, path, ["retrieve", "ingest", "prepare"], f"run of {r['r_name']}")
+    nations = regions.join(table(spark, sf_dir, "nation"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy(F.concat(F.lit("run of "), "r_name").alias("run_id")).agg(F.count("*").alias("n_nations"))
+    return runs.join(nations, "run_id").select("run_id", F.array_join("steps", "|").alias("steps"), "status", F.col("created_at").isNotNull().alias("created"), "n_nations")
 
 
-@query("job03_steps", "SELECT * FROM (VALUES ('evaluate', 'verify,label'), ('extract', 'retrieve'), ('ingest', ''), ('label', 'ingest'), ('patterns', 'label,prepare'), ('prepare', 'ingest'), ('retrieve', 'prepare'), ('verify', 'extract')) t(step, needs)")
+@query(
+    "job03_steps",
+    "SELECT step, needs, count(*) AS n_orders FROM (VALUES (6, 'evaluate', 'verify,label'), (4, 'extract', 'retrieve'), (0, 'ingest', ''), (5, 'label', 'ingest'), (7, 'patterns', 'label,prepare'), (1, 'prepare', 'ingest'), "
+    "(2, 'retrieve', 'prepare'), (3, 'verify', 'extract')) t(place, step, needs) JOIN orders ON o_orderkey % 8 = place GROUP BY ALL",
+)
 def _job03(spark, sf_dir):
-    return spark.createDataFrame([(s, ",".join(jobs.STEPS[s])) for s in jobs.plan(list(jobs.STEPS))], "step string, needs string")
+    """The steps in a valid order, with what each needs; each order asks for one of them."""
+    place = {"ingest": 0, "prepare": 1, "retrieve": 2, "verify": 3, "extract": 4, "label": 5, "evaluate": 6, "patterns": 7}
+    order = jobs.plan(list(jobs.STEPS))
+    assert all(order.index(need) < order.index(step) for step in order for need in jobs.STEPS[step])
+    steps = spark.createDataFrame([(place[s], s, ",".join(jobs.STEPS[s])) for s in order], "place int, step string, needs string")
+    asked = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 8).cast("int").alias("place"))
+    return asked.join(steps, "place").groupBy("step", "needs").agg(F.count("*").alias("n_orders"))
 
 
 @query("sup03_reset_snapshots", "SELECT count(*) AS n_before, count(*) AS n_deleted, CAST(0 AS BIGINT) AS n_after FROM region")

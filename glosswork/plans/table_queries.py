@@ -89,9 +89,13 @@ def _db07(spark, sf_dir):
     return c.select("conv_id", F.posexplode("t").alias("pos", "x")).select("conv_id", "x.turn", F.col("pos").cast("long").alias("pos"), F.md5("x.text").alias("digest"))
 
 
-@query("db02_alias_rows", f"WITH {fixtures.COMPANY_SQL} SELECT ticker, a AS alias, lower(strip_accents(a)) AS alias_norm FROM (SELECT ticker, unnest(list_concat([company_name], aliases)) AS a FROM companies)")
+@query(
+    "db02_alias_rows",
+    f"WITH {fixtures.GIVEN_SQL} SELECT 'S' || s_suppkey AS ticker, s_name AS alias, lower(s_name) AS alias_norm FROM c UNION ALL SELECT 'S' || s_suppkey, n_name, lower(n_name) FROM c",
+)
 def _db02(spark, sf_dir):
-    return tables.alias_rows(fixtures.companies(spark)).select("ticker", "alias", "alias_norm")
+    """Blank aliases and those of equal folded form are left out."""
+    return tables.alias_rows(fixtures.given_companies(spark, sf_dir)).select("ticker", "alias", "alias_norm")
 
 
 _VIEW = "v AS (SELECT n_nationkey, n_name, coalesce(list(s_name ORDER BY s_name) FILTER (WHERE s_name IS NOT NULL), []) AS aliases FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 5000 GROUP BY ALL)"
@@ -122,9 +126,9 @@ def _fk(spark, sf_dir):
     return tables.orphans(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer").where("c_acctbal > 0"), "o_custkey", "c_custkey").select("o_orderkey")
 
 
-@query("prj05_company_defaults", f"WITH {fixtures.COMPANY_SQL} SELECT ticker, 'UNKNOWN' AS exchange, 'ACTIVE' AS status FROM companies")
+@query("prj05_company_defaults", f"WITH {fixtures.GIVEN_SQL} SELECT 'S' || s_suppkey AS ticker, coalesce(exchange, 'UNKNOWN') AS exchange, coalesce(status, 'ACTIVE') AS status FROM c")
 def _prj05(spark, sf_dir):
-    return tables.company_payload(fixtures.companies(spark)).select("ticker", "exchange", "status")
+    return tables.company_payload(fixtures.given_companies(spark, sf_dir)).select("ticker", "exchange", "status")
 
 
 @query("set01_set04_set_operations", "SELECT 'union' AS op, count(*) AS n FROM (SELECT n_nationkey FROM nation UNION SELECT s_nationkey FROM supplier) UNION ALL SELECT 'union_all', (SELECT count(*) FROM nation) + (SELECT count(*) FROM supplier) UNION ALL SELECT 'difference', count(*) FROM (SELECT n_nationkey FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000)")
