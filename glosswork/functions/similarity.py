@@ -7,6 +7,7 @@ import unicodedata
 from collections import Counter
 from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -152,32 +153,83 @@ def _fold(s: str) -> str:
     return " ".join("".join(c for c in s if not unicodedata.combining(c)).split())
 
 
+def _windows(query: str, sentences: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All windows of folded sentences, in order: sentence, first word and end word (counted over all sentences), and whether
+    it is the whole sentence; and where each word begins in all words joined by spaces."""
+    n_words, n = len(query.split()), np.array(list(map(len, sentences)), np.int64)
+    ends = np.cumsum(n)
+    room, of = np.repeat(ends, n) - np.arange(int(n.sum())), np.repeat(np.arange(len(n)), n)
+    first, end = [ends - n], [ends]
+    for k in range(max(2, n_words - 3), n_words + 6):
+        at = np.flatnonzero((room >= k) & (n[of] > 2))
+        first.append(at)
+        end.append(at + k)
+    size = np.repeat(np.arange(len(first)), list(map(len, first)))
+    first, end = np.concatenate(first), np.concatenate(end)
+    sentence = np.searchsorted(ends, first, "right")
+    order = np.lexsort((first, size, sentence))
+    width = np.array([len(w) for words in sentences for w in words], np.int64)
+    begin = np.append(np.cumsum(width + (width > 0)) - (width + (width > 0)), int((width + (width > 0)).sum()))
+    return sentence[order], first[order], end[order], size[order] == 0, begin
+
+
+def _bounds(query: str, text: str, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """A bound of the ratio of query and text[low:high]: twice their longest common subsequence over both lengths. The letters
+    that a ratio counts as matched are such a sequence.
+
+    Its length is kept for each prefix of what begins at a place, as the zeros of one number (bit by bit over the query),
+    so one pass serves all windows that begin there.
+    """
+    full, signs = (1 << len(query)) - 1, {}
+    for i, letter in enumerate(query):
+        signs[letter] = signs.get(letter, 0) | 1 << i
+    rows = [signs.get(c, 0) for c in text]
+    common, order = np.zeros(len(low), np.int64), np.lexsort((high, low)).tolist()
+    starts, stops = low.tolist(), high.tolist()
+    at, state, begun = 0, full, -1
+    for i in order:
+        if starts[i] != begun:
+            begun = at = starts[i]
+            state = full
+        for row in rows[at : stops[i]]:
+            hit = state & row
+            if hit:
+                state = ((state + hit) | (state - hit)) & full
+        at = max(at, stops[i])
+        common[i] = len(query) - state.bit_count()
+    return 2.0 * common / (len(query) + high - low)
+
+
 def _best_window(query: str, text: str) -> tuple[float, str | None]:
     """The window of the text with the best ratio to the folded query, the earliest of equals.
 
-    The letters that query and window share bound the ratio from above; only windows whose bound beats the
-    best so far are compared.
+    Windows are compared in order of their bound until the next bound is below the best ratio.
     """
-    wanted, letters = len(query.split()), Counter(query).items()
-    best, found = 0.0, None
-    matcher = SequenceMatcher(None)
-    for sentence in filter(None, (part.strip() for part in re.split(r"[\n\r]+|(?<=[.!?;:])\s+", text))):
-        words = sentence.split()
-        folded = [_fold(w) for w in words]
-        spans = [(0, len(words))]
-        if wanted and len(words) > 2:
-            sizes = range(max(2, wanted - 3), min(len(words), wanted + 5) + 1)
-            spans += [(i, i + n) for n in sizes for i in range(len(words) - n + 1)]
-        for k, (i, j) in enumerate(spans):
-            option = " ".join(filter(None, folded[i:j]))
-            shared = sum(min(n, option.count(c)) for c, n in letters)
-            if 2 * shared <= best * (len(query) + len(option)):
-                continue
-            matcher.set_seqs(query, option)  # the query stays first: the junk rule looks at the second sequence only
-            ratio = matcher.ratio()
-            if ratio > best:
-                best, found = ratio, " ".join(words[i:j]) if k else sentence
-    return best, found
+    sentences = [part for part in (p.strip() for p in re.split(r"[\n\r]+|(?<=[.!?;:])\s+", text)) if part]
+    words = [part.split() for part in sentences]
+    folded = [[_fold(w) for w in own] for own in words]
+    if not sentences:
+        return 0.0, None
+    sentence, first, end, whole, begin = _windows(query, folded)
+    joined = " ".join(w for own in folded for w in own if w) + " "
+    low = begin[first]
+    high = np.maximum(begin[end] - 1, low)  # without the space after the last word
+    bound = _bounds(query, joined, low, high)
+    best, at, matcher = 0.0, len(bound), SequenceMatcher(None)
+    for i in np.argsort(-bound, kind="stable").tolist():
+        if bound[i] < best or bound[i] == 0:
+            break
+        if i > at and bound[i] == best:
+            continue
+        matcher.set_seqs(query, joined[low[i] : high[i]])  # the query stays first: the junk rule looks at the second sequence only
+        ratio = matcher.ratio()
+        if ratio > best or ratio == best and i < at:
+            best, at = ratio, i
+    if at == len(bound) or best == 0:
+        return 0.0, None
+    k = sentence[at]
+    start = sum(map(len, words[:k]))
+    return best, sentences[k] if whole[at] else " ".join(words[k][first[at] - start : end[at] - start])
 
 
 _MATCH = pa.struct([("support", pa.string()), ("score", pa.float64()), ("matched_text", pa.string()), ("match_type", pa.string())])

@@ -745,3 +745,42 @@ def test_hints_cost_little_more_with_many_entries(spark):
             found.write.format("noop").mode("overwrite").save()
             times[n].append(time.time() - start)
     assert min(times[20_000]) < 1.5 * min(times[100]) + 0.5
+
+
+# fuzzy evidence
+
+
+def plain_best_window(query, text):
+    """Every window compared, in order."""
+    wanted, best, found = len(query.split()), 0.0, None
+    for sentence in filter(None, (part.strip() for part in re.split(r"[\n\r]+|(?<=[.!?;:])\s+", text))):
+        words = sentence.split()
+        spans = [(0, len(words))]
+        if wanted and len(words) > 2:
+            spans += [(i, i + n) for n in range(max(2, wanted - 3), min(len(words), wanted + 5) + 1) for i in range(len(words) - n + 1)]
+        for k, (i, j) in enumerate(spans):
+            option = " ".join(filter(None, map(S._fold, words[i:j])))
+            ratio = SequenceMatcher(None, query, option).ratio()
+            if ratio > best:
+                best, found = ratio, " ".join(words[i:j]) if k else sentence
+    return best, found
+
+
+def test_best_window_loses_none():
+    made = random.Random(12)
+    words = ["ab", "ba", "aab", "c", "é", "xyz", "b", "́", "Đa", "acb.", "bb;", "ca", "abc", "cab"]
+    for i in range(600):
+        text = "".join(made.choice(words) + made.choice([" ", " ", " ", "\n", "  "]) for _ in range(made.randrange(0, 30)))
+        query = S._fold(" ".join(made.choices(words, k=made.randrange(1, 8)))) or "a"
+        assert S._best_window(query, text) == plain_best_window(query, text), (query, text)
+
+
+def test_best_window_of_documents_costs_less():
+    docs = [t for t in pd.read_parquet("/root/testdata/sf0.001/documents.parquet").text if t and 300 < len(t) < 4000][:12]
+    queries = [S._fold(" ".join(t.split()[5:25])[:-3] + "zzz qq") for t in docs]
+    spent = []
+    for search in (plain_best_window, S._best_window):
+        start = time.process_time()
+        results = [search(q, t) for q in queries[:2] for t in docs[:5]]
+        spent.append((time.process_time() - start, results))
+    assert spent[0][1] == spent[1][1] and spent[1][0] < spent[0][0]
