@@ -43,11 +43,22 @@ def main(args: list[str] | None = None) -> int:
     p = commands.add_parser("extract", help="events of clean articles by rules, verified")
     for name in ("articles", "taxonomy", "out"):
         p.add_argument(name)
-    p = commands.add_parser("sync", help="replaces the rows of a table that a source table has by key")
+    p = commands.add_parser("sync", help="replaces, in a table kept in buckets, all rows of the keys of a source table")
     for name in ("target", "source", "key"):
         p.add_argument(name)
     p = commands.add_parser("health", help="whether the session answers and the paths are there")
     p.add_argument("paths", nargs="*")
+    p = commands.add_parser("evaluate", help="metrics, errors and the report of predictions (a file or a folder of runs) against gold JSON lines")
+    for name in ("gold", "out"):
+        p.add_argument(name)
+    p.add_argument("--predictions")
+    p.add_argument("--runs")
+    p.add_argument("--config", default="default")
+    p = commands.add_parser("tail", help="new lines of run logs below a folder, until the given runs have ended")
+    for name in ("logs", "out", "checkpoint"):
+        p.add_argument(name)
+    p.add_argument("runs", nargs="*")
+    p.add_argument("--most", type=float, default=3600.0, help="seconds")
     p = commands.add_parser("run-all", help="HTML folder to verified events, and an evaluation where teacher outputs are given")
     for name in ("html_dir", "company_csv", "keyword_csv", "taxonomy", "out"):
         p.add_argument(name)
@@ -98,7 +109,13 @@ def _work(spark, given) -> int:
         for name in ("documents", "events", "checks", "traces"):
             tables.write_table(found[name], f"{given.out}/extraction_{name}")
     elif given.command == "sync":
-        tables.write_table(tables.replace_by_key(spark.read.parquet(given.target), spark.read.parquet(given.source), given.key), given.target)
+        tables.sync(spark.read.parquet(given.source), given.target, [given.key])
+    elif given.command == "evaluate":
+        print(jobs.run_evaluate_files(spark, given.gold, given.out, given.predictions, given.runs, given.config))
+    elif given.command == "tail":
+        from glosswork.streaming import log_tail
+
+        return 0 if log_tail.follow(spark, given.logs, given.out, given.checkpoint, given.runs, most=given.most) else 1
     elif given.command == "health":
         return 0 if tables.healthcheck(spark, *given.paths) else 1
     else:

@@ -181,11 +181,12 @@ def ascii_fold(text: Column) -> Column:
     """
     source, target, several = _folding()
     letters = f"{_classes(several)}\\x{{ac00}}-\\x{{d7a3}}"
-    # one literal, which the optimizer turns into a map
-    table = F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in several.items())), F.lit("\x01"), F.lit("\x02"))
+    table = "\x01".join(["", *[f"{k}\x02{v}" for k, v in several.items()], ""])
 
     def one(p: Column) -> Column:
-        return F.when(p.rlike("^[\\x{ac00}-\\x{d7a3}]$"), _hangul(p)).otherwise(F.coalesce(F.try_element_at(table, p), p))
+        # looked up in the table by a pattern; most pieces are longer than a letter and stay
+        found = F.get(F.regexp_extract_all(F.lit(table), F.concat(F.lit("\x01"), p, F.lit("\x02([^\x01]*)\x01")), F.lit(1)), 0)
+        return F.when(p.rlike("^[\\x{ac00}-\\x{d7a3}]$"), _hangul(p)).when(F.char_length(p) == 1, F.coalesce(found, p)).otherwise(p)
 
     def folded(t: Column) -> Column:
         plain = F.translate(t, source, target)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glosswork.functions import text as T
+from glosswork.lineage import cut
 from glosswork.sources.files import exists, latest
 
 
@@ -23,11 +24,13 @@ def replace_by_key(target: DataFrame, source: DataFrame, key: str) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str) -> None:
-    """A staged overwrite: the new files are complete before the old ones go. Readers never see half a table."""
+    """A staged overwrite: the new files are complete before the old ones go. Readers never see half a table; a stop
+    between the two renames leaves the old one beside its place, and ``recover`` or the next write puts it back."""
     spark = df.sparkSession
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     staged, old = f"{path.rstrip('/')}.next", f"{path.rstrip('/')}.last"
     df.write.mode("overwrite").parquet(staged)
+    recover(spark, path)
     fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.delete(hadoop(old), True)
     if fs.exists(hadoop(path)):
@@ -36,6 +39,60 @@ def write_table(df: DataFrame, path: str) -> None:
     fs.delete(hadoop(old), True)
 
 
+def recover(spark: SparkSession, path: str) -> bool:
+    """Puts a table back that a stopped ``write_table`` has left beside its place; whether it had to."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    old = f"{path.rstrip('/')}.last"
+    fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return not fs.exists(hadoop(path)) and fs.exists(hadoop(old)) and bool(fs.rename(hadoop(old), hadoop(path)))
+
+
+#: Buckets of a table that is synchronised by key; the name of its partition column begins with MARK and tells their number.
+BUCKETS, MARK = 64, "bucket_of_"
+
+
+def _in_buckets(df: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
+    return df.withColumn(f"{MARK}{n}", F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int"))
+
+
+def _write_buckets(df: DataFrame, path: str, n: int, **options: str) -> None:
+    """Rows go to tasks by bucket; Spark splits a bucket that is too large for one."""
+    df.hint("rebalance", f"{MARK}{n}").write.mode("overwrite").options(**options).partitionBy(f"{MARK}{n}").parquet(path)
+
+
+def write_buckets(df: DataFrame, path: str, keys: Sequence[str], n: int = BUCKETS) -> None:
+    """A new table for ``sync``: partitions are buckets of the keys' hash."""
+    _write_buckets(_in_buckets(df, keys, n), path, n)
+
+
+def read_buckets(spark: SparkSession, path: str) -> DataFrame:
+    df = spark.read.parquet(path)
+    return df.drop(*[c for c in df.columns if c.startswith(MARK)])
+
+
+def sync(source: DataFrame, path: str, keys: Sequence[str], n: int = BUCKETS) -> None:
+    """All rows of each key in source replace all rows of that key in the table, which is made if it is not there.
+
+    Only the buckets that the keys of source fall into are read and written, by dynamic partition overwrite: the new
+    files are complete before a bucket's old ones go. A stop meanwhile leaves each bucket old or new, and the same sync
+    once more ends the work. The list of touched buckets, at most ``n`` numbers, comes to the driver. A key with very many
+    rows is no problem: the anti-join is split where it is skewed, and so is the bucket when it is written.
+    """
+    spark = source.sparkSession
+    if not exists(spark, path):
+        return write_buckets(source, path, keys, n)
+    target = spark.read.parquet(path)
+    column = next((c for c in target.columns if c.startswith(MARK)), None)
+    if column is None:
+        raise ValueError(f"{path} is not kept in buckets; write it with write_buckets once")
+    n = int(column.removeprefix(MARK))
+    source = cut(_in_buckets(source, keys, n))
+    touched = [r[0] for r in source.select(column).distinct().collect()]
+    if touched:
+        merged = upsert(target.where(F.col(column).isin(touched)), source.select(target.columns), list(keys))
+        _write_buckets(merged, path, n, partitionOverwriteMode="dynamic")
+
+
 def search(df: DataFrame, columns: Sequence[str], text: str) -> DataFrame:
     """Rows where any column, as lower-case text, is LIKE %text%; an empty text is no filter, % and _ are wild."""
     wanted = text.strip().lower()

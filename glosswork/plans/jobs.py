@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glosswork.functions import text as T
+from glosswork.lineage import cut
 from glosswork.operators import chunking, dictionaries, evaluation, extraction, index, ingest, querying, reports, retrieval, tables, validation, verification
 from glosswork.sources import files
 
@@ -137,10 +138,7 @@ def run_all(spark: SparkSession, html_dir: str, company_csv: str, keyword_csv: s
         run_label(articles, taxonomy, outputs, out)
         gold = spark.read.parquet(f"{out}/gold")
         run_patterns(articles, gold, out)
-        labels = gold.select("article_id", F.parse_json("label").alias("label"))
-        events = validation.exploded_events(labels).select("article_id", *evaluation.FIELDS, "event_index")
-        n = events.groupBy("article_id").agg(F.count("*").alias("n_events"))
-        documents = labels.join(n, "article_id", "left").select("article_id", T.nullable_upper(F.try_variant_get("label", "$.document_label", "string")).alias("document_label"), F.coalesce("n_events", F.lit(0)).alias("n_events"))
+        events, documents = labelled(gold.select("article_id", F.parse_json("label").alias("label")))
         made = spark.read.parquet(f"{out}/extraction_events").withColumn("config_name", F.lit("rules"))
         predictions = spark.read.parquet(f"{out}/extraction_documents").select(
             F.lit("rules").alias("config_name"), "article_id", "document_label", "n_events", F.lit(True).alias("json_valid"), F.lit(True).alias("schema_valid"), F.lit(0).alias("position")
@@ -151,6 +149,26 @@ def run_all(spark: SparkSession, html_dir: str, company_csv: str, keyword_csv: s
     return spark.createDataFrame(rows, "step string, table string, n long")
 
 
+def labelled(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Events and documents of labels (article_id, label as variant, and further columns), as the evaluation takes them."""
+    more = [c for c in labels.columns if c != "label"]
+    events = validation.exploded_events(labels).select(*more, *evaluation.FIELDS, "event_index")
+    n = F.size(F.coalesce(F.try_variant_get("label", "$.events", "array<variant>"), F.array().cast("array<variant>")))
+    return events, labels.select(*more, T.nullable_upper(F.try_variant_get("label", "$.document_label", "string")).alias("document_label"), n.alias("n_events"))
+
+
+def run_evaluate_files(spark: SparkSession, gold_path: str, out: str, predictions_path: str | None = None, runs_dir: str | None = None, config: str = "default") -> str:
+    """Gold JSON lines against a file of predictions or a folder of runs: ``run_evaluate`` of the best prediction that each
+    configuration has for each article."""
+    found = files.read_predictions(spark, predictions_path, runs_dir, config).where("article_id <> ''")
+    rows = found.select("config_name", "article_id", F.col("prediction").alias("label"), "json_valid", "schema_valid", F.monotonically_increasing_id().alias("position"))
+    _, documents = labelled(rows.withColumn("text", F.to_json("label")))
+    best = cut(evaluation.best_prediction(documents))
+    events, _ = labelled(best.select("config_name", "article_id", F.parse_json("text").alias("label")))
+    gold_events, gold_documents = labelled(files.read_gold(spark, gold_path))
+    return run_evaluate(gold_events, gold_documents, events, best.drop("text"), out)
+
+
 def run_evaluate(gold_events: DataFrame, gold_documents: DataFrame, predicted: DataFrame, predictions: DataFrame, out: str) -> str:
     """Metrics and errors of every configuration as tables, and the report text."""
     result = evaluation.evaluate(gold_events, gold_documents, predicted, evaluation.best_prediction(predictions))

@@ -66,6 +66,33 @@ def _db01(spark, sf_dir):
     return tables.upsert(o.where("o_orderkey % 2 = 0"), new, ["o_orderkey"])
 
 
+@query(
+    "db01_sync_in_buckets",
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 1000 = 7 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders "
+    "UNION ALL SELECT o_orderkey - 100000000, o_totalprice FROM orders WHERE o_orderkey % 1000 = 7",
+)
+def _db01_sync(spark, sf_dir):
+    """A few changed and a few new keys into a table in buckets."""
+    o, path = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), f"{_scratch(spark)}/orders"
+    tables.sync(o, path, ["o_orderkey"])
+    some = o.where("o_orderkey % 1000 = 7")
+    tables.sync(some.withColumn("o_totalprice", F.col("o_totalprice") + 1).unionByName(some.withColumn("o_orderkey", F.col("o_orderkey") - 100_000_000)), path, ["o_orderkey"])
+    return tables.read_buckets(spark, path)
+
+
+@query(
+    "db03_sync_lines",
+    "SELECT l_orderkey, count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS lines FROM (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_orderkey % 50 = 3 AND l_linenumber = 1) "
+    "UNION ALL SELECT l_orderkey, 100 FROM lineitem WHERE l_orderkey % 50 = 3 AND l_linenumber = 1) GROUP BY 1",
+)
+def _db03_sync(spark, sf_dir):
+    """All lines of some orders are replaced by one line each."""
+    rows, path = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("int").alias("l_linenumber")), f"{_scratch(spark)}/lines"
+    tables.sync(rows, path, ["l_orderkey"])
+    tables.sync(rows.where("l_orderkey % 50 = 3 AND l_linenumber = 1").withColumn("l_linenumber", F.lit(100)), path, ["l_orderkey"])
+    return tables.read_buckets(spark, path).groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sum("l_linenumber").alias("lines"))
+
+
 @query("db03_replace_by_key", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey % 2 = 1 UNION ALL SELECT l_orderkey, l_linenumber, 0 FROM lineitem WHERE l_orderkey % 2 = 0 AND l_linenumber = 1")
 def _db03(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")

@@ -116,7 +116,7 @@ per_document(
         "digest": lambda: F.md5(F.lower(T.ascii_fold(text()))),
         "of_ligatures": lambda: F.md5(F.lower(T.ascii_fold(F.replace(F.replace(text(), F.lit("th"), F.lit("ﬁ")), F.lit(" el "), F.lit(" 한½ "))))),
     },
-    {"digest": "md5(lower(strip_accents(text)))", "of_ligatures": "md5(lower(replace(replace(strip_accents(text), 'th', 'fi'), ' el ', ' ' || chr(4370) || chr(4449) || chr(4523) || '1' || chr(8260) || '2 ')))"},
+    {"digest": "md5(lower(strip_accents(text)))", "of_ligatures": "md5(lower(replace(replace(strip_accents(replace(replace(text, 'th', chr(2)), ' el ', chr(1))), chr(2), 'fi'), chr(1), ' ' || chr(4370) || chr(4449) || chr(4523) || '1' || chr(8260) || '2 ')))"},
 )
 per_document(
     "str07_fold_for_match",

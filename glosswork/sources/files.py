@@ -189,12 +189,14 @@ def read_gold(spark: SparkSession, path: str) -> DataFrame:
 
 def _predictions(rows: DataFrame, default_config: str) -> DataFrame:
     record, label = F.col("value"), label_payload(F.col("value"))
+    issues = F.coalesce(F.try_variant_get(record, "$.validation_issues", "array<variant>"), F.array().cast("array<variant>"))
     return rows.select(
         F.coalesce(F.nullif(first_value(label, "$.article_id"), F.lit("")), first_value(record, "$.article_id", "$.query_article_id")).alias("article_id"),
         F.coalesce(F.nullif(first_value(record, "$.config_name", "$.experiment_config", "$.run_config_name", "$.ablation_config"), F.lit("")), F.lit(default_config)).alias("config_name"),
         F.coalesce(F.nullif(first_value(record, "$.run_id"), F.lit("")), first_value(label, "$.model_info.run_id")).alias("run_id"),
         label.alias("prediction"),
         F.col("json_valid"),
+        (F.col("json_valid") & ~F.exists(issues, lambda i: F.coalesce(F.try_variant_get(i, "$.severity", "string") == "error", F.lit(False)))).alias("schema_valid"),
         F.col("source_path"),
     )
 

@@ -1,5 +1,7 @@
 """Jobs end to end on a few pages, and the command line."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,3 +116,58 @@ def test_report_suite(spark):
 def test_command_line(capsys):
     assert main(["list"]) == 0 and "q_bm25_topk" in capsys.readouterr().out
     assert main(["plan", "ingest", "prepare"]) == 0 and capsys.readouterr().out.split() == ["ingest", "prepare"]
+
+
+def test_evaluate_and_tail_commands(spark, tmp_path, capsys):
+    event = {"event_type": "CONTRACT", "event_subtype": "SIGNED", "ticker": "FPT", "evidence_span": "ky hop dong", "event_arguments": {"partner": "x"}, "impact_sentiment": "POSITIVE"}
+    label = lambda a, *events: {"article_id": a, "document_label": "HAS_EVENT" if events else "NO_EVENT", "events": list(events)}
+    (tmp_path / "gold.jsonl").write_text("\n".join(json.dumps(label(a, *e)) for a, e in (("a", [event]), ("b", []), ("c", [event]))))
+    lines = [{"config_name": "one", "prediction": label("a", event)}, {"config_name": "one", "prediction": label("b")}, {"config_name": "one", "prediction": label("c")}, {"config_name": "one", "prediction": label("c", event)}]
+    lines.append({"config_name": "two", "prediction": label("a"), "validation_issues": [{"severity": "warning"}, {"severity": "error"}]})
+    (tmp_path / "p.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    out = str(tmp_path / "out")
+    assert main(["evaluate", str(tmp_path / "gold.jsonl"), out, "--predictions", str(tmp_path / "p.jsonl")]) == 0
+    assert "Best configuration" in capsys.readouterr().out
+    found = {r["config_name"]: r for r in spark.read.parquet(f"{out}/metrics").collect()}
+    assert found["one"]["event_detection_f1"] == found["one"]["event_type_macro_f1"] == 1.0 and found["two"]["event_detection_recall"] == 0.0
+    assert found["one"]["schema_compliance_rate"] == 1.0 > found["two"]["schema_compliance_rate"]
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    (logs / "r.log").write_text('{"event": "x", "run_id": "r1", "status": "success"}\n')
+    places = [str(logs), str(tmp_path / "lines"), str(tmp_path / "state")]
+    assert main(["tail", *places, "r1"]) == 0 and main(["tail", *places, "r2", "--most", "0"]) == 1
+
+
+def test_sync_rewrites_only_touched_buckets(spark, tmp_path):
+    from glosswork.operators import tables
+
+    path = str(tmp_path / "t")
+    rows = spark.range(2000).select("id", F.lit("old").alias("v"))
+    tables.sync(rows.unionByName(rows), path, ["id"])  # two rows of each key
+    listed = lambda: {str(p.relative_to(path)) for p in (tmp_path / "t").rglob("*.parquet")}
+    before = listed()
+    assert len({p.split("/")[0] for p in before}) == tables.BUCKETS
+    tables.sync(spark.createDataFrame([(3, "new"), (3, "new"), (3, "more"), (5000, "new")], "id long, v string"), path, ["id"])
+    changed = {p.split("/")[0] for p in before ^ listed()}
+    assert 1 <= len(changed) <= 2
+    got = tables.read_buckets(spark, path)
+    assert sorted(r.v for r in got.where("id = 3").collect()) == ["more", "new", "new"] and got.count() == 2 * 1999 + 3 + 1
+    tables.sync(spark.createDataFrame([], "id long, v string"), path, ["id"])
+    assert got.count() == 4002 and set(got.columns) == {"id", "v"}
+    rows.write.parquet(str(tmp_path / "plain"))
+    with pytest.raises(ValueError):
+        tables.sync(rows, str(tmp_path / "plain"), ["id"])
+
+
+def test_a_sync_that_fails_leaves_the_table(spark, tmp_path):
+    from glosswork.operators import tables
+
+    path = str(tmp_path / "t")
+    tables.sync(spark.range(100).select("id", F.lit("old").alias("v")), path, ["id"])
+    bad = spark.range(50).select("id", F.when(F.col("id") == 40, F.raise_error(F.lit("no"))).otherwise(F.lit("new")).cast("string").alias("v"))
+    with pytest.raises(Exception, match="no"):
+        tables.sync(bad, path, ["id"])
+    assert tables.read_buckets(spark, path).where("v = 'old'").count() == 100
+    tables.write_table(spark.range(3), str(tmp_path / "w"))
+    (tmp_path / "w").rename(tmp_path / "w.last")  # as a stop between the two renames leaves it
+    assert tables.recover(spark, str(tmp_path / "w")) and not tables.recover(spark, str(tmp_path / "w")) and spark.read.parquet(str(tmp_path / "w")).count() == 3
