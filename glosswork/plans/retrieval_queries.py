@@ -230,6 +230,14 @@ def _top10(spark, sf_dir):
     return out.select("case_id", "chunk_id", "rank", "selection_score")
 
 
+@query("sup18_selection_parts")
+def _sup18(spark, sf_dir):
+    """What each final choice is explained by."""
+    chunks, q = cut(hinted(spark, sf_dir)), searches(spark, sf_dir, "event_intent")
+    out = retrieval.retrieve(q, chunks, "multi_event_aware_hybrid", *_vectors(spark, chunks, q))
+    return out.select("case_id", "chunk_id", "rank", "selection_strategy", *retrieval.SELECTION, F.array_join("covered_new_event_types", "|").alias("covered_new_event_types"))
+
+
 @query("ret14_judged_rerank")
 def _ret14(spark, sf_dir):
     chunks, q = cut(hinted(spark, sf_dir)), searches(spark, sf_dir)

@@ -15,7 +15,7 @@ KEYS = {
     "agg16_verification_metrics": (["article_id"], 20), "evl05_report": (["markdown"], 1), "ext01_page_inputs": ([], 30), "ext07_public_results": (["article_id"], 20),
     "htm01_parse_pages": (["page_id"], 50), "htm03_article_trees": (["page_id"], 50), "htm06_links": (["page_id", "url", "link_text"], 50), "ret04_retrieve_hybrid": (["case_id", "rank"], 4),
     "ret13_deterministic_judgments": (["case_id", "chunk_id"], 4), "ret14_judged_rerank": (["case_id", "rank"], 4), "ret17_prompts": (["case_id"], 4), "ret21_context_diversity": (["case_id"], 4),
-    "sim04_sequence_ratio": (["item_id"], 30), "src08_ingest_pages": (["content_hash"], 20), "str18_preprocess": (["doc_id"], 200), "top07_candidate_dedupe": (["case_id", "rank"], 10),
+    "sim04_sequence_ratio": (["item_id"], 30), "src08_ingest_pages": (["content_hash"], 20), "str18_preprocess": (["doc_id"], 200), "sup18_selection_parts": (["case_id", "rank"], 4), "top07_candidate_dedupe": (["case_id", "rank"], 10),
     "top10_coverage_mmr": (["case_id", "rank"], 4), "ver01_verified_events": (["article_id", "event_id"], 10),
 }
 
