@@ -185,7 +185,7 @@ def ascii_fold(text: Column) -> Column:
 
     def one(p: Column) -> Column:
         # looked up in the table by a pattern; most pieces are longer than a letter and stay
-        found = F.get(F.regexp_extract_all(F.lit(table), F.concat(F.lit("\x01"), p, F.lit("\x02([^\x01]*)\x01")), F.lit(1)), 0)
+        found = F.get(F.regexp_extract_all(F.lit(table), F.concat(F.lit("\x01\\Q"), p, F.lit("\\E\x02([^\x01]*)\x01")), F.lit(1)), 0)
         return F.when(p.rlike("^[\\x{ac00}-\\x{d7a3}]$"), _hangul(p)).when(F.char_length(p) == 1, F.coalesce(found, p)).otherwise(p)
 
     def folded(t: Column) -> Column:

@@ -73,7 +73,7 @@ def fold(t):
 
 
 def test_ascii_fold(spark):
-    words = ["Đặng Thị Hồng", "crème brûlée", "straße", "ÅNGSTRÖM", "ｆｕｌｌ", "日本", "ﬁne ½ of ﬃ㎏", "한국어 ﷺ Ǆ", "𝐁𝟚 x", "", None]
+    words = ["Đặng Thị Hồng", "crème brûlée", "straße", "ÅNGSTRÖM", "ｆｕｌｌ", "日本", "ﬁne ½ of ﬃ㎏", "한국어 ﷺ Ǆ", "𝐁𝟚 x", "", None, "½.", "(½", "ﬁ\\ﬁ", "½\x01½[", "*ﬁ+"]
     assert column(spark, words, T.ascii_fold) == [None if w is None else fold(w) for w in words]
 
 
