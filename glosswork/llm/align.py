@@ -48,7 +48,7 @@ A_NAME, B_NAME = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text in a chunk, and documents at most.
 CHUNK, CHUNK_ROWS = 8_000_000, 20_000
 #: Distinct segments that are aligned at once.
-SEGMENTS = 50_000
+SEGMENTS = 10_000
 #: Characters of a text that are split at once.
 PART = 1 << 20
 
@@ -171,14 +171,14 @@ class Pair:
         b_ids, b_in = self.encode_b(keys, segments)
         sides = ((a_ids, a_in, self.a_table), (b_ids, b_in, self.b_table))
         bad = np.zeros(len(keys), bool)
-        if any((_by_document(t.sizes[ids][:, None], n)[:, 0] != sizes).any() or t.joined(ids) != raw for ids, n, t in sides):
+        if any((_sums(t.sizes[ids], n) != sizes).any() or t.joined(ids) != raw for ids, n, t in sides):
             bad = self._bad(segments, sides)
             a_ids, b_ids = a_ids[~np.repeat(bad, a_in)], b_ids[~np.repeat(bad, b_in)]
             a_in, b_in = np.where(bad, 0, a_in), np.where(bad, 0, b_in)
         low, high, border = overlaps(self.a_table.sizes[a_ids], self.b_table.sizes[b_ids])
         links = high - low
         at = np.arange(int(links.sum())) + np.repeat(low - (np.cumsum(links) - links), links)
-        codes = np.repeat(a_ids << 32, links) | b_ids[at]
+        codes, code_of = np.unique(np.repeat(a_ids << 32, links) | b_ids[at], return_inverse=True)
         # groups are written A ids first: order all tokens by group and side
         last_b = np.zeros(len(b_ids), bool)
         last_b[high[border] - 1] = True
@@ -186,8 +186,8 @@ class Pair:
         marks = np.concatenate([a_ids, b_ids + self.first_b]) + np.concatenate([border, last_b]) * (len(self.written.sizes) // 2)
         marks = marks[np.argsort(np.concatenate([group[0] * 2, group[1] * 2 + 1]), kind="stable")]
         text, ends = self.written.joined(marks), np.concatenate([[0], np.cumsum(self.written.sizes[marks])])[np.cumsum(a_in + b_in)].tolist()
-        figures = np.stack([a_in, b_in, *_by_document(np.stack([border, links], axis=1).astype(np.int64), a_in).T], axis=1)
-        return Aligned(bad, figures, [text[x:y] for x, y in zip([0, *ends], ends, strict=False)], codes)
+        figures = np.stack([a_in, b_in, _sums(border, a_in), _sums(links, a_in)], axis=1)
+        return Aligned(bad, figures, [text[x:y] for x, y in zip([0, *ends], ends, strict=False)], codes, code_of.astype(np.int32))
 
     @staticmethod
     def _bad(segments: list[str], sides) -> np.ndarray:
@@ -229,12 +229,13 @@ class _Table:
 
 class Aligned(NamedTuple):
     """Of each segment: whether it is bad; numbers of A and B tokens, groups and links; groups as text, each ending in ``;``
-    (``a1,a2|b1;``). Packed pairs of all links, segment after segment."""
+    (``a1,a2|b1;``). The distinct packed pairs of ids in order; which of them each link is, segment after segment."""
 
     bad: np.ndarray
     figures: np.ndarray
     texts: list[bytes]
     codes: np.ndarray
+    code_of: np.ndarray
 
 
 @lru_cache(maxsize=1)
@@ -280,7 +281,7 @@ class _Chunk:
         occurs, lengths = np.frombuffer(self.occurs, np.int32), np.array(self.lengths, np.int64)
         bad = np.concatenate([p.bad for p in parts]) if parts else np.zeros(0, bool)
         if bad.any():
-            spoilt = _by_document(bad[occurs][:, None].astype(np.int64), lengths)[:, 0] > 0
+            spoilt = _sums(bad[occurs], lengths) > 0
             occurs, lengths = occurs[~np.repeat(spoilt, lengths)], np.where(spoilt, 0, lengths)
         return parts, occurs, lengths
 
@@ -297,18 +298,19 @@ class _Chunk:
                 digest.update(text if high < at + n else text[:-1])
             digests.append(digest.hexdigest() if n else "")
             at += n
-        codes, pair_of = np.unique(np.concatenate([np.zeros(0, np.int64), *(p.codes for p in parts)]), return_inverse=True)
+        codes = np.unique(np.concatenate([np.zeros(0, np.int64), *(p.codes for p in parts)]))
+        pair_of = np.concatenate([np.zeros(0, np.int32), *(np.searchsorted(codes, p.codes).astype(np.int32)[p.code_of] for p in parts)])
         often = np.repeat(np.bincount(occurs, minlength=len(texts)), figures[:, 3])
         totals = np.zeros(len(codes), np.int64)
         np.add.at(totals, pair_of, often)
         met = totals > 0  # segments of documents without tokens count nothing
-        blobs = {"pair_of": (np.cumsum(met) - met)[pair_of] * met[pair_of], "pairs_in": figures[:, 3], "occurs": occurs, "occurs_in": lengths}
+        blobs = {"pair_of": ((np.cumsum(met) - met) * met)[pair_of], "pairs_in": figures[:, 3], "occurs": occurs, "occurs_in": lengths}
         return pa.RecordBatch.from_pydict(
             {
                 "chunk": pa.array([chunk], pa.int64()),
                 "ids": pa.array([self.ids], pa.list_(kind)),
                 "digests": pa.array([digests], pa.list_(pa.string())),
-                "figures": pa.array([_by_document(figures[occurs], lengths).ravel()], pa.list_(pa.int64())),
+                "figures": pa.array([_by_document(figures, occurs, lengths).ravel()], pa.list_(pa.int64())),
                 "codes": pa.array([codes[met]], pa.list_(pa.int64())),
                 "totals": pa.array([totals[met]], pa.list_(pa.int64())),
                 **{k: pa.array([_packed(v)], pa.binary()) for k, v in blobs.items()},
@@ -323,16 +325,23 @@ def _packed(numbers: np.ndarray) -> bytes:
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"u{data[0]}", offset=1).astype(np.int64)
+    return np.frombuffer(data, f"u{data[0]}", offset=1)
 
 
-def _by_document(rows: np.ndarray, lengths) -> np.ndarray:
-    """Sums of the rows of each document, which follow each other; exact, documents without rows have 0."""
-    sums = np.concatenate([np.zeros((1, rows.shape[1]), np.int64), np.cumsum(rows, axis=0)])
-    ends = np.concatenate([[0], np.cumsum(np.asarray(lengths, np.int64))]).astype(np.int64)
+def _sums(values: np.ndarray, lengths) -> np.ndarray:
+    """Sums of values that follow each other, so many each; exact, those of none are 0."""
+    sums, ends = np.zeros(len(values) + 1, np.int64), np.zeros(len(lengths) + 1, np.int64)
+    np.cumsum(values, dtype=np.int64, out=sums[1:])
+    np.cumsum(lengths, dtype=np.int64, out=ends[1:])
     return sums[ends[1:]] - sums[ends[:-1]]
 
 
+def _by_document(rows: np.ndarray, at: np.ndarray, lengths) -> np.ndarray:
+    """Sums of each document's rows, whose numbers follow each other in ``at``; a column at a time, as ``at`` is much longer
+    than the results."""
+    return np.stack([_sums(column[at], lengths) for column in rows.T], axis=1)
+
+
 _BLOBS = ("pair_of", "pairs_in", "occurs", "occurs_in")
 
 
@@ -346,8 +355,8 @@ def chunks(docs: DataFrame, a_path: str | None = None, b_path: str | None = None
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 chunk.add(pair, doc_id, text.as_py())
                 if chunk.bytes >= size or len(chunk.ids) >= CHUNK_ROWS:
-                    yield chunk.row(pair, task << 33 | made, kind)
-                    made, chunk = made + 1, _Chunk()
+                    row, made, chunk = chunk.row(pair, task << 33 | made, kind), made + 1, _Chunk()
+                    yield row
         if chunk.ids:
             yield chunk.row(pair, task << 33 | made, kind)
 
@@ -377,8 +386,8 @@ def align_documents(docs: DataFrame, a_path: str | None = None, b_path: str | No
         values = np.stack([pairs.column("best").to_numpy().astype(np.int64), pairs.column("count").to_numpy()], axis=1)[order]
         values = values if len(values) else np.zeros((1, 2), np.int64)
         row = {k: _unpacked(chunk.column(k)[0].as_py()) for k in _BLOBS}
-        by_segment = _by_document(values[row["pair_of"]], row["pairs_in"])
-        best = _by_document(by_segment[row["occurs"]], row["occurs_in"])
+        by_segment = _by_document(values, row["pair_of"], row["pairs_in"])
+        best = _by_document(by_segment, row["occurs"], row["occurs_in"])
         figures = np.asarray(chunk.column("figures")[0].values).reshape(-1, 4)
         names = ("n_a", "n_b", "n_groups", "n_links")
         return pa.table(

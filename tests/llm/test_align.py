@@ -1,6 +1,7 @@
 """Alignment against both libraries run on whole texts and merged token by token."""
 
 import hashlib
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -159,3 +160,16 @@ def test_awkward_rows(spark, pair):
     assert align.align_documents(helpers.empty(spark)).count() == 0
     strings = spark.createDataFrame([("k1", "a b"), (None, "c")], "doc_id string, text string")
     assert {r.doc_id for r in align.align_documents(strings).collect()} == {"k1", None}
+
+
+def test_a_chunk_row_takes_few_bytes_per_word(pair):
+    """Memory beside the chunk's own: a word that repeats costs less than eight numbers, whatever is summed over it."""
+    chunk = align._Chunk()
+    for i in range(200):
+        chunk.add(pair, i, " ".join(f"w{(i * 7 + k) % 997}" for k in range(2000)))
+    tracemalloc.start()
+    row = chunk.row(pair, 1, align.pa.int64())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert row.num_rows == 1 and len(chunk.occurs) == 400_000
+    assert peak < 64 * len(chunk.occurs), peak / len(chunk.occurs)
