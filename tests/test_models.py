@@ -77,6 +77,16 @@ def test_ascii_fold(spark):
     assert column(spark, words, T.ascii_fold) == [None if w is None else fold(w) for w in words]
 
 
+def test_folding_many_letters_is_quick(spark):
+    """Letters that become several are looked up once per text, not once per place."""
+    texts = ["ﬁ½한 x" * 5000 + str(i) for i in range(8)]
+    column(spark, ["ﬁ"], T.ascii_fold)
+    began = time.perf_counter()
+    got = column(spark, texts, T.ascii_fold)
+    assert time.perf_counter() - began < 3
+    assert got == [fold(t) for t in texts]
+
+
 def test_every_letter_folds(spark):
     signs = [chr(c) for c in range(0x20, 0x20000) if not 0xD800 <= c < 0xE000]
     texts = ["".join(signs[i : i + 7]) for i in range(0, len(signs), 7)] + [f"x{c}y" for c in signs[:0x3000]]
