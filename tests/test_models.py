@@ -67,6 +67,13 @@ def test_resolving_lane_misses_nothing(spark):
     assert sum(lane) < 6_000
 
 
+def test_settle_tests_every_blank(spark):
+    """Texts that look settled are left alone, so each sign that settling changes has to be seen."""
+    signs = " \t\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2007\u200a\u2028\u2029\u202f\u205f\u3000\n"
+    texts = [f"{a}{x}{b}" for x in [*signs, "  ", "\n\n", "\n\n\n", " \n", "\n ", "\n \n"] for a, b in (("a", "b"), ("", "b"), ("a", ""), ("é", "\n"))]
+    assert column(spark, texts, T.settle) == column(spark, texts, lambda c: T._settled(c))
+
+
 def fold(t):
     t = t.replace("đ", "d").replace("Đ", "D")
     return "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
