@@ -300,6 +300,38 @@ def test_first_candidates_are_those_of_all_pairs(spark):
         assert as_set(got) == as_set(want) and got.count() == want.count()
 
 
+def test_hint_scores_by_class(spark):
+    """Pairs are made where chunks lie, without an exchange; totals of classes are those of the pairs."""
+    r = random.Random(5)
+    pick = lambda xs: [x for x in xs if r.random() < 0.4]
+    rows = [(i, r.choice(["paragraph", "document"]), "w " * r.choice([5, 9]), pick("AB"), pick(["ca"]), pick(["k1", "k2", "k3"]), pick("YZ")) for i in range(3000)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, chunk_level string, text string, tickers_hint array<string>, company_names_hint array<string>, event_keywords array<string>, event_type_hints array<string>")
+    cases = [(f"q{i}", f"c{i // 2}", i % 2, r.choice(["w", "x"]), 0.5, pick("AB"), pick(["CA"]), pick(["k1", "k2", "k3"]), pick("YZ"), f"view{i % 2}", r.choice(["Y", None])) for i in range(40)]
+    queries = spark.createDataFrame(cases, "query_id string, article_id string, position int, text string, weight double, tickers array<string>, company_names array<string>, event_keywords array<string>, event_type_hints array<string>, query_type string, intent_event_type string")
+
+    def score(q, c):
+        lower = lambda xs: {x.lower() for x in xs}
+        k = len(lower(q[7]) & lower(c[5])) / len(q[7]) if q[7] else 0
+        md = min(1, 0.45 * bool(set(q[5]) & set(c[3])) + 0.25 * bool(lower(q[6]) & lower(c[4])) + 0.2 * k + 0.1 * bool(set(q[8]) & set(c[6])))
+        shift = 0.1 * (c[1] == "paragraph" and bool(c[5])) - 0.1 * (len(c[2].split()) < 8)
+        return round(md, 6), round(max(0, min(1, md + shift)), 6)
+
+    want = {(q[0], c[0]): s for q in cases for c in rows if any(s := score(q, c))}
+    pairs = retrieval.metadata_rule_scores(queries, chunks)
+    assert {(x[0], x[1]): (round(x[2], 6), round(x[3], 6)) for x in pairs.select("query_id", "chunk_id", "metadata_score", "rule_score").collect()} == want
+    lines = pairs._jdf.queryExecution().executedPlan().toString().splitlines()
+    last = next(i for i, line in enumerate(lines) if "Join" in line)
+    assert "BroadcastHashJoin [_kind" in lines[last] and not any("Exchange" in line or "Aggregate" in line for line in lines[:last])
+    sums = {x[0]: (x[1], round(x[2], 2)) for x in retrieval.metadata_overlaps(queries, chunks).select("query_id", "n", "total").collect()}
+    positive = [(q, md) for (q, _), (md, _) in want.items() if md > 0]
+    assert sums == {q: (sum(x == q for x, _ in positive), round(sum(md for x, md in positive if x == q), 2)) for q in {x for x, _ in positive}}
+    config = retrieval.Config("x", bm25_weight=0.3, metadata_weight=0.4, rule_weight=0.3, use_rule_rerank=True, top_k_stage1=6)
+    names = ["bm25_score", "dense_score", "metadata_score", "rule_score"]
+    all_rows = retrieval.stage1(queries, chunks, config).groupBy("case_id").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in names])
+    rounded = lambda df: {x[0]: [x[1], *[round(v, 6) for v in x[2:]]] for x in df.select("case_id", "n", *names).collect()}
+    assert rounded(retrieval.stage1_sums(queries, chunks, config)) == rounded(all_rows)
+
+
 def test_hybrid_searches_take_every_fiftieth_document(spark):
     from glosswork.plans import retrieval_queries
 
