@@ -332,6 +332,23 @@ def test_hint_scores_by_class(spark):
     assert rounded(retrieval.stage1_sums(queries, chunks, config)) == rounded(all_rows)
 
 
+def test_chunks_are_made_once_for_a_summary(spark):
+    articles = spark.createDataFrame([("a", "one two\nthree", "s"), ("b", "x " * 1500, "t")], "article_id string, text string, source string")
+    out = chunking.chunk_summary(chunking.build_chunks(articles))
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {(r["kind"], r["name"]): r["n"] for r in out.collect()}
+    assert got["level", "document"] == 2 and got["source", "s"] == 1 and got["rate", "chunks_per_article"] == sum(n for (k, _), n in got.items() if k == "level") / 2
+
+
+def test_patterns_meet_chunks_once(spark):
+    patterns = spark.createDataFrame([("p1", "event", "a", "THREE"), ("p2", "event", "a", "four"), ("p3", "no_event", "a", ""), ("p4", "no_event", "b", ""), ("p5", "event", "b", "y")], "pattern_id string, pattern_kind string, article_id string, evidence_span string")
+    chunks = spark.createDataFrame([("a", "a_d", "document", "one thrée"), ("a", "a_p", "paragraph", "three"), ("b", "b_p2", "paragraph", "x"), ("b", "b_p1", "paragraph", "x")], "article_id string, chunk_id string, chunk_level string, text string")
+    out = verification.attach_patterns(patterns, chunks)
+    assert out._jdf.queryExecution().sparkPlan().toString().count("Join") == 1
+    want = {("p1", "a_d", "evidence_document", 1.0), ("p1", "a_p", "evidence_paragraph", 1.0), ("p2", "a_d", "document_fallback", 0.0), ("p3", "a_d", "document_no_event", 1.0), ("p5", "b_p1", "first_chunk_fallback", 0.0)}
+    assert {tuple(r) for r in out.collect()} == want and out.count() == len(want)
+
+
 def test_hybrid_searches_take_every_fiftieth_document(spark):
     from glosswork.plans import retrieval_queries
 
