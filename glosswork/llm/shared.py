@@ -6,26 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glosswork.lineage import cut, new_path, remove, shared_dir
+from glosswork.session import BATCH_ROWS, small_batches
 
 __all__ = ["BATCH_ROWS", "components", "cut", "new_path", "remove", "shared_dir", "small_batches"]
 
-#: Rows of an Arrow batch. A batch of long texts is held by the JVM and by Python at once.
-BATCH_ROWS = 1_000
-
-
-def small_batches(df: DataFrame) -> DataFrame:
-    """df, after lowering its session's spark.sql.execution.arrow.maxRecordsPerBatch to BATCH_ROWS where it is larger.
-
-    Spark reads that setting when a plan runs, which is after the operator returned its lazy result, so it stays
-    lowered for the session: the operators need it.
-    """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    conf = df.sparkSession.conf
-    if not 0 < int(conf.get(key, "10000")) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
-    return df
-
-
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(node, root) for every node of an edge list that is not itself a root; root is the least node that it reaches.
 

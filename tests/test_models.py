@@ -332,6 +332,15 @@ def test_hint_scores_by_class(spark):
     assert rounded(retrieval.stage1_sums(queries, chunks, config)) == rounded(all_rows)
 
 
+def test_hints_take_small_batches(spark):
+    """Texts go to Python a thousand at a time: a worker and the JVM hold a batch of each at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, "10000")
+    companies = spark.createDataFrame([("ABC", "Name", [], "", None, None, None, None, None)], dictionaries.COMPANY)
+    dictionaries.company_hints(spark.createDataFrame([("x",)], "text string"), companies)
+    assert int(spark.conf.get(key)) == 1000
+
+
 def test_chunks_are_made_once_for_a_summary(spark):
     articles = spark.createDataFrame([("a", "one two\nthree", "s"), ("b", "x " * 1500, "t")], "article_id string, text string, source string")
     out = chunking.chunk_summary(chunking.build_chunks(articles))
